@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from stridelake.llm import op3_repair, op4_packing, op8_quality
+from stridelake.llm import op3_repair, op4_packing, op8_quality, op10_partenum
 
 MODULES = {
     "op3_repair": op3_repair.op3_repair,
     "op4_packing": op4_packing.op4_packing,
     "op8_quality_rules": op8_quality.op8_quality_rules,
+    "op10_partenum": op10_partenum.op10_partenum,
 }
 
 
