@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from stridelake.llm import op3_repair, op4_packing, op8_quality, op10_partenum
+from stridelake.llm import op3_repair, op4_packing, op5_secrets, op6_sharding, op8_quality, op9_urls, op10_partenum
 
 MODULES = {
     "op3_repair": op3_repair.op3_repair,
     "op4_packing": op4_packing.op4_packing,
+    "op5_secrets": op5_secrets.op5_secrets,
+    "op6_interleaved_shards": op6_sharding.op6_interleaved_shards,
     "op8_quality_rules": op8_quality.op8_quality_rules,
+    "op9_url_filter": op9_urls.op9_url_filter,
     "op10_partenum": op10_partenum.op10_partenum,
 }
 
@@ -17,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(op9_urls.ORACLE)
