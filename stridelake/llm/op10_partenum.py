@@ -7,8 +7,10 @@ least `least` signatures. A set near the upper end of its band also signs for th
 
 Hot groups: sets that are equal are one node from the start. Sets that share fewer signatures than any link needs are left
 out. The others are first compared with the least node of each shared signature (linear in a group's size); what then
-forms one component needs no more comparing, and only pairs over two components that still share enough signatures are
-compared one by one. No bucket, partner or candidate is capped. Every comparison is exact on whole sets.
+forms one component needs no more comparing. For nodes that still share enough signatures with another component, the parts
+are cut down to single elements: a link shares 80 of 100 of them, so it must share one of the rarest that are left when
+all but one of those are set aside, and only pairs that do are compared. No bucket, partner or candidate is capped.
+Every comparison is exact on whole sets.
 
 Defined results: a null or empty text, or one without words, has an empty set, links with nothing and is its own component;
 with fewer than five words the whole sequence is the one shingle; a null doc_id keeps its row, links with nothing and has a
@@ -212,6 +214,21 @@ def _linked(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     return joined.where(100 * both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _refined(nodes: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Pairs (a, b) over two labels that share one of their rarest elements, ranked so that any link must share one."""
+    items = arrays.join(nodes, "node").select("node", "label", F.size("items").alias("n"), F.explode("items").alias("item"))
+    common_items = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("item", "df")
+    shared = items.join(common_items, "item")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "item"))
+    total = F.count(F.lit(1)).over(Window.partitionBy("node"))
+    least = F.ceil(F.col("n") * SIMILARITY / 100)
+    rare = shared.withColumn("rank", rank).withColumn("total", total).where(F.col("rank") <= F.col("total") - least + 1)
+    rare = common.written(rare.select("node", "label", "n", "item"), "rare")
+    other = rare.select("item", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
+    near = f"100 * n >= {SIMILARITY} * m and 100 * m >= {SIMILARITY} * n"
+    return rare.join(other, "item").where(f"node < b and label <> other and {near}").select(F.col("node").alias("a"), "b").distinct()
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of documents (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -237,8 +254,7 @@ def link(docs: DataFrame) -> DataFrame:
     labelled = rows.join(labels, "node", "left").select("node", "tag", "sig", F.coalesce("label", "node").alias("label"))
     rest = common.written(_enough(labelled, "label"), "rest")
     if rest.limit(1).count():
-        other = rest.select("sig", F.col("node").alias("b"), F.col("label").alias("other"))
-        more = rest.join(other, "sig").where("node < b and label <> other").select(F.col("node").alias("a"), "b").distinct()
+        more = _refined(rest.select("node", "label").distinct(), arrays)
         done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = common.written(more.join(done, ["a", "b"], "left_anti"), "more")
         found = common.written(_linked(more, arrays), "links")
