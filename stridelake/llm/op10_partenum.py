@@ -6,7 +6,7 @@ makes one signature. Two sets that link differ in at most k elements, k from the
 least `least` signatures. A set near the upper end of its band also signs for the next band.
 
 Hot groups: sets that are equal are one node from the start. Sets that share fewer signatures than any link needs are left
-out. The others are first compared with the least node of each shared signature (linear in a group's size); what then
+out. The others are first compared with the node that is the least of most of their signatures (one comparison each); what then
 forms one component needs no more comparing. For nodes that still share enough signatures with another component, the parts
 are cut down to single elements: a link shares 80 of 100 of them, so it must share one of the rarest that are left when
 all but one of those are set aside, and only pairs that do are compared. No bucket, partner or candidate is capped.
@@ -50,32 +50,53 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
+    """A number for each word, and the words' hashes by number."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = np.zeros(1 << 12, np.uint64)
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+        n = self[word] = len(self)
+        if n == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros(n, np.uint64)])
+        self.hashes[n] = xxhash.xxh3_64_intdigest(word)
+        return n
 
 
 _words = _Words()
 
 
-def shingles(text: str | None, seed: int = 0) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
+def batch_shingles(texts: list[str | None], seed: int = 0) -> list[np.ndarray]:
+    """For each text, the sorted distinct hashes of its shingles."""
+    global _words
     if len(_words) > CACHED_WORDS:
-        _words.clear()
-    h = _mix(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)) + np.uint64(seed))
-    width = min(WORDS, len(h))
-    if len(h) < WORDS:
-        h = np.concatenate([h, np.array([len(h)], np.uint64)])
-        width = len(h)
-    out = np.zeros(len(h) - width + 1, np.uint64)
-    for k in range(width):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)])
-    return np.unique(out)
+        _words = _Words()
+    look, at, counts = _words.__getitem__, [], []
+    for text in texts:
+        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+        at.extend(map(look, words))
+        counts.append(len(words))
+    h = _mix(_words.hashes[np.array(at, np.int64)] + np.uint64(seed))
+    rolled = np.zeros(max(0, len(h) - WORDS + 1), np.uint64)
+    for k in range(WORDS):
+        rolled = _mix(rolled * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(rolled)])
+    out, start = [], 0
+    for n in counts:
+        if n >= WORDS:
+            own = np.sort(rolled[start : start + n - WORDS + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        elif n:
+            whole = np.array([n], np.uint64)
+            for k in range(n):
+                whole = _mix(whole * np.uint64(0x9E3779B97F4A7C15) + h[start + k : start + k + 1])
+            out.append(whole)
+        else:
+            out.append(np.zeros(0, np.uint64))
+        start += n
+    return out
 
 
 #: (smallest, largest) size of each band, made as far as sets need them.
@@ -132,8 +153,8 @@ def signatures(u: np.ndarray) -> list[tuple[np.ndarray, int]]:
 
 
 def _flat(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[int, np.ndarray]]:
-    for k, text in enumerate(batch.column(1).to_pylist()):
-        yield k, shingles(text, seed)
+    for at in range(0, batch.num_rows, 256):
+        yield from enumerate(batch_shingles(batch.column(1).slice(at, 256).to_pylist(), seed), at)
 
 
 def _digest(u: np.ndarray) -> tuple[int, int]:
@@ -210,13 +231,13 @@ def _enough(rows: DataFrame, apart: str) -> DataFrame:
 def _linked(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     one, two = arrays.select(F.col("node").alias("a"), F.col("items").alias("x")), arrays.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(two, "b").join(one, "a")
-    return joined.where(100 * both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select("a", "b")
+    joined = pairs.join(one, "a").join(two, "b")
+    return joined.where(100 * both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
 
 
 def _refined(nodes: DataFrame, arrays: DataFrame) -> DataFrame:
     """Pairs (a, b) over two labels that share one of their rarest elements, ranked so that any link must share one."""
-    items = arrays.join(nodes, "node").select("node", "label", F.size("items").alias("n"), F.explode("items").alias("item"))
+    items = arrays.join(nodes, "node").dropDuplicates(["node"]).select("node", "label", F.size("items").alias("n"), F.explode("items").alias("item"))
     common_items = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("item", "df")
     shared = items.join(common_items, "item")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "item"))
@@ -241,13 +262,15 @@ def link(docs: DataFrame) -> DataFrame:
         seed += 1  # two different sets have one digest: hash anew
     known = docs.where("doc_id is not null")
     rows = common.written(_enough(signed(known, seed), "node"), "signed")
+    # Each node with the least node of most of its signatures; what that misses is left to the refined step.
     pivot = F.min("node").over(Window.partitionBy("sig"))
-    pairs = common.written(rows.select("node", pivot.alias("b")).where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    stars = rows.select(F.col("node").alias("a"), pivot.alias("b")).where("a <> b").groupBy("a", "b").count()
+    pairs = common.written(stars.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")), "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(rows.select("node")).distinct()
     ids = common.written(sizes.where("n_shingles > 0 and doc_id is not null").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     arrays = set_arrays(known.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), seed)
-    arrays = common.written(arrays.dropDuplicates(["node"]), "arrays")
+    arrays = common.written(arrays, "arrays")
     edges = common.written(_linked(pairs, arrays), "links")
     labels = components(edges)
     # What the comparisons with the least node leave open: pairs over two components that share enough signatures.

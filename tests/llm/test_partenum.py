@@ -60,14 +60,14 @@ def test_small_sets_and_edges(spark):
 
 
 def test_against_all_pairs(spark):
-    rows = made(1, 150, [6, 9, 14, 30], [0, 1, 2]) + [(20_000 + d, t) for d, t in made(2, 200, [80, 120, 300], [0, 2, 5, 9, 14])]
+    rows = made(1, 100, [6, 9, 14, 30], [0, 1, 2]) + [(20_000 + d, t) for d, t in made(2, 130, [80, 120, 300], [0, 2, 5, 9, 14])]
     assert got(spark, rows) == plain(rows)
 
 
 def test_chains_of_near_copies(spark):
     rng = random.Random(5)
     text, rows = [str(rng.random()) for _ in range(200)], []
-    for k in range(60):
+    for k in range(40):
         text = list(text)
         text[(k * 3) % 200] = str(rng.random())
         rows.append((1000 - k, " ".join(text)))
@@ -76,7 +76,7 @@ def test_chains_of_near_copies(spark):
 
 
 def test_test_tables(spark):
-    rows = [(r[0], r[1]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    rows = [(r[0], r[1]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     found = got(spark, rows)
     assert found == plain(rows) and len({c for _, _, c in found}) < len(found)
 
