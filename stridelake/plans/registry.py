@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+
+from stridelake.operators import joins, reports, rotations, selection, statistics, transforms, validation, windows
+from stridelake.operators.base import Operator, other_dialect
+from stridelake.plans import fixtures
+
 FLAGSHIP = "e1_clip_report"
 
+OPERATORS: dict[str, Operator] = {}
+for _module in (rotations, validation, joins, statistics, reports, windows, selection, transforms):
+    OPERATORS |= _module.OPERATORS
+
+
+def _run(operator: Operator, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operator(spark, **fixtures.frames(spark, sf_dir, operator.inputs))
+
 
 def queries() -> dict:
-    return {}
+    return {k: partial(_run, op) for k, op in OPERATORS.items()}
+
+
+def _oracle(operator: Operator) -> str:
+    views = []
+    for name in fixtures.needed(operator.inputs):
+        text = f"SELECT range AS n FROM range({fixtures.NUMBERS})" if name == "numbers" else fixtures.VIEWS[name].sql
+        views.append(f"{name} AS ({text})")
+    text = f"SELECT * FROM ({operator.sql}) result"
+    text = f"WITH {', '.join(views)} {text}" if views else text
+    for name in {*fixtures.TABLES, *fixtures.VIEWS, "numbers"}:
+        text = text.replace("{" + name + "}", name)
+    return other_dialect(text)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: _oracle(op) for k, op in OPERATORS.items()}
