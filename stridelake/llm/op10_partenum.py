@@ -6,7 +6,7 @@ makes one signature. Two sets that link differ in at most k elements, k from the
 least `least` signatures. A set near the upper end of its band also signs for the next band.
 
 Hot groups: sets that are equal are one node from the start. Sets that share fewer signatures than any link needs are left
-out. The others are first compared with the node that is the least of most of their signatures (one comparison each); what then
+out. The others are first compared with the centre of most of their signatures (one comparison each), in a few turns with new centres; what then
 forms one component needs no more comparing. For nodes that still share enough signatures with another component, the parts
 are cut down to single elements: a link shares 80 of 100 of them, so it must share one of the rarest that are left when
 all but one of those are set aside, and only pairs that do are compared. No bucket, partner or candidate is capped.
@@ -40,6 +40,8 @@ SPARE = 1 / 8
 #: Ids up to this many are broadcast (about 24 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 CACHED_WORDS = 500_000
+#: Turns in which the open nodes are compared with new centres before pairs are sought one by one.
+TURNS = 3
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -228,6 +230,20 @@ def _enough(rows: DataFrame, apart: str) -> DataFrame:
     return shared.withColumn("n", F.count(F.lit(1)).over(by_node)).where(F.col("n") >= F.shiftright("tag", 1)).drop("n")
 
 
+def _stars(rows: DataFrame, turn: int = 0) -> DataFrame:
+    """A pair (a, b) for each node: b is the centre of most of its signatures that are shared with another label.
+
+    A signature's centre is the node of its group that shares most signatures with most others; in later turns, one drawn
+    by a hash of the turn, so that the centres change.
+    """
+    by_sig = Window.partitionBy("sig")
+    sized = rows.select("node", "sig", "label", F.count(F.lit(1)).over(by_sig).alias("size"))
+    weight = F.sum("size").over(Window.partitionBy("node")) if turn == 0 else F.xxhash64(F.lit(turn), "node")
+    centred = sized.withColumn("weight", weight).withColumn("centre", F.max(F.struct("weight", "node", "label")).over(by_sig))
+    stars = centred.where("label <> centre.label").groupBy(F.col("node").alias("a"), F.col("centre.node").alias("b")).count()
+    return stars.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+
+
 def _linked(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     one, two = arrays.select(F.col("node").alias("a"), F.col("items").alias("x")), arrays.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -262,10 +278,7 @@ def link(docs: DataFrame) -> DataFrame:
         seed += 1  # two different sets have one digest: hash anew
     known = docs.where("doc_id is not null")
     rows = common.written(_enough(signed(known, seed), "node"), "signed")
-    # Each node with the least node of most of its signatures; what that misses is left to the refined step.
-    pivot = F.min("node").over(Window.partitionBy("sig"))
-    stars = rows.select(F.col("node").alias("a"), pivot.alias("b")).where("a <> b").groupBy("a", "b").count()
-    pairs = common.written(stars.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")), "pairs")
+    pairs = common.written(_stars(rows.withColumn("label", F.col("node"))), "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(rows.select("node")).distinct()
     ids = common.written(sizes.where("n_shingles > 0 and doc_id is not null").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
@@ -273,16 +286,24 @@ def link(docs: DataFrame) -> DataFrame:
     arrays = common.written(arrays, "arrays")
     edges = common.written(_linked(pairs, arrays), "links")
     labels = components(edges)
-    # What the comparisons with the least node leave open: pairs over two components that share enough signatures.
-    labelled = rows.join(labels, "node", "left").select("node", "tag", "sig", F.coalesce("label", "node").alias("label"))
-    rest = common.written(_enough(labelled, "label"), "rest")
-    if rest.limit(1).count():
-        more = _refined(rest.select("node", "label").distinct(), arrays)
-        done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for turn in range(TURNS + 1):
+        # What is open: nodes that share enough signatures with another component.
+        labelled = rows.join(labels, "node", "left").select("node", "tag", "sig", F.coalesce("label", "node").alias("label"))
+        rest = common.written(_enough(labelled, "label"), "rest")
+        if not rest.limit(1).count():
+            break
+        if turn < TURNS:
+            more = _stars(rest, turn + 1)
+            more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        else:
+            more = _refined(rest.select("node", "label").distinct(), arrays)
         more = common.written(more.join(done, ["a", "b"], "left_anti"), "more")
         found = common.written(_linked(more, arrays), "links")
+        done = done.union(more)
         if found.limit(1).count():
-            labels = components(edges.union(found))
+            edges = edges.union(found)
+            labels = components(edges)
     linked = sizes.where("doc_id is not null and n_shingles > 0").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = linked.groupBy("node", "label").agg(F.min("doc_id").alias("least"))
     least = least.join(least.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
