@@ -59,12 +59,22 @@ SELECT l.rater, {num('sum(l.n * r.n * CASE WHEN l.rating < r.rating THEN 1e0 WHE
     e44_human_audit_policy="SELECT family, CASE WHEN bool_and(preference = 'approximately_equal') OR (count(*) >= 100 AND count_if(p_a >= p_b) >= 0.4e0 * count(*)) THEN 'CERTAIN' ELSE 'HUMAN_REQUIRED' END AS policy, count(*) AS n FROM {pairs} GROUP BY family",
     e45_preference_eval=f"SELECT split, count_if(preference <> 'approximately_equal') AS directional, {num(chr(10) + 'avg(CASE WHEN preference = ' + chr(39) + 'a_better' + chr(39) + ' THEN CASE WHEN p_a > p_b THEN 1e0 ELSE 0e0 END WHEN preference = ' + chr(39) + 'b_better' + chr(39) + ' THEN CASE WHEN p_b > p_a THEN 1e0 ELSE 0e0 END END)')} AS accuracy, count_if(preference = 'approximately_equal' AND abs(p_a / (p_a + p_b) - 0.5e0) > 0.1e0) AS false_preference FROM {{pairs}} GROUP BY split",
     e46_comparator_readiness="SELECT coalesce(p.family, 'unexpected') AS family, count(p.pair_id) AS expected, count(q.o_orderkey) AS predicted, count_if(p.pair_id IS NULL) AS unexpected, count_if(q.o_orderkey IS NULL) AS missing FROM (SELECT * FROM {pairs} WHERE source % 11 <> 0) p FULL OUTER JOIN (SELECT o_orderkey FROM {orders} WHERE o_custkey % 13 <> 0) q ON p.pair_id = q.o_orderkey GROUP BY coalesce(p.family, 'unexpected')",
+    e47_ordinal_vs_direct=f"""
+SELECT d.family, count(*) AS n, count_if((d.rating > 4) = (a.quality > b.quality)) AS agree, {num('avg(CASE WHEN abs(a.quality - b.quality) <= a.width + b.width THEN 1e0 ELSE 0e0 END)')} AS overlap FROM {{observations}} d
+JOIN (SELECT stimulus, avg(rating) AS quality, 1.96e0 * stddev_pop(rating) / sqrt(count(*)) AS width FROM {{observations}} WHERE task <> 'pair' GROUP BY stimulus) a ON d.stimulus = a.stimulus JOIN (SELECT stimulus, avg(rating) AS quality, 1.96e0 * stddev_pop(rating) / sqrt(count(*)) AS width FROM {{observations}} WHERE task <> 'pair' GROUP BY stimulus) b ON d.second = b.stimulus
+WHERE d.task = 'pair' AND d.rating <> 4 GROUP BY d.family""",
     e48_completion_audit="SELECT rater, count(DISTINCT stimulus) AS done, count(DISTINCT stimulus) = 60 AS complete FROM {observations} WHERE observation_id % 97 <> 0 GROUP BY rater",
     e49_residual_energy=f"SELECT coalesce(motion_id, -1) AS motion_id, coalesce(joint, -1) AS joint, {num('sum(energy)')} AS energy FROM {ENERGY} e GROUP BY GROUPING SETS ((), (motion_id), (joint), (motion_id, joint))",
     e50_spectral_energy=f"SELECT s.motion_id, CAST(k.n AS BIGINT) AS k, {num('sum(s.x * cos(3.141592653589793e0 * (2 * s.frame + 1) * k.n / (2e0 * c.t))) * sqrt((CASE WHEN k.n = 0 THEN 1e0 ELSE 2e0 END) / max(c.t))')} AS coefficient FROM {{series}} s JOIN (SELECT motion_id, count(*) AS t FROM {{series}} GROUP BY motion_id) c ON s.motion_id = c.motion_id JOIN {{numbers}} k ON k.n < 8 GROUP BY s.motion_id, k.n",
     e51_repair_path_order="SELECT motion_id, count_if(nxt >= v) AS ordered_steps, count_if(nxt < v) AS inversions FROM (SELECT *, lead(v) OVER (PARTITION BY motion_id ORDER BY alpha) AS nxt FROM (SELECT s.motion_id, k.n AS alpha, round(sum(abs(s.x * k.n / 20e0)), 6) AS v FROM {series} s JOIN {numbers} k ON k.n <= 20 GROUP BY s.motion_id, k.n) p) q WHERE nxt IS NOT NULL GROUP BY motion_id",
     e52_repair_effect=f"SELECT motion_id, {num('before')} AS before, {num('after')} AS after, {num('(before - after) / nullif(before - clean, 0)')} AS repaired FROM (SELECT motion_id, max(height) AS before, percentile(height, 0.9) AS after, min(height) AS clean FROM {{contacts}} GROUP BY motion_id) s",
+    e57_paired_target_metric=f"SELECT c.motion_id, c.marker, {num('max(k.height)')} AS near_peak, {num('percentile(k.speed, 0.95)')} AS speed_p95 FROM (SELECT motion_id, marker, max_by(frame, height * 1000000 + frame) AS top FROM {{contacts}} GROUP BY motion_id, marker) c JOIN {{contacts}} k ON k.motion_id = c.motion_id AND k.marker = c.marker AND k.frame BETWEEN c.top - 2 AND c.top + 2 GROUP BY c.motion_id, c.marker",
     e58_ablation_summary=f"SELECT family, {num('avg(CASE WHEN target THEN score END)')} AS positive, {num('avg(CASE WHEN NOT target THEN score END)')} AS negative FROM {{scores}} GROUP BY family",
     e59_failure_classes="SELECT c.cause, count(f.motion_id) AS n FROM (SELECT CASE n WHEN 0 THEN 'height' WHEN 1 THEN 'speed' WHEN 2 THEN 'budget' ELSE 'none' END AS cause FROM {numbers} WHERE n < 4) c LEFT JOIN (SELECT motion_id, CASE WHEN max(height) > 0.0999e0 AND avg(speed) > 0.16e0 THEN 'height' WHEN avg(speed) > 0.16e0 THEN 'speed' ELSE 'none' END AS cause FROM {contacts} GROUP BY motion_id) f ON c.cause = f.cause GROUP BY c.cause",
+    s2_presentation_auth=f"""
+SELECT rater, stimulus, count(*) AS answers, {num('min(response_ms)')} AS fastest, CASE WHEN count(*) = 0 THEN 'unserved' WHEN min(trial) < 1 THEN 'order' WHEN min(response_ms) < 100 THEN 'too fast' ELSE 'authentic' END AS verdict FROM {{observations}} WHERE observation_id % 97 <> 0 GROUP BY rater, stimulus""",
+    s3_amendments="""
+SELECT p.observation_id, p.rating, a.rating AS amended, coalesce(a.rating, p.rating) AS final_rating FROM (SELECT * FROM {observations} WHERE task = 'naturalness') p LEFT JOIN (
+  SELECT rater, stimulus, min(observation_id) AS id, min_by(rating, observation_id) AS rating FROM {observations} WHERE task = 'style' GROUP BY rater, stimulus) a ON p.rater = a.rater AND p.stimulus = a.stimulus AND a.id > p.observation_id""",
     e60_head_to_head="SELECT source, CASE WHEN s IS NULL OR g IS NULL THEN 'unavailable' WHEN abs(s - g) <= greatest(1e-12, 1e-9 * abs(g)) THEN 'tie' WHEN s < g THEN 'specialist' ELSE 'generic' END AS winner FROM (SELECT source, min(CASE WHEN flag = 'A' THEN severity END) AS s, min(CASE WHEN flag = 'N' THEN severity END) AS g FROM {attempts} GROUP BY source) c",
 )

@@ -36,6 +36,10 @@ OPERATORS = operators(
     i2_inject_hip_drift=turned(("0.2e0 * e", "0e0", "0e0"), "joint = 1"),
     i3_inject_penetration_floating=f"SELECT motion_id, frame, {num('y - 0.03e0 * e')} AS penetrating, {num('y + 0.05e0 * e')} AS floating FROM {ROOT}",
     i4_inject_pop=f"SELECT {KEY}, {named(multiply(Q, ('cos(0.2e0)', 'sin(0.2e0)', '0e0', '0e0')), 'w x y z')} FROM {{poses}} WHERE frame = 20 AND joint = 4 UNION ALL SELECT {KEY}, {named(Q, 'w x y z')} FROM {{poses}} WHERE NOT (frame = 20 AND joint = 4)",
+    i5_inject_jitter=f"""
+SELECT motion_id, frame, {num('x + 0.01e0 * noise / greatest(1e-9, sqrt(avg(noise * noise) OVER (PARTITION BY motion_id)))')} AS x FROM (
+  SELECT motion_id, frame, x, 0.15e0 * coalesce(lag(u) OVER w, 0e0) + 0.35e0 * u + 0.35e0 * coalesce(lead(u) OVER w, 0e0) + 0.15e0 * coalesce(lead(u, 2) OVER w, 0e0) AS noise FROM (
+    SELECT motion_id, frame, x, (((motion_id * 7919 + frame) * 1103515245 + 12345) % 2147483648) / 2147483648e0 - 0.5e0 AS u FROM {{series}}) d WINDOW w AS (PARTITION BY motion_id ORDER BY frame)) s""",
     i6_inject_limb_shift=blend(SHIFTED),
     i7_inject_time_warp=f"""
 SELECT w.motion_id, w.frame, {named(('a.x + w.f * (b.x - a.x)', 'a.y + w.f * (b.y - a.y)', 'a.z + w.f * (b.z - a.z)'), 'x y z')} FROM (SELECT *, u - lo AS f FROM (SELECT *, least(t - 2e0, floor(u)) AS lo FROM (

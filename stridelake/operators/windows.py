@@ -62,6 +62,10 @@ JOIN {series} s ON s.motion_id = c.motion_id AND s.frame >= 16 * k.n AND s.frame
     f13_canonicalize=f"""
 SELECT r.motion_id, r.frame, {named(['cos(yaw) * (r.x - e.x0) - sin(yaw) * (r.z - e.z0)', 'r.y', 'sin(yaw) * (r.x - e.x0) + cos(yaw) * (r.z - e.z0)'], 'x y z')} FROM {{roots}} r JOIN (
   SELECT motion_id, x0, z0, atan2(x1 - x0, z1 - z0) AS yaw FROM (SELECT motion_id, min_by(x, frame) AS x0, max_by(x, frame) AS x1, min_by(z, frame) AS z0, max_by(z, frame) AS z1 FROM {{roots}} GROUP BY motion_id) f) e ON r.motion_id = e.motion_id""",
+    f14_facing_features=f"""
+SELECT r.motion_id, r.frame, {named(['cos(y.yaw) * (r.x - y.x0) - sin(y.yaw) * (r.z - y.z0)', 'sin(y.yaw) * (r.x - y.x0) + cos(y.yaw) * (r.z - y.z0)'], 'side forward')}, {num('(coalesce(lead(r.z) OVER w, r.z) - r.z) * 60')} AS forward_speed, {named(['p.x', 'p.y', 'p.z'], 'px py pz')}
+FROM {{roots}} r JOIN (SELECT motion_id, min_by(x, frame) AS x0, min_by(z, frame) AS z0, atan2(max_by(x, frame) - min_by(x, frame), max_by(z, frame) - min_by(z, frame)) AS yaw FROM {{roots}} GROUP BY motion_id) y ON r.motion_id = y.motion_id
+JOIN {{poses}} p ON p.motion_id = r.motion_id AND p.frame = r.frame AND p.joint = 0 WINDOW w AS (PARTITION BY r.motion_id ORDER BY r.frame)""",
     f15_smallest_energy_interval="""
 SELECT motion_id, start_, stop_ FROM (
   SELECT a.motion_id, a.frame AS start_, min(b.frame) + 1 AS stop_, row_number() OVER (PARTITION BY a.motion_id ORDER BY min(b.frame) - a.frame, a.frame) AS k

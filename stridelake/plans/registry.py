@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from stridelake.operators import joins, reports, rotations, selection, statistics, transforms, validation, windows
 from stridelake.operators.base import Operator, other_dialect
-from stridelake.plans import fixtures
+from stridelake.plans import extra, fixtures
 
 FLAGSHIP = "e1_clip_report"
 
@@ -22,7 +23,7 @@ def _run(operator: Operator, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {k: partial(_run, op) for k, op in OPERATORS.items()}
+    return {k: partial(_run, op) for k, op in OPERATORS.items()} | extra.QUERIES
 
 
 def _oracle(operator: Operator) -> str:
@@ -38,4 +39,8 @@ def _oracle(operator: Operator) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: _oracle(op) for k, op in OPERATORS.items()}
+    texts = {k: _oracle(op) for k, op in OPERATORS.items()}
+    names = "|".join([*fixtures.TABLES, *fixtures.VIEWS])
+    for k, sql in extra.TEXTS.items():
+        texts[k] = _oracle(Operator(k, tuple(dict.fromkeys(re.findall(rf"\{{({names})\}}", sql))), sql))
+    return texts | {"s4_stream_contacts": texts["f4_contact_hysteresis"]}
