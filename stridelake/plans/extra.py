@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.operators import extend, fits
+from stridelake.operators import extend, fits, kinematics
 from stridelake.plans import fixtures
 from stridelake.sources import bvh, logs
 from stridelake.sources.scratch import folder
@@ -24,6 +24,19 @@ def a1_bvh_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("motion_id", "frame", "joint", "name", *[F.round(f"q.{c}", 6).alias(c) for c in "wxyz"], *[F.round(f"root_{c}", 6).alias(f"root_{c}") for c in "xyz"])
 
 
+def _world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kinematics.world(*(_view(spark, sf_dir, n) for n in ("poses", "roots", "joints")))
+
+
+def d10_forward_kinematics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _world(spark, sf_dir).select("motion_id", "frame", "joint", *[F.round(c, 6).alias(c) for c in ("w", "x", "y", "z", "px", "py", "pz")])
+
+
+def d11_marker_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kinematics.markers(_world(spark, sf_dir).where("joint BETWEEN 11 AND 14"), (0.01, -0.05, 0.02))
+    return found.select("motion_id", "frame", "marker", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
 def a4_jsonl_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, path = _view(spark, sf_dir, "observations").select("observation_id", "rater", "task", "rating"), folder(spark, "jsonl")
     logs.write_jsonl(rows, path)
@@ -110,7 +123,7 @@ def u3_score_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("place <= 10")
 
 
-QUERIES = {f.__name__: f for f in (a1_bvh_ingest, a4_jsonl_source, a5_jsonl_sink, a9_log_prefix_freeze, s1_stream_observations, s4_stream_contacts, s5_stream_staircase, e16_notice_rates, e53_psychometric_fit, e54_ordinal_calibration, e56_latent_quality, g6_balanced_sample, g7_stratified_overlap, g9_query_schedule, u1_register_metric, u2_register_mechanism, u3_score_callback)}
+QUERIES = {f.__name__: f for f in (a1_bvh_ingest, d10_forward_kinematics, d11_marker_positions, a4_jsonl_source, a5_jsonl_sink, a9_log_prefix_freeze, s1_stream_observations, s4_stream_contacts, s5_stream_staircase, e16_notice_rates, e53_psychometric_fit, e54_ordinal_calibration, e56_latent_quality, g6_balanced_sample, g7_stratified_overlap, g9_query_schedule, u1_register_metric, u2_register_mechanism, u3_score_callback)}
 
 #: Texts over the fixture views, for those queries whose result SQL can state.
 TEXTS = {
