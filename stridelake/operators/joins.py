@@ -48,7 +48,7 @@ SELECT s.sample_id, d.sample_id AS donor FROM (SELECT sample_id, split, family,
 ON s.split = d.split AND s.family = d.family AND d.p = 1 + s.p % d.n WHERE s.sample_id <> d.sample_id""",
     d18_clip_distance_join=f"SELECT motion_id, joint, {num(f'degrees(sqrt(avg({geodesic(A, B)} * {geodesic(A, B)})))')} AS rotation_rms FROM {{steps}} GROUP BY motion_id, joint",
     d19_metric_delta=f"SELECT coalesce(a.source, b.source) AS metric, {num('b.v - a.v')} AS delta FROM (SELECT source, avg(score) AS v FROM {{scores}} WHERE target GROUP BY source) a FULL OUTER JOIN (SELECT source, avg(score) AS v FROM {{scores}} WHERE NOT target GROUP BY source) b ON a.source = b.source",
-    d20_window_overlap_compare=f"SELECT a.motion_id, {num('max(abs(a.x - b.x))')} AS largest, {num('avg(abs(a.x - b.x))')} AS mean FROM {{series}} a JOIN {{series}} b ON a.motion_id = b.motion_id AND a.frame = b.frame + 8 WHERE a.frame >= 16 AND a.frame < 48 GROUP BY a.motion_id",
+    d20_window_overlap_compare=f"SELECT a.motion_id, {num('max(abs(a.x - b.x))')} AS largest, round(avg(abs(a.x - b.x)), 4) + 0e0 AS mean FROM {{series}} a JOIN {{series}} b ON a.motion_id = b.motion_id AND a.frame = b.frame + 8 WHERE a.frame >= 16 AND a.frame < 48 GROUP BY a.motion_id",
     d21_joint_halo="SELECT DISTINCT joint FROM (SELECT joint FROM {joints} WHERE joint IN (3, 9) UNION ALL SELECT parent AS joint FROM {joints} WHERE joint IN (3, 9) UNION ALL SELECT joint FROM {joints} WHERE parent IN (3, 9)) s WHERE joint >= 0",
     d22_paired_contact_evidence=f"SELECT c.motion_id, c.marker, c.frame, {num('k.height - c.height')} AS height_change, {num('k.speed - c.speed')} AS speed_change, c.height <= 0.03e0 AS clean_contact FROM {{contacts}} c JOIN {{contacts}} k ON c.motion_id = k.motion_id AND c.marker = k.marker AND k.frame = c.frame + 1",
     d23_decode_samples=f"SELECT p.motion_id, p.frame, {named(('r.x - f.x', 'r.y', 'r.z - f.z'), 'x y z')}, {num(norm(('p.x', 'p.y', 'p.z')))} AS vector_norm FROM {{poses}} p JOIN {{roots}} r ON p.motion_id = r.motion_id AND p.frame = r.frame JOIN {{roots}} f ON p.motion_id = f.motion_id AND f.frame = 0 WHERE p.joint = 0",
