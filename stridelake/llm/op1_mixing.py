@@ -5,8 +5,9 @@
 2. Every document's words are looked up and added up to its domain posteriors; a document counts as EFFECTIVE words at
    most, so that posteriors stay soft.
 3. Rates r >= 0 minimise the squared errors of sum(r * tokens * posterior) against the targets, by projected
-   gradient steps in the metric of the documents' tokens, with momentum. A step's gradient is one number for each domain, so a step is one
-   aggregate over the narrow table, and a document's rate is a fold over the gradients so far: no state is passed on.
+   gradient steps in the metric of the documents' tokens, with momentum. A rate depends on the posteriors alone, and these come
+   in steps, so the tokens are first summed up by posteriors (at most 33,153 rows at any size); a step's gradient is one
+   aggregate over these rows, a rate is a fold over the gradients so far, and the documents get theirs by a broadcast join.
 
 Defined results: a null or empty text has no tokens, the prior as posteriors and the rate they give; a label that is null or
 names no document is left out; without labelled documents all posteriors are equal; repeated rows have equal rates; an
@@ -27,6 +28,8 @@ BUCKETS = 4096
 EFFECTIVE = 40
 DOMAINS = ["good", "poor", "toxic"]
 TARGETS = {"good": 0.95, "poor": 0.03, "toxic": 0.02}
+#: Posteriors are given in steps of 1 / GRID, so all documents share at most (GRID + 1) * (GRID + 2) / 2 different ones.
+GRID = 256
 STEPS = 60
 #: Largest error of a domain, as a share of all tokens, at which the steps end.
 CLOSE = 1e-5
@@ -73,7 +76,8 @@ def posteriors(docs: DataFrame, model: DataFrame, prior: list[float]) -> DataFra
     top = F.greatest("z0", "z1", "z2")
     odds = logits.select("doc_id", "text_hash", "tokens", *[F.exp(F.col(f"z{k}") - top).alias(f"e{k}") for k in range(3)])
     whole = F.col("e0") + F.col("e1") + F.col("e2")
-    return odds.select("doc_id", "text_hash", "tokens", *[(F.col(f"e{k}") / whole).alias(f"p{k}") for k in range(3)])
+    stepped = odds.select("doc_id", "text_hash", "tokens", *[(F.floor(F.col(f"e{k}") / whole * GRID) / GRID).alias(f"p{k}") for k in (0, 1)])
+    return stepped.withColumn("p2", 1 - F.col("p0") - F.col("p1"))
 
 
 def _fold(past: list[list[float]], point: str) -> Column:
@@ -96,7 +100,7 @@ def rate(past: list[list[float]]) -> Column:
 
 
 def fit(members: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, steps: int = STEPS) -> list[list[float]]:
-    """Steps of the projected gradient on members (tokens, p0 .. p2). budget: tokens to give out, all by default."""
+    """Steps of the projected gradient on rows (tokens, p0 .. p2). budget: tokens to give out, all by default."""
     start = members.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"p{k}")), F.lit(0.0)) for k in range(3)], *[F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")), F.lit(0.0)) for i in range(3) for j in range(3)]).first()
     have = list(start[:3])
     budget = sum(have) if budget is None else budget
@@ -125,9 +129,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """doc_id, text_hash, tokens, posteriors, rate and copies (the rate rounded by a seeded draw) of documents (doc_id, text)."""
     model, prior = weights(docs, labels)
     members = common.written(posteriors(docs, model, prior), "members")
-    past = fit(members, targets)
+    cells = common.written(members.groupBy("p0", "p1", "p2").agg(F.sum("tokens").alias("tokens")).coalesce(1), "cells")
+    past = fit(cells, targets)
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.lit(1 << 30)) / float(1 << 30)
-    rated = members.withColumn("rate", rate(past))
+    rated = members.join(F.broadcast(cells.select("p0", "p1", "p2", rate(past).alias("rate"))), ["p0", "p1", "p2"])
     return rated.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
 
 
