@@ -85,8 +85,8 @@ def _fold(past: list[list[float]], point: str) -> Column:
     r' = max(0, y - sum of p_k * g_k) and y' = r' + momentum * (r' - r)."""
     if not past:
         return F.lit(1.0)
-    names = ["g0", "g1", "g2", "momentum"]
-    steps = F.array(*[F.struct(*[F.lit(float(g)).alias(n) for n, g in zip(names, step, strict=True)]) for step in past])
+    rows = ", ".join("named_struct('g0', {!r}D, 'g1', {!r}D, 'g2', {!r}D, 'momentum', {!r}D)".format(*map(float, step)) for step in past)
+    steps = F.expr(f"array({rows})")
 
     def move(at: Column, g: Column) -> Column:
         r = F.greatest(F.lit(0.0), at["y"] - sum(F.col(f"p{k}") * g[f"g{k}"] for k in range(3)))
@@ -116,8 +116,8 @@ def fit(members: DataFrame, targets: dict[str, float] = TARGETS, budget: float |
         v = [x / size for x in v]
     past: list[list[float]] = []
     for _ in range(steps):
-        r = _fold(past, "y")
-        got = members.agg(*[F.coalesce(F.sum(r * F.col("tokens") * F.col(f"p{k}")), F.lit(0.0)) for k in range(3)]).first()
+        now = members.select("p0", "p1", "p2", "tokens", _fold(past, "y").alias("y"))
+        got = now.agg(*[F.coalesce(F.sum(F.col("y") * F.col("tokens") * F.col(f"p{k}")), F.lit(0.0)) for k in range(3)]).first()
         miss = [(got[k] - goal[k]) / unit[k] if k in used else 0.0 for k in range(3)]
         if max(map(abs, miss)) < CLOSE:
             break
