@@ -27,6 +27,8 @@ CLEAN = f"""SELECT motion_id, marker, min(start_) AS start_, max(stop_) AS stop_
   SELECT *, sum(CASE WHEN start_ - last_stop <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY motion_id, marker ORDER BY start_ ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM ({KEPT}) k) g GROUP BY motion_id, marker, grp"""
 EVENTS = f"""SELECT motion_id, marker % 2 AS side, 'heel_strike' AS kind, start_ AS frame FROM ({CLEAN}) c1 WHERE start_ > 0 UNION ALL SELECT motion_id, marker % 2 AS side, 'toe_off' AS kind, stop_ AS frame FROM ({CLEAN}) c2"""
 STRIKES = f"""SELECT motion_id, frame, max(side) AS side FROM (SELECT DISTINCT motion_id, side, frame FROM ({EVENTS}) ev WHERE kind = 'heel_strike') d GROUP BY motion_id, frame HAVING count(*) = 1"""
+#: Each frame's energy, the energy up to it, and the whole.
+PREFIX = "(SELECT motion_id, frame, x * x AS e, sum(x * x) OVER (PARTITION BY motion_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(x * x) OVER (PARTITION BY motion_id) AS whole FROM {series}) p"
 
 OPERATORS = operators(
     f1_finite_difference=f"SELECT motion_id, frame, {num('v')} AS v FROM ({FD}) fd",
@@ -66,12 +68,11 @@ SELECT r.motion_id, r.frame, {named(['cos(yaw) * (r.x - e.x0) - sin(yaw) * (r.z
 SELECT r.motion_id, r.frame, {named(['cos(y.yaw) * (r.x - y.x0) - sin(y.yaw) * (r.z - y.z0)', 'sin(y.yaw) * (r.x - y.x0) + cos(y.yaw) * (r.z - y.z0)'], 'side forward')}, {num('(coalesce(lead(r.z) OVER w, r.z) - r.z) * 60')} AS forward_speed, {named(['p.x', 'p.y', 'p.z'], 'px py pz')}
 FROM {{roots}} r JOIN (SELECT motion_id, min_by(x, frame) AS x0, min_by(z, frame) AS z0, atan2(max_by(x, frame) - min_by(x, frame), max_by(z, frame) - min_by(z, frame)) AS yaw FROM {{roots}} GROUP BY motion_id) y ON r.motion_id = y.motion_id
 JOIN {{poses}} p ON p.motion_id = r.motion_id AND p.frame = r.frame AND p.joint = 0 WINDOW w AS (PARTITION BY r.motion_id ORDER BY r.frame)""",
-    f15_smallest_energy_interval="""
-SELECT motion_id, start_, stop_ FROM (
-  SELECT a.motion_id, a.frame AS start_, min(b.frame) + 1 AS stop_, row_number() OVER (PARTITION BY a.motion_id ORDER BY min(b.frame) - a.frame, a.frame) AS k
-  FROM (SELECT motion_id, frame, sum(x * x) OVER (PARTITION BY motion_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - x * x AS before, sum(x * x) OVER (PARTITION BY motion_id) AS whole FROM {series}) a
-  JOIN (SELECT motion_id, frame, sum(x * x) OVER (PARTITION BY motion_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM {series}) b
-  ON a.motion_id = b.motion_id AND b.frame >= a.frame AND b.upto - a.before >= 0.95e0 * a.whole - 1e-9 * a.whole GROUP BY a.motion_id, a.frame) r WHERE k = 1""",
+    # As-of join on prefix sums: for each start, the first frame whose prefix reaches 95 of 100 of the energy from there.
+    f15_smallest_energy_interval=f"""
+SELECT motion_id, start_, stop_ FROM (SELECT *, row_number() OVER (PARTITION BY motion_id ORDER BY stop_ - start_, start_) AS k FROM (
+  SELECT motion_id, kind, frame AS start_, min(CASE WHEN kind = 1 THEN frame END) OVER (PARTITION BY motion_id ORDER BY v, kind, frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + 1 AS stop_ FROM (
+    SELECT motion_id, frame, 0 AS kind, upto - e + 0.95e0 * whole - 1e-9 * whole AS v FROM {PREFIX} UNION ALL SELECT motion_id, frame, 1 AS kind, upto AS v FROM {PREFIX}) u) s WHERE kind = 0 AND stop_ > start_) r WHERE k = 1""",
     f16_rank_percentiles=f"""
 SELECT family, sample_id, {num('(below + (same - 1) / 2e0) / greatest(1, n - 1)')} AS midrank, {num('1 / sqrt(n + 1e0)')} AS coverage FROM (
   SELECT family, sample_id, rank() OVER (PARTITION BY family ORDER BY score) - 1 AS below, count(*) OVER (PARTITION BY family, score) AS same, count(*) OVER (PARTITION BY family) AS n FROM {{scores}}) s""",
