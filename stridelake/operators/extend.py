@@ -42,3 +42,12 @@ def rank_with(candidates: DataFrame, scorer: Callable[[DataFrame], DataFrame], b
 
     scored = candidates.join(scorer(candidates), key, "left")
     return scored.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc_nulls_last("score"), key)))
+
+
+def whitelisted(features: DataFrame, allowed: list[str], forbidden: list[str]) -> DataFrame:
+    """The allowed feature columns alone; a forbidden name among them, or a missing column, is an error."""
+    if leaks := sorted(set(allowed) & set(forbidden)):
+        raise ValueError(f"metadata as features: {leaks}")
+    if missing := sorted(set(allowed) - set(features.columns)):
+        raise ValueError(f"missing features: {missing}")
+    return features.select(*allowed)

@@ -55,6 +55,10 @@ def a9_log_prefix_freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.freeze_prefix(spark, path).select("bytes", "rows", "sha256")
 
 
+def c13_leakage_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extend.whitelisted(_view(spark, sf_dir, "samples"), ["sample_id", "family", "severity"], ["split", "group_id", "mechanism"])
+
+
 def s1_stream_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("observation_id"), F.col("ts").cast("timestamp").alias("ts"), "user_id")
     path = folder(spark, "stream")
@@ -123,10 +127,11 @@ def u3_score_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("place <= 10")
 
 
-QUERIES = {f.__name__: f for f in (a1_bvh_ingest, d10_forward_kinematics, d11_marker_positions, a4_jsonl_source, a5_jsonl_sink, a9_log_prefix_freeze, s1_stream_observations, s4_stream_contacts, s5_stream_staircase, e16_notice_rates, e53_psychometric_fit, e54_ordinal_calibration, e56_latent_quality, g6_balanced_sample, g7_stratified_overlap, g9_query_schedule, u1_register_metric, u2_register_mechanism, u3_score_callback)}
+QUERIES = {f.__name__: f for f in (a1_bvh_ingest, d10_forward_kinematics, d11_marker_positions, a4_jsonl_source, a5_jsonl_sink, a9_log_prefix_freeze, c13_leakage_whitelist, s1_stream_observations, s4_stream_contacts, s5_stream_staircase, e16_notice_rates, e53_psychometric_fit, e54_ordinal_calibration, e56_latent_quality, g6_balanced_sample, g7_stratified_overlap, g9_query_schedule, u1_register_metric, u2_register_mechanism, u3_score_callback)}
 
 #: Texts over the fixture views, for those queries whose result SQL can state.
 TEXTS = {
+    "c13_leakage_whitelist": "SELECT sample_id, family, severity FROM {samples}",
     "a4_jsonl_source": "SELECT observation_id, rater, task, rating FROM {observations}",
     "a5_jsonl_sink": """SELECT concat('{"observation_id":', CAST(observation_id AS VARCHAR(20)), ',"rating":', CAST(rating AS VARCHAR(20)), ',"task":"', task, '"}') AS line FROM {observations}""",
     "s1_stream_observations": "SELECT DISTINCT CAST(event_id AS BIGINT) AS observation_id, user_id FROM {events}",

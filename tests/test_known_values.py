@@ -110,6 +110,14 @@ def test_user_functions(spark):
         extend.inject(frames, "up", 3)
 
 
+def test_leaks_are_errors(spark):
+    df = spark.range(1).select("id", F.lit("x").alias("split"))
+    assert extend.whitelisted(df, ["id"], ["split"]).columns == ["id"]
+    for allowed in (["id", "split"], ["id", "more"]):
+        with pytest.raises(ValueError):
+            extend.whitelisted(df, allowed, ["split"])
+
+
 def test_partitions_do_not_matter(spark, sf):
     series = spark.createDataFrame([(k % 3, k // 3, k / 60, float((k * 37) % 11)) for k in range(90)], "motion_id long, frame long, t_s double, x double")
     for name in ("f1_finite_difference", "i24_repair_smooth", "f15_smallest_energy_interval"):
