@@ -5,9 +5,9 @@
 2. Every document's words are looked up and added up to its domain posteriors; a document counts as EFFECTIVE words at
    most, so that posteriors stay soft.
 3. Rates r >= 0 minimise the squared errors of sum(r * tokens * posterior) against the targets, by projected
-   gradient steps in the metric of the documents' tokens, with momentum. A rate depends on the posteriors alone, and these come
-   in steps, so the tokens are first summed up by posteriors (at most 33,153 rows at any size); a step's gradient is one
-   aggregate over these rows, a rate is a fold over the gradients so far, and the documents get theirs by a broadcast join.
+   gradient steps in the metric of the documents' tokens, with momentum. A step's gradient is one number for each domain, so a
+   step is one aggregate over all documents' tokens and posteriors, and a rate is a fold over the gradients so far. The narrow
+   table of tokens, posteriors and rates is written anew after every KEPT steps, so that a step folds over KEPT gradients at most.
 
 Defined results: a null or empty text has no tokens, the prior as posteriors and the rate they give; a label that is null or
 names no document is left out; without labelled documents all posteriors are equal; repeated rows have equal rates; an
@@ -28,9 +28,11 @@ BUCKETS = 4096
 EFFECTIVE = 40
 DOMAINS = ["good", "poor", "toxic"]
 TARGETS = {"good": 0.95, "poor": 0.03, "toxic": 0.02}
-#: Posteriors are given in steps of 1 / GRID, so all documents share at most (GRID + 1) * (GRID + 2) / 2 different ones.
+#: Posteriors are exact; a test takes its tolerance from here.
 GRID = 256
 STEPS = 60
+#: So many steps are folded before the rates are written.
+KEPT = 10
 #: Largest error of a domain, as a share of all tokens, at which the steps end.
 CLOSE = 1e-5
 SEED = 11
@@ -76,15 +78,14 @@ def posteriors(docs: DataFrame, model: DataFrame, prior: list[float]) -> DataFra
     top = F.greatest("z0", "z1", "z2")
     odds = logits.select("doc_id", "text_hash", "tokens", *[F.exp(F.col(f"z{k}") - top).alias(f"e{k}") for k in range(3)])
     whole = F.col("e0") + F.col("e1") + F.col("e2")
-    stepped = odds.select("doc_id", "text_hash", "tokens", *[(F.floor(F.col(f"e{k}") / whole * GRID) / GRID).alias(f"p{k}") for k in (0, 1)])
-    return stepped.withColumn("p2", 1 - F.col("p0") - F.col("p1"))
+    return odds.select("doc_id", "text_hash", "tokens", *[(F.col(f"e{k}") / whole).alias(f"p{k}") for k in range(3)])
 
 
-def _fold(past: list[list[float]], point: str) -> Column:
-    """r (the rate) or y (the point of the next gradient) after the steps in past, from 1 on. Each step is accelerated:
+def _fold(past: list[list[float]], start: Column) -> Column:
+    """r (the rate) and y (the point of the next gradient) after the steps in past, from start on. Each step is accelerated:
     r' = max(0, y - sum of p_k * g_k) and y' = r' + momentum * (r' - r)."""
     if not past:
-        return F.lit(1.0)
+        return start
     rows = ", ".join("named_struct('g0', {!r}D, 'g1', {!r}D, 'g2', {!r}D, 'momentum', {!r}D)".format(*map(float, step)) for step in past)
     steps = F.expr(f"array({rows})")
 
@@ -92,11 +93,15 @@ def _fold(past: list[list[float]], point: str) -> Column:
         r = F.greatest(F.lit(0.0), at["y"] - sum(F.col(f"p{k}") * g[f"g{k}"] for k in range(3)))
         return F.struct(r.alias("r"), (r + g["momentum"] * (r - at["r"])).alias("y"))
 
-    return F.aggregate(steps, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), move)[point]
+    return F.aggregate(steps, start, move)
+
+
+def _state(r: Column, y: Column) -> Column:
+    return F.struct(r.alias("r"), y.alias("y"))
 
 
 def rate(past: list[list[float]]) -> Column:
-    return _fold(past, "r")
+    return _fold(past, _state(F.lit(1.0), F.lit(1.0)))["r"]
 
 
 def fit(members: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, steps: int = STEPS) -> list[list[float]]:
@@ -115,8 +120,12 @@ def fit(members: DataFrame, targets: dict[str, float] = TARGETS, budget: float |
         size = max(map(abs, v)) or 1.0
         v = [x / size for x in v]
     past: list[list[float]] = []
+    narrow, at, state = members.select("p0", "p1", "p2", "tokens"), 0, _state(F.lit(1.0), F.lit(1.0))
     for _ in range(steps):
-        now = members.select("p0", "p1", "p2", "tokens", _fold(past, "y").alias("y"))
+        if len(past) == at + KEPT:
+            moved = narrow.withColumn("now", _fold(past[at:], state)).select("p0", "p1", "p2", "tokens", F.col("now.r").alias("r"), F.col("now.y").alias("y"))
+            narrow, at, state = common.written(moved, "rates"), len(past), _state(F.col("r"), F.col("y"))
+        now = narrow.select("p0", "p1", "p2", "tokens", _fold(past[at:], state)["y"].alias("y"))
         got = now.agg(*[F.coalesce(F.sum(F.col("y") * F.col("tokens") * F.col(f"p{k}")), F.lit(0.0)) for k in range(3)]).first()
         miss = [(got[k] - goal[k]) / unit[k] if k in used else 0.0 for k in range(3)]
         if max(map(abs, miss)) < CLOSE:
@@ -129,10 +138,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """doc_id, text_hash, tokens, posteriors, rate and copies (the rate rounded by a seeded draw) of documents (doc_id, text)."""
     model, prior = weights(docs, labels)
     members = common.written(posteriors(docs, model, prior), "members")
-    cells = common.written(members.groupBy("p0", "p1", "p2").agg(F.sum("tokens").alias("tokens")).coalesce(1), "cells")
-    past = fit(cells, targets)
+    past = fit(members, targets)
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.lit(1 << 30)) / float(1 << 30)
-    rated = members.join(F.broadcast(cells.select("p0", "p1", "p2", rate(past).alias("rate"))), ["p0", "p1", "p2"])
+    rated = members.withColumn("rate", rate(past))
     return rated.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
 
 

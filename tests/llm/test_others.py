@@ -102,6 +102,28 @@ def test_mixing_held_out_and_edges(spark):
     assert op1_mixing.mixed(odd, labels.limit(0)).columns == odd.columns and op1_mixing.mix(odd.limit(0), labels).count() == 0
 
 
+def test_mixing_uses_exact_posteriors(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    odd = spark.createDataFrame([(1, None), (2, "x y")], "doc_id long, text string")
+    assert all(abs(r[f"p{k}"] - 1 / 3) < 1e-9 for r in op1_mixing.mix(odd, labels.limit(0)).collect() for k in range(3))
+    model, prior = op1_mixing.weights(docs, labels)
+    words = op1_mixing._words(F.col("text"))
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(words).alias("word")).select("doc_id", "text_hash", op1_mixing._bucket(F.col("word")).alias("bucket")).collect()
+    like, logs = {r["bucket"]: [r[f"l{k}"] for k in range(3)] for r in model.collect()}, {}
+    for r in found:
+        logs.setdefault((r["doc_id"], r["text_hash"]), []).append(like.get(r["bucket"]))
+    got = op1_mixing.mix(docs, labels).collect()
+    p = np.array([[r[f"p{k}"] for k in range(3)] for r in got])
+    for r, q in zip(got, p, strict=True):
+        seen = [x for x in logs.get((r["doc_id"], r["text_hash"]), []) if x]
+        if seen and r["tokens"] == len(logs[r["doc_id"], r["text_hash"]]):
+            z = np.array(prior) + np.sum(seen, 0) * min(1.0, op1_mixing.EFFECTIVE / len(seen))
+            e = np.exp(z - z.max())
+            assert np.allclose(q, e / e.sum(), rtol=0, atol=1e-9)
+    t, r = np.array([x["tokens"] for x in got]), np.array([x["rate"] for x in got])
+    assert np.abs((r * t) @ p / t.sum() - np.array([op1_mixing.TARGETS[d] for d in op1_mixing.DOMAINS])).max() < 1e-3
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = corpus_pipeline.quality_rules(spark, docs, sf)
