@@ -1,17 +1,18 @@
 """Mixture-controlled packing: deficit round-robin over source queues, in closed form.
 
-Each source is a queue of its documents' ids in document order. Per window of `size` ids, queue s earns
-size * weight_s / total ids and takes the whole part of what it has earned; the rest is its deficit, carried to the next
-window. Taken over the queues in order, the totals after x ids are floor(x * W_s / W) for the cumulative weights W_s, so
-queue s has taken floor(x * W_s / W) - floor(x * W_(s-1) / W) ids: each window is filled to its last id, each deficit
-stays between -1 and 1, and the state at any window or partition follows from its number alone. So every task cuts its own
-documents, and no task replays the windows before it. A queue that runs dry ends a phase; the others share from there.
-
-The default weights are the sources' shares of all ids, which keep the mixture up to the last window. Sources with less
-than 1/256 of the weight share one queue, so that a queue earns some ids in every window.
-
-Defined results: a null text is empty and keeps its end id; null sources share the queue of the small ones; repeated rows
-are packed each; an empty table gives an empty result; other columns are ignored.
+Each source, null too, is a queue of its documents' ids in document order. The first x ids are dealt out by a binary tree over
+the queues: a node that has got y ids gives round(y * left / whole) of them to its left half and the others to its right half,
+for the weights of both. So each window of `size` ids is filled to its last id, a queue never gives back an id, its deficit
+stays below the depth of the tree (log2 of the queues) and is carried on where it earns less than one id a window, and the
+state at any window or partition follows from its number alone. Every task cuts its own documents, and no task replays the
+windows before it. A queue that runs dry ends a phase; the others share from there.
+
+The default weights are the sources' shares of all ids, which keep the mixture up to the last window; the tree is then a table
+with one row for each source, joined to the rows. Sources with a weight given by the caller are dealt out on the driver first,
+and all others share the weight that is left in proportion to their ids.
+
+Defined results: a null text is empty and keeps its end id; null is a source; repeated rows are packed each; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,62 +29,114 @@ from stridelake.llm import common, tokens
 
 END_ID = 1
 SIZE = 2048
-LEAST_SHARE = 256
+#: Documents that are cut at once.
+CUT = 4096
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue int"
 
 
-def _mul_div(x: np.ndarray, m: int | np.ndarray, d: int) -> np.ndarray:
-    """floor(x * m / d) without overflow."""
-    x, m = np.asarray(x, np.int64), np.asarray(m, np.int64)
-    top = int(x.max(initial=0)) * int(m.max(initial=0))
-    if top < 2**62:
-        return x * m // d
-    return np.array(x.astype(object) * m.astype(object) // d).astype(np.int64)
+def _share(y: np.ndarray, part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """y * part / whole, rounded, without overflow."""
+    y, part, whole = (np.asarray(a, np.int64) for a in (y, part, whole))
+    whole = np.maximum(whole, 1)
+    if int(y.max(initial=0)) * int(part.max(initial=0)) + int(whole.max(initial=0)) < 2**62:
+        return (y * part + whole // 2) // whole
+    near = (y.astype(np.longdouble) * part / whole).astype(np.int64)
+    return near + (y * part + whole // 2 - near * whole) // whole  # the wrapped difference is less than a few wholes
+
+
+def _walk(y: np.ndarray, left: np.ndarray, whole: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What leaves get of y ids, and what the leaves before them get. Rows of left, whole and right are the levels of the tree."""
+    below = np.zeros(len(y), np.int64)
+    for at, total, turn in zip(left, whole, right, strict=True):
+        part = _share(y, at, total)
+        below, y = below + np.where(turn, part, 0), np.where(turn, y - part, part)
+    return y, below
 
 
 class Schedule:
     """Who takes how many ids by when. totals: ids of each queue; weights: targets, by default the totals."""
 
     def __init__(self, totals: list[int], weights: list[int] | None = None):
-        self.totals, self.n = totals, sum(totals)
+        self.n, self.depth = sum(totals), max(0, len(totals) - 1).bit_length()
         left, taken, at, self.phases = list(totals), [0] * len(totals), 0, []
-        weights = list(weights) if weights else list(totals)
+        weights, every = list(weights) if weights else list(totals), np.arange(len(totals))
         while any(left):
             w = [weights[k] if n else 0 for k, n in enumerate(left)]
-            total = sum(w)
-            run = sum(left) if w == left else min((left[k] - 1) * total // x for k, x in enumerate(w) if x)
+            run = sum(left) if w == left else min((left[k] - max(1, self.depth)) * sum(w) // x for k, x in enumerate(w) if x)
             if run <= len(left):  # some queue is nearly dry: its few ids go out at once
                 w = [n if n <= 2 * len(left) else 0 for n in left]
-                total = run = sum(w)
-            cum = np.concatenate([[0], np.cumsum(np.array(w, np.int64))])
-            self.phases.append((at, taken[:], cum, total))
-            more = [run * int(cum[s + 1]) // total - run * int(cum[s]) // total for s in range(len(w))]
+                run = sum(w)
+            cum = np.concatenate([[0], np.cumsum(np.array(w, np.int64)), np.full((1 << self.depth) - len(w), sum(w), np.int64)])
+            self.phases.append((at, np.array(taken, np.int64), np.concatenate([[0], np.cumsum(np.array(taken, np.int64))]), cum))
+            more = self._dealt(cum, np.full(len(w), run, np.int64), every)[0].tolist()
             taken, left, at = [a + b for a, b in zip(taken, more, strict=True)], [a - b for a, b in zip(left, more, strict=True)], at + run
         self.starts = np.array([p[0] for p in self.phases], np.int64)
 
-    def below(self, x: np.ndarray, s: np.ndarray) -> np.ndarray:
-        """Ids that the queues before s have taken among the first x."""
+    def _dealt(self, cum: np.ndarray, y: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        spans = [1 << k for k in range(self.depth, 0, -1)]
+        first = [s // k * k for k in spans]
+        left = [cum[f + k // 2] - cum[f] for f, k in zip(first, spans, strict=True)]
+        return _walk(y, left, [cum[f + k] - cum[f] for f, k in zip(first, spans, strict=True)], [s >= f + k // 2 for f, k in zip(first, spans, strict=True)])
+
+    def split(self, x: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids that queue s, and the queues before s, have taken among the first x."""
         x, s = np.minimum(x, self.n), np.asarray(s)
-        out, phase = np.zeros(len(x), np.int64), np.searchsorted(self.starts, x, "right") - 1
+        own, below, phase = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), np.searchsorted(self.starts, x, "right") - 1
         for k in np.unique(phase):
             at = phase == k
-            start, taken, cum, total = self.phases[k]
-            out[at] = np.concatenate([[0], np.cumsum(taken)])[s[at]] + _mul_div(x[at] - start, cum[s[at]], total)
-        return out
+            start, taken, before, cum = self.phases[k]
+            a, b = self._dealt(cum, x[at] - start, s[at])
+            own[at], below[at] = taken[s[at]] + a, before[s[at]] + b
+        return own, below
 
     def taken(self, x: np.ndarray, s: np.ndarray) -> np.ndarray:
-        return self.below(x, s + 1) - self.below(x, s)
+        return self.split(x, s)[0]
+
+
+class Queues:
+    """The queues of some rows: s in the schedule, and below it the way down the tree of those that share one place."""
 
-    def window_of(self, token: np.ndarray, s: np.ndarray, size: int) -> np.ndarray:
-        """The window in which queue s gives its id number `token`."""
-        lo, hi = np.zeros(len(token), np.int64), np.full(len(token), (self.n - 1) // size, np.int64)
+    def __init__(self, schedule: Schedule, s: np.ndarray, leaf: np.ndarray, left: np.ndarray, whole: np.ndarray):
+        self.schedule, self.s, self.left, self.whole = schedule, s, left, whole
+        self.right = np.array([leaf >> (len(left) - 1 - k) & 1 for k in range(len(left))], bool).reshape(left.shape)
+
+    def split(self, x: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids that the queue of each row, and the queues before it, have taken among the first x."""
+        y, before = self.schedule.split(x, self.s[row])
+        own, below = _walk(y, self.left[:, row], self.whole[:, row], self.right[:, row])
+        return own, before + below
+
+    def window_of(self, token: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
+        """The window in which the queue of each row gives its id number `token`."""
+        lo, hi = np.zeros(len(token), np.int64), np.full(len(token), (self.schedule.n - 1) // size, np.int64)
         while len(lo) and (lo < hi).any():
             mid = (lo + hi) // 2
-            done = self.taken((mid + 1) * size, s) > token
+            done = self.split((mid + 1) * size, row)[0] > token
             hi, lo = np.where(done, mid, hi), np.where(done, lo, mid + 1)
         return lo
 
 
+def tree(totals: DataFrame, first: int) -> tuple[DataFrame, int]:
+    """source, queue (from first on), leaf, and left and whole of each node on the way to it, of rows (source, n); the depth."""
+    spark = totals.sparkSession
+    rows, parts = common.numbered(totals, "source", name="sources")
+    at, starts = 0, []
+    for r in parts.orderBy("_part").collect():  # one row for each partition
+        starts.append((r["_part"], at))
+        at += r["_n"]
+    depth = max(0, at - 1).bit_length()
+    leaves = rows.join(F.broadcast(spark.createDataFrame(starts, "_part long, _start long")), "_part").select("source", "n", (F.col("_start") + F.col("_idx")).alias("leaf"))
+    out = ["source", (F.col("leaf") + first).cast("int").alias("queue"), "leaf"]
+    if not depth:
+        return leaves.select(*out, *[F.array().cast("array<long>").alias(x) for x in ("left", "whole")]), 0
+    levels = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("node", F.expr(f"shiftright(leaf, {depth} - level)"))
+    sums = common.written(levels.groupBy("level", "node").agg(F.sum("n").alias("whole")), "nodes")
+    halves = sums.where("node % 2 = 0 and level > 0").select((F.col("level") - 1).alias("level"), F.shiftright("node", 1).alias("node"), F.col("whole").alias("left"))
+    ways = levels.where(F.col("level") < depth).join(sums.join(halves, ["level", "node"]), ["level", "node"])
+    ways = ways.groupBy("source", "leaf").agg(F.array_sort(F.collect_list(F.struct("level", "left", "whole"))).alias("way"))
+    return ways.select(*out, F.col("way.left").alias("left"), F.col("way.whole").alias("whole")), depth
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """uid, doc_id, source, n_tokens and the ids (16 bits each where they fit)."""
 
@@ -109,31 +162,37 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, size: int = S
     stored = common.written(encoded(docs, tokenizer or tokens.public_path(tokens.WORD_BPE), end_id), "ids")
     totals = stored.groupBy("source").agg(F.sum("n_tokens").alias("n"))
     whole = totals.agg(F.sum("n")).first()[0] or 0
-    # At most LEAST_SHARE rows reach the driver: sources with that share of the ids, or those that have a weight.
-    known = F.col("source").isNotNull()
-    wanted = known & (F.col("n") * LEAST_SHARE >= whole) if weights is None else known & F.col("source").isin([s for s, w in sorted(weights.items(), key=lambda x: -x[1])[: LEAST_SHARE - 1] if w > 0])
-    own = {r["source"]: r["n"] for r in totals.where(wanted).orderBy("source").collect()}
-    rest = whole - sum(own.values())
-    sizes = [*own.values(), rest]
-    shares = None if weights is None else [max(1, round(weights[s] * 1e6)) for s in own] + [max(1, round(1e6 * (1 - min(1.0, sum(weights[s] for s in own)))))]
+    # The driver holds what the caller's weights name; all other sources stay in a table.
+    named = {k: w for k, w in (weights or {}).items() if w > 0}
+    known = F.col("source").isin([k for k in named if k is not None])
+    known = F.coalesce(known, F.lit(None in named))
+    own = {r["source"]: r["n"] for r in totals.where(known).orderBy("source").collect()} if named else {}
+    sizes = [*own.values(), whole - sum(own.values())]
+    shares = [max(1, round(named[s] * 1e6)) for s in own] + [max(1, round(1e6 * (1 - min(1.0, sum(named[s] for s in own)))))] if weights is not None else None
     schedule = Schedule(sizes, shares)
-    queue = F.lit(len(own))
-    for k, s in enumerate(own):
-        queue = F.when(F.col("source") == s, k).otherwise(queue)
+    queues, depth = tree(totals.where(~known) if named else totals, len(own))
+    queues = queues.withColumn("place", F.lit(len(own)))
+    if own:
+        listed = docs.sparkSession.createDataFrame([(s, k, (1 << depth) - 1, [0] * depth, [1] * depth, k) for k, s in enumerate(own)], "source string, queue int, leaf long, left array<long>, whole array<long>, place int")
+        queues = queues.unionByName(listed)
+    queues = common.written(queues, "queues")
 
-    narrow = stored.select(queue.alias("queue"), "doc_id", "uid", "n_tokens")
+    of = queues.select(F.col("source").alias("_source"), "queue")
+    narrow = stored.select("source", "doc_id", "uid", "n_tokens").join(of, F.col("source").eqNullSafe(F.col("_source"))).select("queue", "doc_id", "uid", "n_tokens")
 
     def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, sums = TaskContext.get().partitionId(), {}
+        part, last, total = TaskContext.get().partitionId(), -1, 0
         for batch in batches:
             q, n = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-            start = np.zeros(len(n), np.int64)
-            for s in np.unique(q):
-                at = q == s
-                ends = np.cumsum(n[at]) + sums.get(s, 0)
-                start[at], sums[s] = ends - n[at], int(ends[-1])
+            if not len(q):
+                continue
+            first = np.append(True, q[1:] != q[:-1])
+            start = np.cumsum(n) - n
+            start -= start[first][np.cumsum(first) - 1]
+            start[q == last] += total
+            last, total = q[-1], int(start[-1] + n[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(start), pa.array(np.full(len(n), part, np.int64))], ["queue", "uid", "n_tokens", "in_part", "part"])
 
     order = ["queue", "doc_id", "uid"]
@@ -143,20 +202,30 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, size: int = S
     # One row for each partition of the sort, and one more for each queue.
     before = parts.select("queue", "part", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("before"))
     starts = placed.join(before, ["queue", "part"]).select("uid", "queue", (F.col("before") + F.col("in_part")).alias("at"))
+    starts = starts.join(queues.drop("source"), "queue")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, n, s = (batch.column(k).to_numpy() for k in (3, 1, 4))
-            first, last = schedule.window_of(at, s, size), schedule.window_of(at + n - 1, s, size)
+        for batch in (x.slice(k, CUT) for x in batches for k in range(0, x.num_rows, CUT)):
+            at, n, s, leaf, place = (batch.column(k).to_numpy() for k in (3, 1, 4, 6, 9))
+            left, whole = (batch.column(k).flatten().to_numpy().reshape(len(n), depth).T for k in (7, 8))
+            taking, row = Queues(schedule, place, leaf, left, whole), np.arange(len(n))
+            first, last = taking.window_of(at, row, size), taking.window_of(at + n - 1, row, size)
             many = last - first + 1
-            doc = np.repeat(np.arange(len(n)), many)
-            w = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-            opens = schedule.taken(w * size, s[doc])
-            lo = np.maximum(at[doc], opens)
-            hi = np.minimum(at[doc] + n[doc], schedule.taken((w + 1) * size, s[doc]))
+            wide = many > n  # fewer ids than windows: by ids
+            count = np.where(wide, n, many)
+            doc = np.repeat(row, count)
+            w = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            thin = wide[doc]
+            w[~thin] += first[doc[~thin]]
+            w[thin] = taking.window_of(at[doc[thin]] + w[thin], doc[thin], size)
+            new = np.append(True, (w[1:] != w[:-1]) | (doc[1:] != doc[:-1]))[: len(w)]
+            doc, w = doc[new], w[new]
+            opens, below = taking.split(w * size, doc)
+            closes, under = taking.split((w + 1) * size, doc)
+            lo, hi = np.maximum(at[doc], opens), np.minimum(at[doc] + n[doc], closes)
+            offset = under - below + lo - opens
             some = hi > lo
-            doc, w, lo, hi, opens = doc[some], w[some], lo[some], hi[some], opens[some]
-            offset = schedule.below((w + 1) * size, s[doc]) - schedule.below(w * size, s[doc]) + lo - opens
+            doc, w, lo, hi, offset = doc[some], w[some], lo[some], hi[some], offset[some]
             raw, kinds, crc, held, ids = batch.column(2), batch.column(5), np.zeros(len(doc), np.int64), -1, None
             a, b = (lo - at[doc]).tolist(), (hi - at[doc]).tolist()
             for k, d in enumerate(doc.tolist()):
@@ -166,7 +235,7 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, size: int = S
             arrays = [batch.column(0).take(pa.array(doc)), *map(pa.array, (lo - at[doc], hi - lo, crc, n[doc], w, offset)), pa.array(s[doc].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in OUT.split(", ")])
 
-    joined = stored.join(starts, "uid").select("doc_id", "n_tokens", "ids", "at", "queue", "kind")
+    joined = stored.join(starts, "uid").select("doc_id", "n_tokens", "ids", "at", "queue", "kind", "leaf", "left", "whole", "place")
     return joined.mapInArrow(pieces, OUT)
 
 

@@ -102,6 +102,33 @@ def test_schedule_equals_replay():
         assert (steps[:, :2] >= 0).all()
 
 
+@pytest.mark.parametrize("weights", [None, {f"s{k}": 1 / 300 for k in range(300)}])
+def test_packing_of_many_sources(spark, weights):
+    rows = [(k, "word " * (11 + k % 7), None if k // 30 == 7 else f"s{k // 30}") for k in range(9000)]
+    got = op4_packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights, size=200).collect()
+    windows, source, sizes = {}, {r[0]: r[2] for r in rows}, Counter()
+    for r in got:
+        windows.setdefault(r["sequence_id"], []).append(r)
+        sizes[source[r["doc_id"]]] += r["length"]
+    assert len({r["queue"] for r in got}) == len(sizes) == 300 and sum(sizes.values()) == sum({r["doc_id"]: r["doc_tokens"] for r in got}.values())
+    taken, whole = Counter(), sum(sizes.values())
+    for w in sorted(windows):
+        pieces = sorted(windows[w], key=lambda r: r["offset"])
+        assert [r["offset"] for r in pieces] == [sum(x["length"] for x in pieces[:k]) for k in range(len(pieces))]
+        assert sum(r["length"] for r in pieces) == 200 or w == len(windows) - 1
+        for r in pieces:
+            taken[source[r["doc_id"]]] += r["length"]
+        if weights is None or 200 * (w + 1) < whole / 2:
+            assert all(abs(taken[s] - 200 * (w + 1) * (n / whole if weights is None or s is None else 1 / 300)) <= 10 for s, n in sizes.items()) or w == len(windows) - 1
+
+
+def test_share_of_large_numbers():
+    rng = np.random.default_rng(5)
+    y, part = rng.integers(0, 2**40, 1000), rng.integers(0, 2**40, 1000)
+    whole = part + rng.integers(1, 2**40, 1000)
+    assert op4_packing._share(y, part, whole).tolist() == [(a * b + c // 2) // c for a, b, c in zip(y.tolist(), part.tolist(), whole.tolist(), strict=True)]
+
+
 def test_quality_counts_against_plain_loop():
     texts = ["a b c d e f g h a b c d e f g h i", "x\ny\nx\n \n \nx", "# $ é é %% <|>", "w " * 50, None, "", "\x1c a"]
     counts, features = op8_quality.text_stats(texts)
