@@ -1,12 +1,12 @@
 """Tool-call linking: calls and results joined by identifier, ordered, validated and written as canonical JSON.
 
-Calls and results meet in a hash join on the call's id. A call may name the call whose result it uses (`after`); its depth
+Calls and results meet in a hash join on conversation and id, as an id need not be unique beyond its conversation. A call may name the call whose result it uses (`after`); its depth
 in that forest is found by pointer doubling, so a chain of n calls takes log2(n) joins, and (depth, call_id) sorts the calls of
 a conversation topologically. Arguments are checked against the tool's schema, and call and result become one canonical JSON
 object (sorted keys, no spaces, no escapes beyond those that JSON needs).
 
-Defined results: rows repeated whole count once; of different calls or results with one id the least stays and the status
-says so; a call without a result is unanswered, a result without a call an orphan; calls on a cycle or behind one have no depth and
+Defined results: rows repeated whole count once; of different calls with one id in one conversation the least stays, of different
+results all do (sorted, as `results` instead of `result`, nulls first), and the status says so; a null conv_id is a conversation; a call without a result is unanswered, a result without a call an orphan; calls on a cycle or behind one have no depth and
 status cycle; an `after` that names no call is dangling and starts at depth 0; null ids are left out; null arguments, broken
 JSON and unknown tools are errors of that call; an empty table gives an empty result; other columns are ignored.
 """
@@ -80,10 +80,13 @@ def depths(calls: DataFrame) -> DataFrame:
 
 
 def link(calls: DataFrame, results: DataFrame, tools: dict = TOOLS) -> DataFrame:
-    """One row for each id of calls (conv_id, call_id, after, name, arguments) and results (conv_id, call_id, content)."""
-    asked = calls.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("conv_id", "name", "arguments", "after")).alias("call"), F.count_distinct(F.struct("conv_id", F.coalesce("name", F.lit("\0")), F.coalesce("arguments", F.lit("\0")), F.coalesce("after", F.lit("\0")))).alias("n_calls"))
-    asked = common.written(asked.select("call_id", "call.*", "n_calls"), "calls")
-    told = results.where("call_id is not null").groupBy("call_id").agg(F.min("conv_id").alias("told_in"), F.min("content").alias("content"), F.count_distinct(F.coalesce("content", F.lit("\0"))).alias("n_results"))
+    """One row for each conversation and id of calls (conv_id, call_id, after, name, arguments) and results (conv_id, call_id, content)."""
+    key = lambda name: F.when(F.col(name).isNotNull(), F.struct("conv_id", F.col(name).alias("call_id")))
+    asked = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("name", "arguments", "after")).alias("call"), F.count_distinct(F.struct(F.coalesce("name", F.lit("\0")), F.coalesce("arguments", F.lit("\0")), F.coalesce("after", F.lit("\0")))).alias("n_calls"))
+    asked = asked.select("conv_id", "call_id", "call.*", "n_calls")
+    asked = common.written(asked.select(key("call_id").alias("call_id"), key("after").alias("after"), "name", "arguments", "n_calls"), "calls")
+    told = results.where("call_id is not null").groupBy(F.struct("conv_id", "call_id").alias("call_id")).agg(F.array_sort(F.collect_set(F.struct("content"))).alias("found"))
+    told = told.select("call_id", F.col("found.content").alias("contents"), F.size("found").alias("n_results"))
     deep = depths(asked.select("call_id", "after"))
     known = asked.select(F.col("call_id").alias("after"), F.lit(True).alias("parent"))
     joined = asked.join(deep, "call_id").join(known, "after", "left").join(told, "call_id", "full_outer")
@@ -95,13 +98,14 @@ def link(calls: DataFrame, results: DataFrame, tools: dict = TOOLS) -> DataFrame
         for i, n, a, c, o in zip(ids, names, arguments, contents, orphans, strict=True):
             got, wrong = (None, []) if o else check(n, a, tools)
             raw = {} if got is not None or o else {"raw": a}
-            body = {"id": i, "result": c} if o else {"id": i, "name": n, "arguments": got, "result": c} | raw
+            told = {"result": None if c is None else c[0]} if c is None or len(c) < 2 else {"results": list(c)}
+            body = {"id": i} | told if o else {"id": i, "name": n, "arguments": got} | told | raw
             out.append((not wrong and not o, ";".join(wrong), canonical(body)))
         return pd.DataFrame(out, columns=["valid", "errors", "json"])
 
     status = F.when(orphan, "orphan").when(F.col("depth").isNull(), "cycle").when(F.col("n_calls") > 1, "repeated call").when(F.col("n_results") > 1, "repeated result").when(F.col("n_results").isNull(), "unanswered").otherwise("linked")
     dangling = F.col("after").isNotNull() & F.col("parent").isNull()
-    out = joined.select(F.coalesce("conv_id", "told_in").alias("conv_id"), "call_id", "depth", status.alias("status"), (dangling & ~orphan).alias("dangling"), validated("call_id", "name", "arguments", "content", orphan).alias("v"))
+    out = joined.select("call_id.*", "depth", status.alias("status"), (dangling & ~orphan).alias("dangling"), validated("call_id.call_id", "name", "arguments", "contents", orphan).alias("v"))
     return out.select("conv_id", "call_id", "depth", "status", "dangling", "v.*")
 
 

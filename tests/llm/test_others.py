@@ -57,6 +57,17 @@ def test_tool_calls(spark):
     assert got["a"]["json"] == '{"arguments":{"limit":3,"query":"ü\\n"},"id":"a","name":"lookup","result":"yes"}' and got["h"]["dangling"] and not got["b"]["dangling"]
 
 
+def test_tool_calls_with_ids_of_each_conversation(spark):
+    ok = '{"limit":3,"query":"x"}'
+    calls = [("p", "1", None, "lookup", ok), ("p", "2", "1", "lookup", ok), ("q", "1", "2", "lookup", ok), ("q", "2", None, "lookup", ok), (None, "1", None, "lookup", ok)]
+    results = [("p", "1", "from p"), ("q", "1", "z"), ("q", "1", "a"), ("q", "1", "a"), ("q", "1", None), (None, "1", "from null"), ("r", "1", "lost")]
+    rows = op2_tools.link(spark.createDataFrame(calls, "conv_id string, call_id string, after string, name string, arguments string"), spark.createDataFrame(results, "conv_id string, call_id string, content string")).collect()
+    got = {(r["conv_id"], r["call_id"]): r for r in rows}
+    assert {k: (r["depth"], r["status"], r["dangling"]) for k, r in got.items()} == {("p", "1"): (0, "linked", False), ("p", "2"): (1, "unanswered", False), ("q", "1"): (1, "repeated result", False), ("q", "2"): (0, "unanswered", False), (None, "1"): (0, "linked", False), ("r", "1"): (None, "orphan", False)}
+    assert len(rows) == 6 and json.loads(got["q", "1"]["json"])["results"] == [None, "a", "z"]
+    assert [json.loads(got[k, "1"]["json"])["result"] for k in ("p", None, "r")] == ["from p", "from null", "lost"]
+
+
 def test_deep_chain(spark):
     calls = spark.range(700).select(F.col("id").cast("string").alias("call_id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("after"))
     assert {r[0]: r[1] for r in op2_tools.depths(calls).collect()} == {str(k): k for k in range(700)}
