@@ -1,16 +1,21 @@
 """N-gram Jaccard join by PartEnum signatures, and the groups that its links make.
 
-A document's set holds its distinct 5-word shingles as 64-bit hashes. Sets are dealt into bands of size; in a band the hash
-domain is cut into N1 parts of N2 parts each, and every subset of N2 - K2 parts of a first-level part that holds an element
-makes one signature. Two sets that link differ in at most k elements, k from the band's largest size, so they agree in at
-least `least` signatures. A set near the upper end of its band also signs for the next band.
-
-Hot groups: sets that are equal are one node from the start. Sets that share fewer signatures than any link needs are left
-out. The others are first compared with the centre of most of their signatures (one comparison each), in a few turns with new centres; what then
-forms one component needs no more comparing. For nodes that still share enough signatures with another component, the parts
-are cut down to single elements: a link shares 80 of 100 of them, so it must share one of the rarest that are left when
-all but one of those are set aside, and only pairs that do are compared. No bucket, partner or candidate is capped.
-Every comparison is exact on whole sets.
+A document's set holds its distinct 5-word shingles as 64-bit hashes; equal sets are one node. Sets are dealt into bands of
+size. In a band the hash domain is cut into N1 parts of N2 parts each, and every subset of N2 - K2 parts of a first-level part
+makes one signature. Two sets that link differ in at most k elements, k from the band's largest size, so they share at least
+one signature; sets of given sizes differ in fewer, so they share `least` of them. A set near the upper end of its band also
+signs for the next band. A set that shares fewer signatures with others than any link of its size needs is done.
+
+For the sets that are left the same count is taken over single elements (`_open`), and then they are linked exactly:
+1. Turns of stars: of its least elements' holders each node is compared with one, and links merge labels, while turns find links.
+2. Nodes that may still link with another label, by the elements which other labels hold, are counted against whole labels:
+   a node and a label are a case only if the label's sets together hold as many of the node's elements as one partner must.
+   Cases come from the node's rarest elements, so many that any link must show one; members of the label likewise.
+Every comparison is exact on whole sets; no bucket, partner or candidate is capped, and no group's pairs are listed: a pair of
+nodes is compared as a star, or if both hold nearly all that a link takes.
+
+Hot signatures: a task tells those that two of its own sets hold apart, so that only one row of a task goes to the signature's
+group. Elements are summed before they are shuffled, and the joins on them are ones that Spark splits where a key is hot.
 
 Defined results: a null or empty text, or one without words, has an empty set, links with nothing and is its own component;
 with fewer than five words the whole sequence is the one shingle; a null doc_id keeps its row, links with nothing and has a
@@ -25,24 +30,31 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stridelake.llm import common
 
 WORDS = 5
 SIMILARITY = 80
-N2, K2 = 2, 1
+N2, K2 = 3, 1
 #: A band's largest size over its smallest.
-BAND = 1.6
-#: First-level parts beyond those that the bound on differences needs, as a share.
-SPARE = 1 / 8
+BAND = 2.0
 #: Ids up to this many are broadcast (about 24 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-CACHED_WORDS = 500_000
-#: Turns in which the open nodes are compared with new centres before pairs are sought one by one.
-TURNS = 3
+#: Elements of a node that stars go by.
+LEAST_ELEMENTS = 32
+#: Stars go on while a turn links this share of the nodes or more.
+TURN_SHARE = 0.005
+#: Bytes that are hashed at once; words above LONG_WORD are hashed one by one.
+SEGMENT, LONG_WORD = 1 << 20, 1 << 16
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
+#: A-Z in lower case; other bytes stay.
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Bytes of words: all but white space and the mark between texts, which UTF-8 never has.
+_BETWEEN = 0xFF
+_IN_WORD = np.array([c not in (0x20, *range(0x09, 0x0E), _BETWEEN) for c in range(256)])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,53 +63,67 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Words(dict):
-    """A number for each word, and the words' hashes by number."""
+_CODES = _mix(np.arange(1, 257, dtype=np.uint64))
 
-    def __init__(self):
-        super().__init__()
-        self.hashes = np.zeros(1 << 12, np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-        n = self[word] = len(self)
-        if n == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros(n, np.uint64)])
-        self.hashes[n] = xxhash.xxh3_64_intdigest(word)
-        return n
 
+_BASE = 0x2545F4914F6CDD1D
+_tables: list[np.ndarray] = []
 
-_words = _Words()
+
+def _word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each word raw[start:end]: sums of codes times powers, from running sums over segments of the bytes."""
+    import xxhash
+
+    if not _tables:
+        _tables.extend((_powers(_BASE, SEGMENT), _powers(pow(_BASE, -1, 1 << 64), SEGMENT)))
+    up, down = _tables
+    codes, data, out, at = _mix(_CODES + np.uint64(seed)), np.frombuffer(raw, np.uint8), np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        lo = int(starts[at])
+        if ends[at] - lo > LONG_WORD:
+            out[at] = xxhash.xxh3_64_intdigest(raw[lo : ends[at]], seed)
+            at += 1
+            continue
+        last = int(np.searchsorted(ends, lo + SEGMENT, "right"))
+        long = np.flatnonzero(ends[at:last] - starts[at:last] > LONG_WORD)
+        last = at + int(long[0]) if len(long) else last
+        part = data[lo : ends[last - 1]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(codes[part] * up[: len(part)], out=sums[1:])
+        a, b = starts[at:last] - lo, ends[at:last] - lo
+        out[at:last] = (sums[b] - sums[a]) * down[a]
+        at = last
+    return _mix(out + (ends - starts).astype(np.uint64))
 
 
 def batch_shingles(texts: list[str | None], seed: int = 0) -> list[np.ndarray]:
     """For each text, the sorted distinct hashes of its shingles."""
-    global _words
-    if len(_words) > CACHED_WORDS:
-        _words = _Words()
-    look, at, counts = _words.__getitem__, [], []
-    for text in texts:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        at.extend(map(look, words))
-        counts.append(len(words))
-    h = _mix(_words.hashes[np.array(at, np.int64)] + np.uint64(seed))
+    raw = bytes([_BETWEEN]).join((t or "").encode("utf-8", "surrogatepass") for t in texts).translate(_LOWER)
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = _IN_WORD[np.frombuffer(raw, np.uint8)]
+    starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    h = _word_hashes(raw, starts, ends, seed)
+    marks = np.flatnonzero(np.frombuffer(raw, np.uint8) == _BETWEEN)
+    bounds = np.concatenate([[0], np.searchsorted(starts, marks), [len(starts)]])
     rolled = np.zeros(max(0, len(h) - WORDS + 1), np.uint64)
     for k in range(WORDS):
-        rolled = _mix(rolled * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(rolled)])
-    out, start = [], 0
-    for n in counts:
-        if n >= WORDS:
-            own = np.sort(rolled[start : start + n - WORDS + 1])
+        rolled += h[k : k + len(rolled)] * _WEIGHTS[k]
+    rolled, out = _mix(rolled), []
+    for at, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if end - at >= WORDS:
+            own = np.sort(rolled[at : end - WORDS + 1])
             out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
-        elif n:
-            whole = np.array([n], np.uint64)
-            for k in range(n):
-                whole = _mix(whole * np.uint64(0x9E3779B97F4A7C15) + h[start + k : start + k + 1])
-            out.append(whole)
+        elif end > at:
+            own = (h[at:end] * _WEIGHTS[: end - at]).sum(dtype=np.uint64)
+            out.append(_mix(np.array([own], np.uint64) + np.uint64(end - at)))
         else:
             out.append(np.zeros(0, np.uint64))
-        start += n
     return out
 
 
@@ -105,39 +131,52 @@ def batch_shingles(texts: list[str | None], seed: int = 0) -> list[np.ndarray]:
 _bands: list[tuple[int, int]] = [(1, 1)]
 
 
-def instances(n: int) -> list[tuple[int, int]]:
-    """(number, largest size) of the bands for which a set of n elements signs."""
+def instances(n: int) -> list[tuple[int, int, int]]:
+    """Number and largest size of the bands for which a set of n elements signs, and the size of its largest partner there."""
     while _bands[-1][0] <= 2 * n:
         low = _bands[-1][1] + 1
         _bands.append((low, max(low, int(low * BAND))))
     own = next(k for k, (low, high) in enumerate(_bands) if low <= n <= high)
-    out = [(own, _bands[own][1])]
-    if 100 * n >= SIMILARITY * _bands[own + 1][0]:
-        out.append((own + 1, _bands[own + 1][1]))
+    most = 100 * n // SIMILARITY
+    out = [(own, _bands[own][1], min(most, _bands[own][1]))]
+    if most >= _bands[own + 1][0]:
+        out.append((own + 1, _bands[own + 1][1], most))
     return out
 
 
+def differ(n: int, m: int) -> int:
+    """Elements that are in one of two linked sets only, at most."""
+    return (n + m) * (100 - SIMILARITY) // (100 + SIMILARITY)
+
+
 _layouts: dict[int, tuple] = {}
 
 
 def layout(largest: int) -> tuple:
-    """k, N1, least and the parts' first hashes, for sets of up to `largest` elements."""
+    """k, N1 and the parts' first hashes, for sets of up to `largest` elements."""
     if largest not in _layouts:
-        k = 2 * largest * (100 - SIMILARITY) // (100 + SIMILARITY)
-        need = math.ceil((k + 1) / (K2 + 1))
-        n1 = need + math.ceil(need * SPARE)
-        least = n1 * N2 - k if N2 - K2 == 1 else n1 - k // (K2 + 1)
-        parts = n1 * N2
-        starts = np.array([(j << 64) // parts for j in range(parts)], np.uint64)
-        _layouts[largest] = (k, n1, least, starts)
+        k = differ(largest, largest)
+        n1 = math.ceil((k + 1) / (K2 + 1))
+        starts = np.array([(j << 64) // (n1 * N2) for j in range(n1 * N2)], np.uint64)
+        _layouts[largest] = (k, n1, starts)
     return _layouts[largest]
 
 
+def least_shared(n1: int, h: int) -> int:
+    """Signatures that two sets share at least if they differ in h of the parts: each part that differs takes subsets away."""
+    left = [math.comb(N2 - d, N2 - K2) for d in range(K2 + 2)]
+    shared = n1 * left[0]
+    for d in range(K2 + 1):
+        hit = min(h, n1)
+        shared, h = shared - hit * (left[d] - left[d + 1]), h - hit
+    return shared
+
+
 def signatures(u: np.ndarray) -> list[tuple[np.ndarray, int]]:
     """For each band that the set signs for: its signatures, and how many of them a link must share at least."""
     out, sums = [], np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(u + np.uint64(1)))])
-    for number, largest in instances(len(u)) if len(u) else []:
-        k, n1, least, starts = layout(largest)
+    for number, largest, partner in instances(len(u)) if len(u) else []:
+        k, n1, starts = layout(largest)
         if k == 0:
             continue  # only equal sets link
         at = np.append(np.searchsorted(u, starts), len(u))
@@ -148,7 +187,7 @@ def signatures(u: np.ndarray) -> list[tuple[np.ndarray, int]]:
             picked = list(subset)
             made.append(_mix(total[:, picked].sum(1, dtype=np.uint64) + np.uint64(c)))
             filled.append(size[:, picked].sum(1) > 0)
-        sig, full = np.concatenate(made), np.concatenate(filled)
+        sig, full, least = np.concatenate(made), np.concatenate(filled), least_shared(n1, differ(len(u), partner))
         empty = int((~full).sum())
         out.append((sig[full], least - empty) if empty < least else (sig, least))
     return out
@@ -156,7 +195,7 @@ def signatures(u: np.ndarray) -> list[tuple[np.ndarray, int]]:
 
 def _flat(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[int, np.ndarray]]:
     for at in range(0, batch.num_rows, 256):
-        yield from enumerate(batch_shingles(batch.column(1).slice(at, 256).to_pylist(), seed), at)
+        yield from enumerate(batch_shingles(batch.column("text").slice(at, 256).to_pylist(), seed), at)
 
 
 def _digest(u: np.ndarray) -> tuple[int, int]:
@@ -166,44 +205,80 @@ def _digest(u: np.ndarray) -> tuple[int, int]:
 
 
 def set_sizes(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, n_shingles, and two digests of the set."""
+    """doc_id, text_hash, n_shingles, and two digests of the set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [(len(u), *_digest(u)) for _, u in _flat(batch, seed)]
             n, one, two = (np.array([g[k] for g in got], np.int64) for k in range(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(one), pa.array(two)], ["doc_id", "n_shingles", "node", "check"])
+            arrays = [batch.column("doc_id"), batch.column("text_hash"), pa.array(n), pa.array(one), pa.array(two)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "n_shingles", "node", "check"])
+
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return docs.mapInArrow(rows, "doc_id long, text_hash long, n_shingles long, node long, check long")
+
+
+#: Signatures that a task holds before it passes them on.
+HELD = 1 << 21
 
-    return docs.mapInArrow(rows, "doc_id long, n_shingles long, node long, check long")
+
+def _passed_on(nodes: np.ndarray, tags: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+    """Rows of signatures: where two nodes here hold one, their rows are known as shared and scattered, and one row more tells others."""
+    order = np.lexsort((nodes, sigs))
+    sigs, nodes, tags = sigs[order], nodes[order], tags[order]
+    new = np.append(True, sigs[1:] != sigs[:-1])
+    fresh = np.append(True, nodes[1:] != nodes[:-1]) | new  # a node's copies count once
+    sigs, nodes, tags, new = sigs[fresh], nodes[fresh], tags[fresh], new[fresh]
+    group = np.cumsum(new) - 1
+    known = np.bincount(group)[group] > 1
+    with np.errstate(over="ignore"):
+        apart = _mix(sigs[known] ^ _mix(nodes[known].view(np.uint64)))
+    told = known & new
+    columns = [np.concatenate([nodes, nodes[told]]), np.concatenate([tags * 2 + known, tags[told] * 2]), np.concatenate([sigs, sigs[told]])]
+    columns[2][: len(sigs)][known] = apart
+    return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].view(np.int64))], ["node", "tag", "sig"])
 
 
 def signed(docs: DataFrame, seed: int) -> DataFrame:
-    """node, tag (least shared signatures * 2 + which of its bands), sig."""
+    """node, tag (least shared signatures * 4 + 2 * which of its bands + whether it is known as shared), sig."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, tags, sigs, held = [], [], [], 0
         for batch in batches:
-            node, tag, sig = [], [], []
-            for k, u in _flat(batch, seed):
+            for _, u in _flat(batch, seed):
                 own = _digest(u)[0] if len(u) else 0
                 for which, (s, least) in enumerate(signatures(u)):
-                    sig.append(s)
-                    node.append(np.full(len(s), own))
-                    tag.append(np.full(len(s), least * 2 + which, np.int32))
-                if sig and (k % 500 == 499 or k == batch.num_rows - 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((node, np.int64), (tag, np.int32), (sig, np.int64))], ["node", "tag", "sig"])
-                    node, tag, sig = [], [], []
+                    sigs.append(s)
+                    nodes.append(np.full(len(s), own))
+                    tags.append(np.full(len(s), least * 2 + which))
+                    held += len(s)
+                if held > HELD:
+                    yield _passed_on(*map(np.concatenate, (nodes, tags, sigs)))
+                    nodes, tags, sigs, held = [], [], [], 0
+        if held:
+            yield _passed_on(*map(np.concatenate, (nodes, tags, sigs)))
 
     return docs.mapInArrow(rows, "node long, tag int, sig long")
 
 
+def candidates(rows: DataFrame) -> DataFrame:
+    """Nodes that share as many signatures with others as a link needs."""
+    by_sig = Window.partitionBy("sig")
+    shared = rows.withColumn("low", F.min("node").over(by_sig)).withColumn("high", F.max("node").over(by_sig)).where("low <> high or tag % 2 = 1")
+    shared = shared.select("node", F.shiftright("tag", 1).alias("tag"), "sig").distinct()
+    return shared.groupBy("node", "tag").count().where(F.col("count") >= F.shiftright("tag", 1)).select("node").distinct()
+
+
 def set_arrays(docs: DataFrame, seed: int) -> DataFrame:
+    """node, n and the sorted elements."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [u.view(np.int64) for _, u in _flat(batch, seed)]
-            node = [_digest(u.view(np.uint64))[0] for u in got]
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(got, pa.list_(pa.int64()))], ["node", "items"])
+            got = [u for _, u in _flat(batch, seed)]
+            node, n = [_digest(u)[0] for u in got], [len(u) for u in got]
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array([u.view(np.int64) for u in got], pa.list_(pa.int64()))], ["node", "n", "items"])
 
-    return docs.mapInArrow(rows, "node long, items array<long>")
+    return docs.mapInArrow(rows, "node long, n int, items array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -216,60 +291,109 @@ def components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = labels.join(near, "node").join(up, "label", "left").select("node", F.least("label", "near", F.coalesce("up", "label")).alias("label"), F.col("label").alias("old"))
         new = common.written(new, "labels")
+        common.drop(labels)
         changed = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
+        labels = new
         if not changed:
-            return labels
+            common.drop(both)
+            return labels.select("node", "label")
 
 
-def _enough(rows: DataFrame, apart: str) -> DataFrame:
-    """Signatures shared by two different `apart`, of nodes that share as many as a link needs."""
-    by_sig, by_node = Window.partitionBy("sig"), Window.partitionBy("node", "tag")
-    shared = rows.withColumn("low", F.min(apart).over(by_sig)).withColumn("high", F.max(apart).over(by_sig)).where("low <> high").drop("low", "high")
-    shared = shared.distinct()
-    return shared.withColumn("n", F.count(F.lit(1)).over(by_node)).where(F.col("n") >= F.shiftright("tag", 1)).drop("n")
+def _needs(n: Column, m: Column) -> Column:
+    """Elements that sets of n and m elements have in common at least if they link."""
+    return F.ceil(F.lit(SIMILARITY) * (n + m) / (100 + SIMILARITY) - 1e-9)
 
 
-def _stars(rows: DataFrame, turn: int = 0) -> DataFrame:
-    """A pair (a, b) for each node: b is the centre of most of its signatures that are shared with another label.
+def _open(items: DataFrame) -> DataFrame:
+    """Of rows (node, n, label, item) those that count for a link with another label, for the nodes that may have one.
 
-    A signature's centre is the node of its group that shares most signatures with most others; in later turns, one drawn
-    by a hash of the turn, so that the centres change.
+    smallest: no partner by this element is smaller; partner: nor is any partner of the node. A node stays if for some size m
+    it has as many elements with partners of up to m elements as a link with a set of m takes.
     """
-    by_sig = Window.partitionBy("sig")
-    sized = rows.select("node", "sig", "label", F.count(F.lit(1)).over(by_sig).alias("size"))
-    weight = F.sum("size").over(Window.partitionBy("node")) if turn == 0 else F.xxhash64(F.lit(turn), "node")
-    centred = sized.withColumn("weight", weight).withColumn("centre", F.max(F.struct("weight", "node", "label")).over(by_sig))
-    stars = centred.where("label <> centre.label").groupBy(F.col("node").alias("a"), F.col("centre.node").alias("b")).count()
-    return stars.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+    held = items.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")).where("lo <> hi").drop("lo", "hi")
+    smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * SIMILARITY / 100 - 1e-9).cast("int"))
+    rows = items.join(held, "item").withColumn("smallest", smallest).where(f"{SIMILARITY} * smallest <= 100 * n and 100 * most >= {SIMILARITY} * n")
+    own = Window.partitionBy("node")
+    rows = rows.withColumn("place", F.row_number().over(own.orderBy("smallest")))
+    rows = rows.withColumn("open", F.max(F.col("place") >= _needs(F.col("n"), F.col("smallest"))).over(own)).withColumn("partner", F.min("smallest").over(own))
+    return rows.where("open").select("node", "n", "label", "item", "smallest", "partner")
 
 
-def _linked(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link."""
     one, two = arrays.select(F.col("node").alias("a"), F.col("items").alias("x")), arrays.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     joined = pairs.join(one, "a").join(two, "b")
-    return joined.where(100 * both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
-
-
-def _refined(nodes: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Pairs (a, b) over two labels that share one of their rarest elements, ranked so that any link must share one."""
-    items = arrays.join(nodes, "node").dropDuplicates(["node"]).select("node", "label", F.size("items").alias("n"), F.explode("items").alias("item"))
-    common_items = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("item", "df")
-    shared = items.join(common_items, "item")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "item"))
-    total = F.count(F.lit(1)).over(Window.partitionBy("node"))
-    least = F.ceil(F.col("n") * SIMILARITY / 100)
-    rare = shared.withColumn("rank", rank).withColumn("total", total).where(F.col("rank") <= F.col("total") - least + 1)
-    rare = common.written(rare.select("node", "label", "n", "item"), "rare")
-    other = rare.select("item", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
+    return joined.where(100 * both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after the links (a, b) of their nodes."""
+    of = lambda name, end: labels.select(F.col("node").alias(end), F.col("label").alias(name))
+    merged = components(links.join(of("la", "a"), "a").join(of("lb", "b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct())
+    new = labels.join(merged.withColumnRenamed("label", "new").withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    return common.written(new, "labels")
+
+
+def _starred(labels: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Labels after turns of stars: a node is compared with the centre of most of its least elements. An element's centre is the
+    holder whose elements have most holders; from the second turn on, one drawn by a hash."""
+    least = arrays.join(labels, "node", "left_semi").select("node", F.explode(F.slice("items", 1, LEAST_ELEMENTS)).alias("item"))
+    shared = least.join(least.groupBy("item").count().where("count > 1"), "item")
+    least = common.written(shared.withColumn("weight", F.sum("count").over(Window.partitionBy("node"))).select("node", "item", "weight"), "least")
+    whole, done, turn = labels.count(), None, 0
+    while True:
+        rows = least.join(labels, "node").withColumn("rank", F.col("weight") if turn == 0 else F.xxhash64(F.lit(turn), "node"))
+        centres = rows.groupBy("item").agg(F.max(F.struct("rank", "node", "label")).alias("centre"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        pairs = rows.join(centres, "item").where("label <> centre.label").groupBy("node", F.col("centre.node").alias("b")).count()
+        pairs = pairs.groupBy("node").agg(F.max_by("b", F.struct("count", "b")).alias("b")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        pairs = common.written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        links = common.written(_compared(pairs, arrays), "links")
+        found = links.count()
+        if found:
+            labels = _relabelled(labels, links)
+        common.drop(links)
+        if found < max(1, TURN_SHARE * whole):
+            return labels
+        done, turn = pairs if done is None else done.union(pairs), turn + 1
+
+
+def _across(items: DataFrame, arrays: DataFrame) -> DataFrame:
+    """All links (a, b) between different labels that nodes of rows (node, n, label, item) have."""
+    before = None
+    while True:
+        rows = common.written(_open(items), "open")
+        left = rows.select("node").distinct().count()
+        if before is not None and left > 0.9 * before:
+            break
+        before, items = left, rows.select("node", "n", "label", "item")
+        if not left:
+            break
+    # The label with fewer nodes looks for partners in the other.
+    members = rows.select("node", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    held = rows.groupBy("item", "label").agg(F.count(F.lit(1)).alias("holders"), F.min("n").alias("smallest_there")).join(members, "label")
+    held = common.written(held.select("item", F.col("label").alias("other"), F.col("members").alias("others"), "holders", "smallest_there"), "held")
+    rows = common.written(rows.join(members, "label").join(held.groupBy("item").agg(F.count(F.lit(1)).alias("labels")), "item"), "rows")
+    own = Window.partitionBy("node")
+    ranked = rows.withColumn("place", F.row_number().over(own.orderBy("labels", "item"))).withColumn("all", F.count(F.lit(1)).over(own))
+    rare = ranked.where(F.col("place") <= F.col("all") - _needs(F.col("n"), F.col("partner")) + 1)
+    cases = rare.join(held, "item").where("members < others or members = others and label < other").select("node", "other").distinct()
+    cases = common.written(cases, "cases")
+    case = Window.partitionBy("node", "other")
+    shown = rows.select("node", "n", "item").join(cases, "node").join(held, ["item", "other"])
+    shown = shown.withColumn("shared", F.count(F.lit(1)).over(case)).withColumn("m", F.min("smallest_there").over(case))
+    shown = shown.withColumn("needs", _needs(F.col("n"), F.greatest(F.col("m"), F.ceil(F.col("n") * SIMILARITY / 100 - 1e-9)))).where("shared >= needs")
+    shown = shown.withColumn("place", F.row_number().over(case.orderBy("holders", "item"))).where("place <= shared - needs + 1").select("node", "n", "item", "other")
+    partners = rows.select("item", F.col("label").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"))
     near = f"100 * n >= {SIMILARITY} * m and 100 * m >= {SIMILARITY} * n"
-    return rare.join(other, "item").where(f"node < b and label <> other and {near}").select(F.col("node").alias("a"), "b").distinct()
+    pairs = common.written(shown.join(partners, ["item", "other"]).where(near).select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    return _compared(pairs, arrays)
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of documents (doc_id, text)."""
+def link_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles and component_id of documents (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    spark, seed = docs.sparkSession, 0
+    seed = 0
     while True:
         sizes = common.written(set_sizes(docs, seed), "sizes")
         twice = sizes.where("n_shingles > 0").groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("n_shingles").alias("n"), F.max("n_shingles").alias("m"))
@@ -277,45 +401,48 @@ def link(docs: DataFrame) -> DataFrame:
             break
         seed += 1  # two different sets have one digest: hash anew
     known = docs.where("doc_id is not null")
-    rows = common.written(_enough(signed(known, seed), "node"), "signed")
-    pairs = common.written(_stars(rows.withColumn("label", F.col("node"))), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(rows.select("node")).distinct()
+    nodes = common.written(candidates(signed(known, seed)), "nodes")
     ids = common.written(sizes.where("n_shingles > 0 and doc_id is not null").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     arrays = set_arrays(known.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), seed)
-    arrays = common.written(arrays, "arrays")
-    edges = common.written(_linked(pairs, arrays), "links")
-    labels = components(edges)
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for turn in range(TURNS + 1):
-        # What is open: nodes that share enough signatures with another component.
-        labelled = rows.join(labels, "node", "left").select("node", "tag", "sig", F.coalesce("label", "node").alias("label"))
-        rest = common.written(_enough(labelled, "label"), "rest")
-        if not rest.limit(1).count():
-            break
-        if turn < TURNS:
-            more = _stars(rest, turn + 1)
-            more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            more = _refined(rest.select("node", "label").distinct(), arrays)
-        more = common.written(more.join(done, ["a", "b"], "left_anti"), "more")
-        found = common.written(_linked(more, arrays), "links")
-        done = done.union(more)
-        if found.limit(1).count():
-            edges = edges.union(found)
-            labels = components(edges)
-    linked = sizes.where("doc_id is not null and n_shingles > 0").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+    arrays = common.written(arrays.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "arrays")
+    items = arrays.select("node", "n", F.col("node").alias("label"), F.explode("items").alias("item"))
+    opened = common.written(_open(items).select("node", "n", "item"), "open")
+    labels = common.written(opened.select("node", F.col("node").alias("label")).distinct(), "labels")
+    labels = _starred(labels, arrays)
+    links = common.written(_across(opened.join(labels, "node").select("node", "n", "label", "item"), arrays), "links")
+    if links.limit(1).count():
+        labels = _relabelled(labels, links)
+    for table in (nodes, ids, arrays, opened, links):
+        common.drop(table)
+    filled = "doc_id is not null and n_shingles > 0"
+    linked = sizes.where(filled).join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = linked.groupBy("node", "label").agg(F.min("doc_id").alias("least"))
     least = least.join(least.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
-    one = sizes.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return sizes.where("doc_id is not null and n_shingles > 0").join(least, "node").select("doc_id", "n_shingles", "component_id").union(one)
+    one = sizes.where(f"not ({filled})").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    return sizes.where(filled).join(least, "node").select("doc_id", "text_hash", "n_shingles", "component_id").union(one)
+
+
+def link(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of documents (doc_id, text)."""
+    return link_rows(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay: the least id of each component, and one row of each id."""
-    found = link(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    """The documents that stay: of each component the row with the least id (then the least hash of its text); rows that link
+    with nothing, and each null doc_id, stay."""
+    found = common.written(link_rows(docs), "components")
+    kept = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"), F.count(F.lit(1)).alias("rows"))
+    kept = common.written(kept.where("component_id is not null").select("k.*", "rows"), "kept")
+    empty = found.where("n_shingles = 0 and doc_id is not null").select("doc_id", "text_hash").distinct()
+    keyed = F.struct(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    rows = docs.select(keyed.alias("r")).select("r.*")
+    # Only a component of several rows can hold the kept row twice.
+    alone = kept.where("rows = 1").select("doc_id", "text_hash").union(empty)
+    several = kept.where("rows > 1").select("doc_id", "text_hash")
+    one = rows.join(several, ["doc_id", "text_hash"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("doc_id"))).where("n = 1")
+    out = rows.join(alone, ["doc_id", "text_hash"], "left_semi").select("row").union(one.select("row")).union(rows.where("doc_id is null").select("row"))
+    return out.select("row.*")
 
 
 def op10_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """The n-gram Jaccard join against all pairs."""
 
+import itertools
+import math
 import random
 import re
 
+import numpy as np
+
 from stridelake.llm import op10_partenum as op
 
 
@@ -81,15 +85,55 @@ def test_test_tables(spark):
     assert found == plain(rows) and len({c for _, _, c in found}) < len(found)
 
 
-def test_other_subsets(spark, monkeypatch):
-    monkeypatch.setattr(op, "N2", 3)
-    monkeypatch.setattr(op, "_layouts", {})
-    for n in (7, 40, 333):
-        k, n1, least, starts = op.layout(n)
-        assert least >= 1 and len(starts) == 3 * n1 and n1 * 2 > k
+def test_signatures_that_a_link_shares():
+    rng = np.random.default_rng(3)
+    for n in (4, 5, 9, 40, 333):
+        for _ in range(20):
+            x = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+            gone, new = rng.integers(0, n // 9 + 1), rng.integers(0, n // 9 + 1)
+            y = np.concatenate([x[gone:], rng.integers(0, 1 << 63, new, dtype=np.uint64)])
+            both = n - gone
+            if 100 * both < 80 * (n + new):
+                continue
+            a, b = op.signatures(np.sort(x)), op.signatures(np.sort(y))
+            assert (gone == new == 0) or any(len(np.intersect1d(s, t)) >= max(k, m) >= 1 for s, k in a for t, m in b)
+
+
+def test_least_shared_against_all_ways_to_differ():
+    for h in range(7):
+        ways = itertools.product(range(3), repeat=3)
+        shared = min(sum(math.comb(3 - d, 2) if d < 2 else 0 for d in way) for way in ways if sum(way) <= h)
+        assert op.least_shared(3, h) == shared
+
+
+def test_without_stars(spark, monkeypatch):
+    """What no star finds, the counts of elements find; rows that a task knows as shared still tell other tasks."""
+    monkeypatch.setattr(op, "_starred", lambda labels, arrays: labels)
+    monkeypatch.setattr(op, "HELD", 4000)
+    rows = made(7, 90, [40, 80, 120], [0, 2, 4, 7, 9, 11, 14])
+    assert got(spark, rows) == plain(rows)
+    rng, base, rows = random.Random(9), [f"w{k}" for k in range(150)], []
+    for k in range(60):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            copy[rng.randrange(150)] = str(rng.random())
+        rows.append((k, " ".join(copy)))
+    assert got(spark, rows) == plain(rows)
+
+
+def test_words_of_any_length():
+    long = "x" * 70_000
+    texts = [f"{long} b c d e", "A b\x1cc d  e f", None, "", f"{long} b c d e f", "a b\x1cc d e f", "é " * 3, "é é é", f"{long[1:]} b c d e"]
+    sets = [tuple(u) for u in op.batch_shingles(texts)]
+    assert [len(u) for u in sets] == [1, 1, 0, 0, 2, 1, 1, 1, 1]
+    assert sets[0][0] in sets[4] and sets[1] == sets[5] and sets[6] == sets[7] and sets[0] != sets[8]
+    many = [" ".join(map(str, range(k, k + 3000))) for k in range(0, 900_000, 3000)]
+    assert [u.tolist() for u in op.batch_shingles(many)] == [op.batch_shingles([t])[0].tolist() for t in many]
 
 
 def test_keep_one(spark):
     docs = spark.createDataFrame([(3, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "a b c d e f", "y"), (2, "q", "z"), (None, "q", "z")], "doc_id long, text string, component_id string")
     kept = sorted((r[0] or 0, r[2]) for r in op.keep_one(docs).collect())
     assert kept == [(0, "z"), (1, "y"), (2, "z")]
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n", {"k": "x"}), (1, "a b c d e f g h i j k l m n o", None), (1, "other words that it has under one id", None), (2, " ", None)], "doc_id long, text string, row map<string,string>")
+    assert sorted(r[1][:2] for r in op.keep_one(docs).collect()) in (["  ", "a ", "ot"], [" ", "a ", "ot"])
