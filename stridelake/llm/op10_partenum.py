@@ -45,7 +45,7 @@ BROADCAST_IDS = 1_000_000
 #: Elements of a node that stars go by.
 LEAST_ELEMENTS = 32
 #: Stars go on while a turn links this share of the nodes or more.
-TURN_SHARE = 0.005
+TURN_SHARE = 0.02
 #: Bytes that are hashed at once; words above LONG_WORD are hashed one by one.
 SEGMENT, LONG_WORD = 1 << 20, 1 << 16
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -149,17 +149,20 @@ def differ(n: int, m: int) -> int:
     return (n + m) * (100 - SIMILARITY) // (100 + SIMILARITY)
 
 
+#: By the number of the band.
 _layouts: dict[int, tuple] = {}
 
 
-def layout(largest: int) -> tuple:
-    """k, N1 and the parts' first hashes, for sets of up to `largest` elements."""
-    if largest not in _layouts:
+def layout(number: int, largest: int) -> tuple:
+    """k, N1, and the parts' first hashes and salts, for band `number` of sets of up to `largest` elements.
+
+    Part j is the part j // N1 of the first-level part j % N1."""
+    if number not in _layouts:
         k = differ(largest, largest)
         n1 = math.ceil((k + 1) / (K2 + 1))
         starts = np.array([(j << 64) // (n1 * N2) for j in range(n1 * N2)], np.uint64)
-        _layouts[largest] = (k, n1, starts)
-    return _layouts[largest]
+        _layouts[number] = (k, n1, starts, _mix(np.arange(n1 * N2, dtype=np.uint64) + np.uint64(number << 32)))
+    return _layouts[number]
 
 
 def least_shared(n1: int, h: int) -> int:
@@ -172,24 +175,27 @@ def least_shared(n1: int, h: int) -> int:
     return shared
 
 
+_SUBSETS = list(combinations(range(N2), N2 - K2))
+
+
 def signatures(u: np.ndarray) -> list[tuple[np.ndarray, int]]:
     """For each band that the set signs for: its signatures, and how many of them a link must share at least."""
-    out, sums = [], np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(u + np.uint64(1)))])
+    out, sums = [], np.zeros(len(u) + 1, np.uint64)
+    np.cumsum(_mix(u + np.uint64(1)), out=sums[1:])
     for number, largest, partner in instances(len(u)) if len(u) else []:
-        k, n1, starts = layout(largest)
+        k, n1, starts, salts = layout(number, largest)
         if k == 0:
             continue  # only equal sets link
-        at = np.append(np.searchsorted(u, starts), len(u))
-        size = np.diff(at).reshape(n1, N2)
-        total = (sums[at[1:]] - sums[at[:-1]] + _mix(np.arange(len(starts), dtype=np.uint64) + np.uint64(number << 32))).reshape(n1, N2)
-        made, filled = [], []
-        for c, subset in enumerate(combinations(range(N2), N2 - K2)):
-            picked = list(subset)
-            made.append(_mix(total[:, picked].sum(1, dtype=np.uint64) + np.uint64(c)))
-            filled.append(size[:, picked].sum(1) > 0)
-        sig, full, least = np.concatenate(made), np.concatenate(filled), least_shared(n1, differ(len(u), partner))
-        empty = int((~full).sum())
-        out.append((sig[full], least - empty) if empty < least else (sig, least))
+        at = np.append(u.searchsorted(starts), len(u))
+        upto = sums[at]
+        total, none = (upto[1:] - upto[:-1] + salts).reshape(N2, n1), (at[1:] == at[:-1]).reshape(N2, n1)
+        made, empty = np.empty((len(_SUBSETS), n1), np.uint64), np.empty((len(_SUBSETS), n1), bool)
+        for c, subset in enumerate(_SUBSETS):
+            np.add.reduce([total[j] for j in subset], out=made[c])
+            np.logical_and.reduce([none[j] for j in subset], out=empty[c])
+        made = _mix(made.ravel())
+        least, gone = least_shared(n1, differ(len(u), partner)), int(np.count_nonzero(empty))
+        out.append((made[~empty.ravel()] if gone else made, least - gone) if gone < least else (made, least))
     return out
 
 
@@ -222,21 +228,29 @@ def set_sizes(docs: DataFrame, seed: int) -> DataFrame:
 HELD = 1 << 21
 
 
-def _passed_on(nodes: np.ndarray, tags: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+def _signed_batch(nodes: np.ndarray, tags: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(tags.astype(np.int32)), pa.array(sigs.view(np.int64))], ["node", "tag", "sig"])
+
+
+def _passed_on(nodes: np.ndarray, tags: np.ndarray, sigs: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of signatures: where two nodes here hold one, their rows are known as shared and scattered, and one row more tells others."""
+    order = np.argsort(sigs)
+    same = sigs[order[1:]] == sigs[order[:-1]]
+    several = np.zeros(len(sigs), bool)
+    several[order[1:][same]] = several[order[:-1][same]] = True
+    yield _signed_batch(nodes[~several], tags[~several] * 2, sigs[~several])
+    if not several.any():
+        return
+    nodes, tags, sigs = nodes[several], tags[several], sigs[several]
     order = np.lexsort((nodes, sigs))
-    sigs, nodes, tags = sigs[order], nodes[order], tags[order]
+    nodes, tags, sigs = nodes[order], tags[order], sigs[order]
     new = np.append(True, sigs[1:] != sigs[:-1])
     fresh = np.append(True, nodes[1:] != nodes[:-1]) | new  # a node's copies count once
-    sigs, nodes, tags, new = sigs[fresh], nodes[fresh], tags[fresh], new[fresh]
+    nodes, tags, sigs, new = nodes[fresh], tags[fresh], sigs[fresh], new[fresh]
     group = np.cumsum(new) - 1
     known = np.bincount(group)[group] > 1
-    with np.errstate(over="ignore"):
-        apart = _mix(sigs[known] ^ _mix(nodes[known].view(np.uint64)))
-    told = known & new
-    columns = [np.concatenate([nodes, nodes[told]]), np.concatenate([tags * 2 + known, tags[told] * 2]), np.concatenate([sigs, sigs[told]])]
-    columns[2][: len(sigs)][known] = apart
-    return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].view(np.int64))], ["node", "tag", "sig"])
+    yield _signed_batch(nodes[new], tags[new] * 2, sigs[new])
+    yield _signed_batch(nodes[known], tags[known] * 2 + 1, _mix(sigs[known] ^ _mix(nodes[known].view(np.uint64))))
 
 
 def signed(docs: DataFrame, seed: int) -> DataFrame:
@@ -253,20 +267,46 @@ def signed(docs: DataFrame, seed: int) -> DataFrame:
                     tags.append(np.full(len(s), least * 2 + which))
                     held += len(s)
                 if held > HELD:
-                    yield _passed_on(*map(np.concatenate, (nodes, tags, sigs)))
+                    yield from _passed_on(*map(np.concatenate, (nodes, tags, sigs)))
                     nodes, tags, sigs, held = [], [], [], 0
         if held:
-            yield _passed_on(*map(np.concatenate, (nodes, tags, sigs)))
+            yield from _passed_on(*map(np.concatenate, (nodes, tags, sigs)))
 
     return docs.mapInArrow(rows, "node long, tag int, sig long")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
     """Nodes that share as many signatures with others as a link needs."""
-    by_sig = Window.partitionBy("sig")
-    shared = rows.withColumn("low", F.min("node").over(by_sig)).withColumn("high", F.max("node").over(by_sig)).where("low <> high or tag % 2 = 1")
-    shared = shared.select("node", F.shiftright("tag", 1).alias("tag"), "sig").distinct()
-    return shared.groupBy("node", "tag").count().where(F.col("count") >= F.shiftright("tag", 1)).select("node").distinct()
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by sig and node, one for each node that holds a signature with others. `first` is the row of the
+        node that began the signature's group, until another node follows."""
+        sig, node, first = None, None, None
+        for batch in batches:
+            nodes, tags, sigs = (batch.column(k).to_numpy() for k in range(3))
+            if not len(sigs):
+                continue
+            new = np.append(sigs[0] != sig, sigs[1:] != sigs[:-1])
+            fresh = np.append(new[0] or nodes[0] != node, nodes[1:] != nodes[:-1]) | new
+            starts = np.flatnonzero(new)
+            later = fresh & ~new  # second and further nodes of a group
+            begun = np.cumsum(new) - 1  # -1: the group that the last batch left open
+            out = later | (tags % 2 == 1) & fresh
+            joined = np.unique(begun[later])
+            out[starts[joined[joined >= 0]]] = True
+            got = [nodes[out], tags[out]]
+            if first is not None and len(joined) and joined[0] < 0:
+                got = [np.append(x, y) for x, y in zip(got, first, strict=True)]
+                first = None
+            if len(starts):
+                at = starts[-1]
+                first = None if out[at] else (nodes[at], tags[at])
+            sig, node = sigs[-1], nodes[-1]
+            if len(got[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1] >> 1)], ["node", "tag"])
+
+    held = rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(shared, "node long, tag int")
+    return held.groupBy("node", "tag").count().where(F.col("count") >= F.shiftright("tag", 1)).select("node").distinct()
 
 
 def set_arrays(docs: DataFrame, seed: int) -> DataFrame:
@@ -307,68 +347,70 @@ def _needs(n: Column, m: Column) -> Column:
 def _open(items: DataFrame) -> DataFrame:
     """Of rows (node, n, label, item) those that count for a link with another label, for the nodes that may have one.
 
-    smallest: no partner by this element is smaller; partner: nor is any partner of the node. A node stays if for some size m
+    smallest: no partner by this element is smaller; partner: nor is any partner of the node; weight: how often others hold
+    its elements. A node stays if for some size m
     it has as many elements with partners of up to m elements as a link with a set of m takes.
     """
-    held = items.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")).where("lo <> hi").drop("lo", "hi")
+    held = items.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("held")).where("lo <> hi").drop("lo", "hi")
     smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * SIMILARITY / 100 - 1e-9).cast("int"))
     rows = items.join(held, "item").withColumn("smallest", smallest).where(f"{SIMILARITY} * smallest <= 100 * n and 100 * most >= {SIMILARITY} * n")
     own = Window.partitionBy("node")
     rows = rows.withColumn("place", F.row_number().over(own.orderBy("smallest")))
-    rows = rows.withColumn("open", F.max(F.col("place") >= _needs(F.col("n"), F.col("smallest"))).over(own)).withColumn("partner", F.min("smallest").over(own))
-    return rows.where("open").select("node", "n", "label", "item", "smallest", "partner")
+    rows = rows.withColumn("open", F.max(F.col("place") >= _needs(F.col("n"), F.col("smallest"))).over(own)).withColumn("partner", F.min("smallest").over(own)).withColumn("weight", F.sum("held").over(own))
+    return rows.where("open").select("node", "n", "label", "item", "place", "smallest", "partner", "weight")
 
 
-def _compared(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
+def _compared(pairs: DataFrame, arrays: DataFrame, *more: str) -> DataFrame:
+    """The pairs (a, b) that link, and their columns named in more."""
     one, two = arrays.select(F.col("node").alias("a"), F.col("items").alias("x")), arrays.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     joined = pairs.join(one, "a").join(two, "b")
-    return joined.where(100 * both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select("a", "b")
-
+    return joined.where(100 * both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select("a", "b", *more)
 
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (node, label) after the links (a, b) of their nodes."""
-    of = lambda name, end: labels.select(F.col("node").alias(end), F.col("label").alias(name))
-    merged = components(links.join(of("la", "a"), "a").join(of("lb", "b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct())
-    new = labels.join(merged.withColumnRenamed("label", "new").withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
-    return common.written(new, "labels")
 
+def _starred(opened: DataFrame, arrays: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels and links (a, b) after turns of stars: a node is compared with the centre of most of its least elements.
 
-def _starred(labels: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Labels after turns of stars: a node is compared with the centre of most of its least elements. An element's centre is the
-    holder whose elements have most holders; from the second turn on, one drawn by a hash."""
-    least = arrays.join(labels, "node", "left_semi").select("node", F.explode(F.slice("items", 1, LEAST_ELEMENTS)).alias("item"))
-    shared = least.join(least.groupBy("item").count().where("count > 1"), "item")
-    least = common.written(shared.withColumn("weight", F.sum("count").over(Window.partitionBy("node"))).select("node", "item", "weight"), "least")
-    whole, done, turn = labels.count(), None, 0
+    An element's centre is the heaviest holder (or, in every third turn, one drawn by a hash) of the label of highest rank: at
+    first each node is a label and ranks by its weight, then the label of most nodes and one drawn by a hash take turns. A
+    label moves to the highest one that it links with; nodes of one label are linked, but linked labels may still differ.
+    """
+    nodes = opened.where("place = 1").select("node", "weight")
+    labels = common.written(nodes.select("node", F.col("node").alias("label")), "labels")
+    least = arrays.join(nodes, "node").select("node", "weight", F.explode(F.slice("items", 1, LEAST_ELEMENTS)).alias("item"))
+    least = common.written(least.join(least.groupBy("item").count().where("count > 1").select("item"), "item"), "least")
+    whole, links, turn = labels.count(), None, 0
     while True:
-        rows = least.join(labels, "node").withColumn("rank", F.col("weight") if turn == 0 else F.xxhash64(F.lit(turn), "node"))
-        centres = rows.groupBy("item").agg(F.max(F.struct("rank", "node", "label")).alias("centre"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        pairs = rows.join(centres, "item").where("label <> centre.label").groupBy("node", F.col("centre.node").alias("b")).count()
-        pairs = pairs.groupBy("node").agg(F.max_by("b", F.struct("count", "b")).alias("b")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        pairs = common.written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        links = common.written(_compared(pairs, arrays), "links")
-        found = links.count()
-        if found:
-            labels = _relabelled(labels, links)
-        common.drop(links)
-        if found < max(1, TURN_SHARE * whole):
-            return labels
-        done, turn = pairs if done is None else done.union(pairs), turn + 1
+        if turn == 0:
+            rows = least.select("node", "item", "weight", F.col("node").alias("label"), F.col("weight").alias("rank"))
+        elif turn % 2:
+            sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("rank"))
+            rows = least.join(labels.join(sizes, "label"), "node")
+        else:
+            rows = least.join(labels, "node").withColumn("rank", F.xxhash64(F.lit(turn), "label"))
+        drawn = F.xxhash64(F.lit(turn), "node") if turn % 3 == 2 else F.col("weight")
+        centres = rows.groupBy("item").agg(F.max(F.struct("rank", "label", drawn.alias("drawn"), "node")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        # Of one label and element many nodes may look for a centre; the counts tell which centre a node meets most.
+        met = rows.join(centres, "item").where("label <> c.label").groupBy("node", "label", F.col("c.rank").alias("rank"), F.col("c.label").alias("to"), F.col("c.node").alias("b")).count()
+        pairs = met.groupBy(F.col("node").alias("a")).agg(F.max_by(F.struct("b", "label", "rank", "to"), F.struct("count", "b")).alias("p")).select("a", "p.*")
+        found = common.written(_compared(pairs, arrays, "label", "rank", "to"), "links")
+        moves = found.groupBy("label").agg(F.max_by("to", F.struct("rank", "to")).alias("to"))
+        further = moves.select(F.col("label").alias("to"), F.col("to").alias("further"))
+        moves = moves.join(further, "to", "left").select("label", F.coalesce("further", "to").alias("to"))
+        labels = common.written(labels.join(moves, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        now = found.select("a", "b")
+        links, turn = now if links is None else links.union(now), turn + 1
+        if found.count() < max(1, TURN_SHARE * whole):
+            return labels, links
 
 
 def _across(items: DataFrame, arrays: DataFrame) -> DataFrame:
     """All links (a, b) between different labels that nodes of rows (node, n, label, item) have."""
-    before = None
-    while True:
-        rows = common.written(_open(items), "open")
-        left = rows.select("node").distinct().count()
-        if before is not None and left > 0.9 * before:
-            break
-        before, items = left, rows.select("node", "n", "label", "item")
-        if not left:
-            break
+    before, left = None, 0
+    while before is None or left < 0.9 * before:
+        before, rows = left, common.written(_open(items), "open")
+        left, items = rows.where("place = 1").count(), rows.select("node", "n", "label", "item")
+        before = before or 2 * left
     # The label with fewer nodes looks for partners in the other.
     members = rows.select("node", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("members"))
     held = rows.groupBy("item", "label").agg(F.count(F.lit(1)).alias("holders"), F.min("n").alias("smallest_there")).join(members, "label")
@@ -391,7 +433,7 @@ def _across(items: DataFrame, arrays: DataFrame) -> DataFrame:
 
 
 def link_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles and component_id of documents (doc_id, text)."""
+    """doc_id, text_hash, n_shingles, label (null: links with nothing by rule) and component_id of documents (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     seed = 0
     while True:
@@ -407,20 +449,19 @@ def link_rows(docs: DataFrame) -> DataFrame:
     arrays = set_arrays(known.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), seed)
     arrays = common.written(arrays.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "arrays")
     items = arrays.select("node", "n", F.col("node").alias("label"), F.explode("items").alias("item"))
-    opened = common.written(_open(items).select("node", "n", "item"), "open")
-    labels = common.written(opened.select("node", F.col("node").alias("label")).distinct(), "labels")
-    labels = _starred(labels, arrays)
-    links = common.written(_across(opened.join(labels, "node").select("node", "n", "label", "item"), arrays), "links")
-    if links.limit(1).count():
-        labels = _relabelled(labels, links)
-    for table in (nodes, ids, arrays, opened, links):
+    opened = common.written(_open(items).select("node", "n", "item", "place", "weight"), "open")
+    labels, links = _starred(opened, arrays)
+    found = _across(opened.join(labels, "node").select("node", "n", "label", "item"), arrays)
+    labels = components(links.union(found))
+    for table in (nodes, ids, arrays, opened):
         common.drop(table)
     filled = "doc_id is not null and n_shingles > 0"
     linked = sizes.where(filled).join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = linked.groupBy("node", "label").agg(F.min("doc_id").alias("least"))
-    least = least.join(least.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
-    one = sizes.where(f"not ({filled})").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
-    return sizes.where(filled).join(least, "node").select("doc_id", "text_hash", "n_shingles", "component_id").union(one)
+    least = least.join(least.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "label", "component_id")
+    out = ["doc_id", "text_hash", "n_shingles", "label", "component_id"]
+    one = sizes.where(f"not ({filled})").withColumn("label", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    return sizes.where(filled).join(least, "node").select(*out).union(one.select(*out))
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -432,8 +473,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that stay: of each component the row with the least id (then the least hash of its text); rows that link
     with nothing, and each null doc_id, stay."""
     found = common.written(link_rows(docs), "components")
-    kept = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"), F.count(F.lit(1)).alias("rows"))
-    kept = common.written(kept.where("component_id is not null").select("k.*", "rows"), "kept")
+    kept = found.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"), F.count(F.lit(1)).alias("rows"))
+    kept = common.written(kept.select("k.*", "rows"), "kept")
     empty = found.where("n_shingles = 0 and doc_id is not null").select("doc_id", "text_hash").distinct()
     keyed = F.struct(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
     rows = docs.select(keyed.alias("r")).select("r.*")

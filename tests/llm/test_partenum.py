@@ -108,7 +108,7 @@ def test_least_shared_against_all_ways_to_differ():
 
 def test_without_stars(spark, monkeypatch):
     """What no star finds, the counts of elements find; rows that a task knows as shared still tell other tasks."""
-    monkeypatch.setattr(op, "_starred", lambda labels, arrays: labels)
+    monkeypatch.setattr(op, "_starred", lambda opened, arrays: (opened.where("place = 1").selectExpr("node", "node label"), opened.selectExpr("node a", "node b").limit(0)))
     monkeypatch.setattr(op, "HELD", 4000)
     rows = made(7, 90, [40, 80, 120], [0, 2, 4, 7, 9, 11, 14])
     assert got(spark, rows) == plain(rows)
@@ -136,4 +136,4 @@ def test_keep_one(spark):
     kept = sorted((r[0] or 0, r[2]) for r in op.keep_one(docs).collect())
     assert kept == [(0, "z"), (1, "y"), (2, "z")]
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n", {"k": "x"}), (1, "a b c d e f g h i j k l m n o", None), (1, "other words that it has under one id", None), (2, " ", None)], "doc_id long, text string, row map<string,string>")
-    assert sorted(r[1][:2] for r in op.keep_one(docs).collect()) in (["  ", "a ", "ot"], [" ", "a ", "ot"])
+    assert sorted(r[1][:2] for r in op.keep_one(docs).collect()) == [" ", "a ", "ot"]
