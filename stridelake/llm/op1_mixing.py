@@ -4,10 +4,11 @@
    weights are a table of BUCKETS rows, so the broadcast has a fixed bound. Domains: good, poor (quality 0), toxic.
 2. Every document's words are looked up and added up to its domain posteriors; a document counts as EFFECTIVE words at
    most, so that posteriors stay soft.
-3. Rates r >= 0 minimise the squared errors of sum(r * tokens * posterior) against the targets, by projected
-   gradient steps in the metric of the documents' tokens, with momentum. A step's gradient is one number for each domain, so a
-   step is one aggregate over all documents' tokens and posteriors, and a rate is a fold over the gradients so far. The narrow
-   table of tokens, posteriors and rates is written anew after every KEPT steps, so that a step folds over KEPT gradients at most.
+3. Rates r >= 0 minimise the squared errors of sum(r * tokens * posterior) against the targets, by projected gradient steps:
+   r' = max(0, r - sum of p_k * g_k), where g is the gradient of the totals in the metric of the rows whose rate is above 0
+   (a 3 x 3 matrix), so that a step would meet the targets if it brought no further rate to 0. A step that makes the error no
+   smaller is halved. Totals and matrix are one aggregate over all documents' tokens and posteriors, so a step is one job and
+   nothing but a dozen sums comes to the driver; a rate is a fold over the steps.
 
 Defined results: a null or empty text has no tokens, the prior as posteriors and the rate they give; a label that is null or
 names no document is left out; without labelled documents all posteriors are equal; repeated rows have equal rates; an
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +30,9 @@ BUCKETS = 4096
 EFFECTIVE = 40
 DOMAINS = ["good", "poor", "toxic"]
 TARGETS = {"good": 0.95, "poor": 0.03, "toxic": 0.02}
-#: Posteriors are exact; a test takes its tolerance from here.
-GRID = 256
-STEPS = 60
-#: So many steps are folded before the rates are written.
-KEPT = 10
+STEPS = 40
+#: A step is halved down to this share of itself; when that is no better either, the error is least.
+LEAST_SHARE = 1 / 64
 #: Largest error of a domain, as a share of all tokens, at which the steps end.
 CLOSE = 1e-5
 SEED = 11
@@ -81,56 +81,45 @@ def posteriors(docs: DataFrame, model: DataFrame, prior: list[float]) -> DataFra
     return odds.select("doc_id", "text_hash", "tokens", *[(F.col(f"e{k}") / whole).alias(f"p{k}") for k in range(3)])
 
 
-def _fold(past: list[list[float]], start: Column) -> Column:
-    """r (the rate) and y (the point of the next gradient) after the steps in past, from start on. Each step is accelerated:
-    r' = max(0, y - sum of p_k * g_k) and y' = r' + momentum * (r' - r)."""
-    if not past:
-        return start
-    rows = ", ".join("named_struct('g0', {!r}D, 'g1', {!r}D, 'g2', {!r}D, 'momentum', {!r}D)".format(*map(float, step)) for step in past)
-    steps = F.expr(f"array({rows})")
-
-    def move(at: Column, g: Column) -> Column:
-        r = F.greatest(F.lit(0.0), at["y"] - sum(F.col(f"p{k}") * g[f"g{k}"] for k in range(3)))
-        return F.struct(r.alias("r"), (r + g["momentum"] * (r - at["r"])).alias("y"))
-
-    return F.aggregate(steps, start, move)
-
-
-def _state(r: Column, y: Column) -> Column:
-    return F.struct(r.alias("r"), y.alias("y"))
-
-
 def rate(past: list[list[float]]) -> Column:
-    return _fold(past, _state(F.lit(1.0), F.lit(1.0)))["r"]
+    """The rate after the steps in past, from the posteriors p0 .. p2."""
+    if not past:
+        return F.lit(1.0)
+    rows = ", ".join("named_struct('g0', {!r}D, 'g1', {!r}D, 'g2', {!r}D)".format(*map(float, step)) for step in past)
+    return F.aggregate(F.expr(f"array({rows})"), F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - sum(F.col(f"p{k}") * g[f"g{k}"] for k in range(3))))
 
 
 def fit(members: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, steps: int = STEPS) -> list[list[float]]:
     """Steps of the projected gradient on rows (tokens, p0 .. p2). budget: tokens to give out, all by default."""
-    start = members.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"p{k}")), F.lit(0.0)) for k in range(3)], *[F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")), F.lit(0.0)) for i in range(3) for j in range(3)]).first()
-    have = list(start[:3])
-    budget = sum(have) if budget is None else budget
-    whole = sum(targets.get(d, 0.0) for d in DOMAINS)
-    goal = [budget * targets.get(d, 0.0) / whole for d in DOMAINS]
-    used = [k for k in range(3) if have[k] > 0]
-    unit = [budget if budget > 0 else 1.0] * 3
-    gram = [[start[3 + 3 * i + j] / (unit[i] * unit[j]) if i in used and j in used else 0.0 for j in range(3)] for i in range(3)]
-    v, size = [1.0] * 3, 1.0
-    for _ in range(100):  # the largest eigenvalue bounds the step
-        v = [sum(gram[i][j] * v[j] for j in range(3)) for i in range(3)]
-        size = max(map(abs, v)) or 1.0
-        v = [x / size for x in v]
+    cells = [(i, j) for i in range(3) for j in range(i, 3)]
+
+    def totals(past: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens given to each domain, and sum(tokens * p_i * p_j) over the rows that still get some."""
+        now = members.select("p0", "p1", "p2", "tokens", rate(past).alias("r"))
+        given = [F.coalesce(F.sum(F.col("r") * F.col("tokens") * F.col(f"p{k}")), F.lit(0.0)) for k in range(3)]
+        held = F.when(F.col("r") > 0, F.col("tokens")).otherwise(0)
+        got = now.agg(*given, *[F.coalesce(F.sum(held * F.col(f"p{i}") * F.col(f"p{j}")), F.lit(0.0)) for i, j in cells]).first()
+        metric = np.zeros((3, 3))
+        for (i, j), v in zip(cells, got[3:], strict=True):
+            metric[i, j] = metric[j, i] = v
+        return np.array(got[:3], float), metric
+
+    given, metric = totals([])
+    budget = float(given.sum()) if budget is None else budget
+    goal = np.array([targets.get(d, 0.0) for d in DOMAINS])
+    used, scale = given > 0, budget if budget > 0 else 1.0
+    goal = np.where(used, budget * goal / (goal.sum() or 1.0), 0.0)
     past: list[list[float]] = []
-    narrow, at, state = members.select("p0", "p1", "p2", "tokens"), 0, _state(F.lit(1.0), F.lit(1.0))
-    for _ in range(steps):
-        if len(past) == at + KEPT:
-            moved = narrow.withColumn("now", _fold(past[at:], state)).select("p0", "p1", "p2", "tokens", F.col("now.r").alias("r"), F.col("now.y").alias("y"))
-            narrow, at, state = common.written(moved, "rates"), len(past), _state(F.col("r"), F.col("y"))
-        now = narrow.select("p0", "p1", "p2", "tokens", _fold(past[at:], state)["y"].alias("y"))
-        got = now.agg(*[F.coalesce(F.sum(F.col("y") * F.col("tokens") * F.col(f"p{k}")), F.lit(0.0)) for k in range(3)]).first()
-        miss = [(got[k] - goal[k]) / unit[k] if k in used else 0.0 for k in range(3)]
-        if max(map(abs, miss)) < CLOSE:
-            break
-        past.append([*(m / (unit[k] * size) for k, m in enumerate(miss)), len(past) / (len(past) + 3)])
+    error, share = np.where(used, given - goal, 0.0) / scale, 1.0
+    while len(past) < steps and np.abs(error).max() >= CLOSE and share >= LEAST_SHARE:
+        near = metric / scale
+        step = np.linalg.lstsq(near + np.eye(3) * 1e-12 * max(1e-300, np.trace(near)), error, rcond=1e-10)[0]
+        more, metric_then = totals([*past, (share * step).tolist()])
+        error_then = np.where(used, more - goal, 0.0) / scale
+        if np.linalg.norm(error_then) < np.linalg.norm(error) * (1 - 1e-3):
+            past, error, metric, share = [*past, (share * step).tolist()], error_then, metric_then, min(1.0, 2 * share)
+        else:
+            share /= 2
     return past
 
 
@@ -146,9 +135,11 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, seed: int = SEED) -> DataFrame:
     """docs, each row as often as its copies say."""
-    copies = mix(docs, labels, targets, seed).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "copies").distinct()
-    joined = docs.join(copies.withColumnRenamed("copies", "_copies"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = mix(docs, labels, targets, seed).select(F.struct("doc_id", "text_hash").alias("key"), "copies").distinct()
+    # Structs, so that no column of docs can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key"))
+    joined = rows.join(copies, rows.key.eqNullSafe(copies.key)).select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return joined.select("row.*")
 
 
 def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
