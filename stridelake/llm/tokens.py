@@ -9,7 +9,7 @@ Texts with white space on which libraries disagree are encoded whole.
 from __future__ import annotations
 
 import re
-from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 
@@ -20,6 +20,8 @@ ODD_RE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u20
 ODD_ASCII = "\x1c\x1d\x1e\x1f"
 #: Pieces that a worker keeps.
 CACHED = 800_000
+#: New pieces that are encoded as one text.
+JOINED = 256
 
 
 def public_path(name: str) -> str:
@@ -58,6 +60,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.split = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall if with_spaces else str.split
+        self.with_spaces = with_spaces
         self.index, self.flat = _Index(), np.zeros(0, np.uint32)
         self.lengths, self.offsets = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -65,12 +68,32 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(self.index.new, add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))
-        self.offsets = np.concatenate([self.offsets, len(self.flat) + np.cumsum(n) - n])
+        """Encodes the new pieces. Those that white space parts from others (all of them where it is dropped) go many to a text:
+        the offsets of the tokens tell where a piece ends."""
+        new = self.index.new
+        alone = [k for k, piece in enumerate(new) if piece[0] != " " or piece.isspace()] if self.with_spaces else []
+        n = np.zeros(len(new), np.int64)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([new[k] for k in alone], add_special_tokens=False)]
+        n[alone] = [len(x) for x in ids]
+        skip, between = set(alone), "" if self.with_spaces else " "
+        rest = [k for k in range(len(new)) if k not in skip] if skip else range(len(new))
+        groups = [rest[at : at + JOINED] for at in range(0, len(rest), JOINED)]
+        together = []
+        for group, e in zip(groups, self.tokenizer.encode_batch([between.join([new[k] for k in group]) for group in groups], add_special_tokens=False), strict=True):
+            ends = np.cumsum([len(new[k]) + len(between) for k in group])
+            starts = np.fromiter(map(itemgetter(0), e.offsets), np.int64, len(e.ids))
+            n[group] = np.bincount(np.searchsorted(ends, starts, "right"), minlength=len(group))
+            together += e.ids
+        start = len(self.flat) + np.cumsum(n) - n
+        out = np.zeros(int(n.sum()), np.uint32)
+        own = np.ones(len(out), bool)
+        for k, x in zip(alone, ids, strict=True):
+            at = start[k] - len(self.flat)
+            out[at : at + len(x)], own[at : at + len(x)] = x, False
+        out[own] = together
+        self.offsets = np.concatenate([self.offsets, start])
         self.lengths = np.concatenate([self.lengths, n])
-        self.flat = np.concatenate([self.flat, flat])
+        self.flat = np.concatenate([self.flat, out])
 
     def _forget(self, kept: int) -> None:
         """Drops the batch's new pieces, all of which came after the first `kept`."""
