@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stridelake.sources import scratch
+
 
 def _incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
@@ -102,20 +105,29 @@ def ordinal_calibration(observations: DataFrame, folds: int = 5, steps: int = 20
     return replicas.groupBy("held").applyInPandas(fit, "held long, slope double, log_loss double, prior_log_loss double")
 
 
-def latent_quality(observations: DataFrame, steps: int = 12) -> DataFrame:
+def latent_quality(observations: DataFrame, steps: int = 6) -> DataFrame:
     """Quality of each item and severity of each rater, by alternating penalised means of the residuals.
 
-    Each step is two aggregates over (item, rater) cells; intervals use the cell counts (diagonal curvature).
+    Each half step is one aggregate over the written (item, rater) cells, joined with the table of the other side that the
+    half step before wrote; intervals use the cell counts (diagonal curvature).
     """
-    cells = observations.groupBy("stimulus", "rater").agg(F.count(F.lit(1)).alias("n"), F.avg("rating").alias("mean"))
-    whole = observations.agg(F.avg("rating").alias("mu"))
-    now = cells.crossJoin(F.broadcast(whole)).withColumn("q", F.lit(0.0)).withColumn("r", F.lit(0.0))  # one row of the grand mean
+    cells = observations.groupBy("stimulus", "rater").agg(F.count(F.lit(1)).alias("n"), F.sum("rating").alias("total"))
+    cells = scratch.stored(cells, "cells")
+    mu = cells.agg((F.sum("total") / F.sum("n")).alias("mu")).first()["mu"]
+    if mu is None:
+        return cells.select("stimulus", F.lit(None).cast("double").alias("quality"), F.lit(None).cast("double").alias("half_width"), "n")
+
+    def half(key: str, other: str, effect: DataFrame | None) -> DataFrame:
+        rows = cells if effect is None else cells.join(effect.select(other, "effect"), other)
+        offset = F.lit(0.0) if effect is None else F.col("effect")
+        out = rows.groupBy(key).agg((F.sum(F.col("total") - F.col("n") * (F.lit(mu) + offset)) / (F.sum("n") + 1)).alias("effect"), F.sum("n").alias("n"))
+        return scratch.stored(out, "effects")
+
+    rater = None
     for _ in range(steps):
-        q = now.groupBy("stimulus").agg((F.sum(F.col("n") * (F.col("mean") - F.col("mu") - F.col("r"))) / (F.sum("n") + 1)).alias("q"))
-        now = now.drop("q").join(q, "stimulus")
-        r = now.groupBy("rater").agg((F.sum(F.col("n") * (F.col("mean") - F.col("mu") - F.col("q"))) / (F.sum("n") + 1)).alias("r"))
-        now = now.drop("r").join(r, "rater")
-    return now.groupBy("stimulus").agg(F.first("q").alias("quality"), (1.96 / F.sqrt(F.sum("n") + 1)).alias("half_width"), F.sum("n").alias("n"))
+        item = half("stimulus", "rater", rater)
+        rater = half("rater", "stimulus", item)
+    return item.select("stimulus", F.col("effect").alias("quality"), (1.96 / F.sqrt(F.col("n") + 1)).alias("half_width"), "n")
 
 
 def balanced_sample(scores: DataFrame, draws: int = 200, seed: int = 5) -> DataFrame:
@@ -129,23 +141,24 @@ def balanced_sample(scores: DataFrame, draws: int = 200, seed: int = 5) -> DataF
 
 
 def stratified_overlap(observations: DataFrame, count: int = 40) -> DataFrame:
-    """Greedy pick that favours strata picked least, over one row for each stratum tuple (task, family, rating)."""
-    first = observations.groupBy("rater", "stimulus").agg(F.min_by(F.struct("observation_id", "task", "family", "rating"), "observation_id").alias("o")).select("o.*")
-    ranked = first.withColumn("k", F.row_number().over(Window.partitionBy("task", "family", "rating").orderBy("observation_id"))).where(F.col("k") <= count)
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, seen, out = rows.sort_values("observation_id"), {}, []
-        left = rows.to_dict("records")
-        while left and len(out) < count:
-            best = max(left, key=lambda r: (sum(1 / (1 + seen.get((c, r[c]), 0)) for c in ("task", "family", "rating")), -r["observation_id"]))
-            left.remove(best)
-            out.append((best["observation_id"], len(out) + 1))
-            for c in ("task", "family", "rating"):
-                seen[c, best[c]] = seen.get((c, best[c]), 0) + 1
-        return pd.DataFrame(out, columns=["observation_id", "place"])
+    """A pick of `count` rows, one for each (rater, item), that favours values of task, family and rating picked least.
 
-    # At most `count` rows of each of the fixed number of strata meet in the one greedy pass.
-    return ranked.groupBy(F.lit(1)).applyInPandas(greedy, "observation_id long, place long")
+    A pick depends on the row's stratum only and takes a stratum's rows in the order of their ids, so the greedy pass goes over
+    strata (at most the product of the three columns' values) with their first `count` ids; rows never leave the executors.
+    """
+    keys = ("task", "family", "rating")
+    first = observations.groupBy("rater", "stimulus").agg(F.min_by(F.struct("observation_id", *keys), "observation_id").alias("o")).select("o.*")
+    ranked = first.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("observation_id"))).where(F.col("k") <= count)
+    strata = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list("observation_id")).alias("ids")).collect()
+    ids = {tuple(r[c] for c in keys): r["ids"] for r in strata}
+    used, seen, picks = dict.fromkeys(ids, 0), Counter(), []
+    while len(picks) < count and (open_ := [s for s in ids if used[s] < len(ids[s])]):
+        gain = {s: sum(1 / (1 + seen[c]) for c in enumerate(s)) for s in open_}
+        stratum = min(open_, key=lambda s: (-gain[s], ids[s][used[s]]))
+        picks.append((ids[stratum][used[stratum]], len(picks) + 1))
+        used[stratum] += 1
+        seen.update(enumerate(stratum))
+    return observations.sparkSession.createDataFrame(picks, "observation_id long, place long")
 
 
 def query_schedule(observations: DataFrame, size: int = 12, per_family: int = 4, spacing: int = 2) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from stridelake.functions.quaternions import A, B, geodesic, multiply, named, norm, num, rotate
 from stridelake.operators.base import operators
+from stridelake.operators.windows import SLIDING
 
+#: Each window smoothed on its own, so that two windows differ near their ends only.
+SMOOTHED = f"(SELECT motion_id, window_start, frame, round(avg(x) OVER (PARTITION BY motion_id, window_start ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS v FROM {SLIDING} s)"
 STIMULI = "(SELECT CAST(n AS BIGINT) AS stimulus, CAST(n % 5 AS BIGINT) AS kind, CASE WHEN n % 4 = 0 THEN 'direct' ELSE 'generated' END AS population FROM {numbers} WHERE n < 60)"
 EXPLODED = "(SELECT observation_id, rater, stimulus FROM {observations} UNION ALL SELECT observation_id, rater, second AS stimulus FROM {observations} WHERE task = 'pair')"
 WORLD = f"""WITH RECURSIVE posed AS (SELECT p.motion_id, p.frame, p.joint, p.w, p.x, p.y, p.z, j.parent, j.ox, j.oy, j.oz FROM {{poses}} p JOIN {{joints}} j ON p.joint = j.joint),
@@ -46,11 +49,15 @@ SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (
     d17_same_split_donor="""
 SELECT s.sample_id, d.sample_id AS donor FROM (SELECT sample_id, split, family, row_number() OVER (PARTITION BY split, family ORDER BY sample_id) AS p FROM {samples}) s JOIN (SELECT sample_id, split, family, row_number() OVER (PARTITION BY split, family ORDER BY sample_id) AS p, count(*) OVER (PARTITION BY split, family) AS n FROM {samples}) d
 ON s.split = d.split AND s.family = d.family AND d.p = 1 + s.p % d.n WHERE s.sample_id <> d.sample_id""",
-    d18_clip_distance_join=f"SELECT motion_id, joint, {num(f'degrees(sqrt(avg({geodesic(A, B)} * {geodesic(A, B)})))')} AS rotation_rms FROM {{steps}} GROUP BY motion_id, joint",
+    d18_clip_distance_join=f"""
+SELECT q.motion_id, rotation_rms, root_rms FROM (SELECT a.motion_id, {num(f'degrees(sqrt(avg({geodesic(A, B)} * {geodesic(A, B)})))')} AS rotation_rms FROM (
+    SELECT p.motion_id, p.w AS aw, p.x AS ax, p.y AS ay, p.z AS az, k.w AS bw, k.x AS bx, k.y AS by_, k.z AS bz FROM {{poses}} p JOIN {{posed}} k ON p.motion_id = k.motion_id AND p.frame = k.frame AND p.joint = k.joint) a GROUP BY a.motion_id) q
+JOIN (SELECT r.motion_id, {num('sqrt(avg((k.x - r.x) * (k.x - r.x) + (k.z - r.z) * (k.z - r.z)))')} AS root_rms FROM {{roots}} r JOIN (SELECT motion_id, frame, x + 0.01e0 * (frame % 4) AS x, z - 0.02e0 * (frame % 3) AS z FROM {{roots}}) k ON r.motion_id = k.motion_id AND r.frame = k.frame GROUP BY r.motion_id) t ON q.motion_id = t.motion_id""",
     d19_metric_delta=f"SELECT coalesce(a.source, b.source) AS metric, {num('b.v - a.v')} AS delta FROM (SELECT source, avg(score) AS v FROM {{scores}} WHERE target GROUP BY source) a FULL OUTER JOIN (SELECT source, avg(score) AS v FROM {{scores}} WHERE NOT target GROUP BY source) b ON a.source = b.source",
-    d20_window_overlap_compare=f"SELECT a.motion_id, {num('max(abs(a.x - b.x))')} AS largest, round(avg(abs(a.x - b.x)), 4) + 0e0 AS mean FROM {{series}} a JOIN {{series}} b ON a.motion_id = b.motion_id AND a.frame = b.frame + 8 WHERE a.frame >= 16 AND a.frame < 48 GROUP BY a.motion_id",
+    d20_window_overlap_compare=f"""
+SELECT a.motion_id, {num('max(abs(a.v - b.v))')} AS largest, round(avg(abs(a.v - b.v)), 4) + 0e0 AS mean, {num('max(CASE WHEN a.frame BETWEEN b.window_start + 2 AND a.window_start + 29 THEN abs(a.v - b.v) ELSE 0e0 END)')} AS interior FROM {SMOOTHED} a JOIN {SMOOTHED} b ON a.motion_id = b.motion_id AND b.window_start = a.window_start + 16 AND a.frame = b.frame GROUP BY a.motion_id""",
     d21_joint_halo="SELECT DISTINCT joint FROM (SELECT joint FROM {joints} WHERE joint IN (3, 9) UNION ALL SELECT parent AS joint FROM {joints} WHERE joint IN (3, 9) UNION ALL SELECT joint FROM {joints} WHERE parent IN (3, 9)) s WHERE joint >= 0",
-    d22_paired_contact_evidence=f"SELECT c.motion_id, c.marker, c.frame, {num('k.height - c.height')} AS height_change, {num('k.speed - c.speed')} AS speed_change, c.height <= 0.03e0 AS clean_contact FROM {{contacts}} c JOIN {{contacts}} k ON c.motion_id = k.motion_id AND c.marker = k.marker AND k.frame = c.frame + 1",
+    d22_paired_contact_evidence=f"SELECT c.motion_id, c.marker, c.frame, {num('k.height')} AS height, {num('k.height - c.height')} AS height_change, {num('k.speed - c.speed')} AS speed_change, c.height <= 0.03e0 AS clean_contact, k.height <= 0.03e0 AS candidate_contact FROM {{contacts}} c JOIN {{candidate}} k ON c.motion_id = k.motion_id AND c.marker = k.marker AND k.frame = c.frame",
     d23_decode_samples=f"SELECT p.motion_id, p.frame, {named(('r.x - f.x', 'r.y', 'r.z - f.z'), 'x y z')}, {num(norm(('p.x', 'p.y', 'p.z')))} AS vector_norm FROM {{poses}} p JOIN {{roots}} r ON p.motion_id = r.motion_id AND p.frame = r.frame JOIN {{roots}} f ON p.motion_id = f.motion_id AND f.frame = 0 WHERE p.joint = 0",
     d24_pair_orientation_join="SELECT p.pair_id, CASE WHEN p.source % 3 = 0 THEN 'direct' WHEN p.source % 3 = 1 THEN 'reversed' ELSE 'violation' END AS orientation, CASE WHEN p.source % 3 = 1 AND p.preference = 'a_better' THEN 'b_better' WHEN p.source % 3 = 1 AND p.preference = 'b_better' THEN 'a_better' WHEN p.source % 3 = 2 THEN NULL ELSE p.preference END AS preference FROM {pairs} p JOIN {customer} c ON p.source = c.c_custkey",
     d25_align_predictions=f"""

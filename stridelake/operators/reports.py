@@ -13,7 +13,8 @@ PER_CLIP = f"""SELECT motion_id, 'height_max' AS metric, max(height) AS value FR
   UNION ALL SELECT motion_id, 'speed_mean' AS metric, avg(speed) AS value FROM {{contacts}} GROUP BY motion_id UNION ALL SELECT motion_id, 'slip' AS metric, max(slip) AS value FROM {SLIDES} sl GROUP BY motion_id
   UNION ALL SELECT motion_id, 'strikes' AS metric, CAST(count(*) AS DOUBLE) AS value FROM ({EVENTS}) ev WHERE kind = 'heel_strike' GROUP BY motion_id"""
 FIRST_TWO = "(SELECT rater, task, stimulus, max(CASE WHEN k = 1 THEN rating END) AS a, max(CASE WHEN k = 2 THEN rating END) AS b FROM (SELECT *, row_number() OVER (PARTITION BY rater, task, stimulus ORDER BY observation_id) AS k FROM {observations}) o WHERE k <= 2 GROUP BY rater, task, stimulus HAVING count(*) = 2)"
-ENERGY = f"(SELECT motion_id, frame, joint, ex * ex + ey * ey + ez * ez AS energy FROM (SELECT motion_id, frame, joint, {raw(log_vector(('dw', 'dx', 'dy', 'dz')), 'ex ey ez')} FROM (SELECT motion_id, frame, joint, {raw(multiply(conjugate(A), B), 'dw dx dy dz')} FROM {{steps}}) d) v)"
+VELOCITY = f"(SELECT motion_id, frame, joint, {raw(log_vector(('dw', 'dx', 'dy', 'dz')), 'ex ey ez')} FROM (SELECT motion_id, frame, joint, {raw(multiply(conjugate(A), B), 'dw dx dy dz')} FROM {{steps}}) d)"
+ENERGY = f"(SELECT motion_id, frame, joint, ex * ex + ey * ey + ez * ez AS energy FROM {VELOCITY} v)"
 
 OPERATORS = operators(
     e1_clip_report=f"""
@@ -22,7 +23,9 @@ SELECT motion_id, {', '.join(f"{num(f'''max(CASE WHEN metric = '{m}' THEN value
     e3_foot_sliding=f"SELECT motion_id, {num('100 * max(slip)')} AS slip_cm, count_if(100 * slip > 0.05e0) AS slides FROM {SLIDES} s GROUP BY motion_id",
     e4_ground_contact=f"SELECT motion_id, {num('100 * max(greatest(0e0, 0.02e0 - height))')} AS penetration_cm, {num('100 * max(greatest(0e0, height - 0.02e0))')} AS floating_cm, count(*) AS frames FROM ({HYSTERESIS}) h WHERE active GROUP BY motion_id",
     e5_angular_smoothness=f"""
-SELECT motion_id, {num('percentile(jerk, 0.99)')} AS jerk_p99, {num('percentile(jerk, 0.5)')} AS jerk_median FROM (SELECT motion_id, abs(lead(e, 1) OVER w - 2 * e + lag(e, 1) OVER w) AS jerk FROM (SELECT motion_id, joint, frame, 60 * sqrt(energy) AS e FROM {ENERGY} en) v WINDOW w AS (PARTITION BY motion_id, joint ORDER BY frame)) j WHERE jerk IS NOT NULL GROUP BY motion_id""",
+SELECT motion_id, round(percentile(jerk, 0.99), 3) AS jerk_p99, round(percentile(jerk, 0.5), 3) AS jerk_median FROM (
+  SELECT motion_id, 216000e0 * sqrt(dx * dx + dy * dy + dz * dz) AS jerk FROM (
+    SELECT motion_id, {', '.join(f'lead(e{c}, 1) OVER w - 2 * e{c} + lag(e{c}, 1) OVER w AS d{c}' for c in 'xyz')} FROM {VELOCITY} v WINDOW w AS (PARTITION BY motion_id, joint ORDER BY frame)) d WHERE dx IS NOT NULL) j GROUP BY motion_id""",
     e6_loop_seam=f"SELECT motion_id, CASE WHEN score < 1e-6 THEN 0e0 ELSE {num('score')} END AS seam, score > 1e-4 AS event FROM (SELECT motion_id, 4 * (abs(max_by(x, frame) - min_by(x, frame)) + abs(max_by(y, frame) - min_by(y, frame))) + 0.25e0 * abs(max_by(z, frame) - min_by(z, frame)) AS score FROM {{roots}} GROUP BY motion_id) s",
     e7_gait_metrics=f"""
 SELECT motion_id, count(*) AS strikes, {num('avg(60e0 * 60 / gap)')} AS cadence, {num('avg(gap / 60e0)')} AS step_time, {num('avg(CASE WHEN side <> before THEN 1e0 ELSE 0e0 END)')} AS alternation FROM (
@@ -44,7 +47,12 @@ LEFT JOIN (SELECT mechanism, band, count(*) AS n, count(DISTINCT source) AS sour
     e33_repeat_metrics=f"SELECT task, count(*) AS pairs, {num('avg(CASE WHEN a = b THEN 1e0 ELSE 0e0 END)')} AS exact, {num('avg(abs(a - b))')} AS mean_difference FROM {FIRST_TWO} f GROUP BY task",
     e34_inspection_usage=f"SELECT rater, task, count(*) AS n, {num('sum(response_ms)')} AS wall_ms, {num('sum(response_ms) / sum(sum(response_ms)) OVER (PARTITION BY rater)')} AS share FROM {{observations}} GROUP BY rater, task",
     e35_anchor_drift=f"SELECT rater, session_id, count(*) AS n, {num('regr_slope(rating, trial)')} AS slope FROM {{observations}} WHERE stimulus % 10 = 0 GROUP BY rater, session_id HAVING count(*) >= 3",
-    e36_swap_consistency="SELECT a.rater, count(*) AS swaps, count_if(a.rating = b.rating) AS agree FROM {observations} a JOIN {observations} b ON a.rater = b.rater AND a.stimulus = b.stimulus AND a.second = b.second AND a.observation_id < b.observation_id WHERE a.task = 'pair' AND b.task = 'pair' GROUP BY a.rater",
+    e36_swap_consistency="""
+SELECT rater, sum(forth * back) AS swaps, sum(forth_lo * back_lo + forth_hi * back_hi + (forth - forth_lo - forth_hi) * (back - back_lo - back_hi)) AS agree FROM (
+  SELECT rater, lo, hi, count_if(chosen_first IS NOT NULL AND first_lo) AS forth, count_if(chosen_first IS NOT NULL AND NOT first_lo) AS back,
+    count_if(first_lo AND chosen_first = 1) AS forth_lo, count_if(first_lo AND chosen_first = -1) AS forth_hi, count_if(NOT first_lo AND chosen_first = -1) AS back_lo, count_if(NOT first_lo AND chosen_first = 1) AS back_hi FROM (
+    SELECT rater, least(stimulus, second) AS lo, greatest(stimulus, second) AS hi, stimulus < second AS first_lo, CASE WHEN rating < 4 THEN 1 WHEN rating > 4 THEN -1 ELSE 0 END AS chosen_first FROM {observations} WHERE task = 'pair') o
+  GROUP BY rater, lo, hi) p WHERE forth > 0 AND back > 0 GROUP BY rater""",
     e37_transitivity="""
 WITH wins AS (SELECT DISTINCT rater, CASE WHEN rating > 3 THEN stimulus ELSE second END AS winner, CASE WHEN rating > 3 THEN second ELSE stimulus END AS loser FROM {observations} WHERE task = 'pair' AND stimulus <> second AND rating <> 4),
 edges AS (SELECT rater, least(winner, loser) AS a, greatest(winner, loser) AS b, max(CASE WHEN winner < loser THEN 1 ELSE 0 END) AS up FROM wins GROUP BY rater, least(winner, loser), greatest(winner, loser))
@@ -66,13 +74,20 @@ WHERE d.task = 'pair' AND d.rating <> 4 GROUP BY d.family""",
     e48_completion_audit="SELECT rater, count(DISTINCT stimulus) AS done, count(DISTINCT stimulus) = 60 AS complete FROM {observations} WHERE observation_id % 97 <> 0 GROUP BY rater",
     e49_residual_energy=f"SELECT coalesce(motion_id, -1) AS motion_id, coalesce(joint, -1) AS joint, {num('sum(energy)')} AS energy FROM {ENERGY} e GROUP BY GROUPING SETS ((), (motion_id), (joint), (motion_id, joint))",
     e50_spectral_energy=f"SELECT s.motion_id, CAST(k.n AS BIGINT) AS k, {num('sum(s.x * cos(3.141592653589793e0 * (2 * s.frame + 1) * k.n / (2e0 * c.t))) * sqrt((CASE WHEN k.n = 0 THEN 1e0 ELSE 2e0 END) / max(c.t))')} AS coefficient FROM {{series}} s JOIN (SELECT motion_id, count(*) AS t FROM {{series}} GROUP BY motion_id) c ON s.motion_id = c.motion_id JOIN {{numbers}} k ON k.n < 8 GROUP BY s.motion_id, k.n",
-    e51_repair_path_order="SELECT motion_id, count_if(nxt >= v) AS ordered_steps, count_if(nxt < v) AS inversions FROM (SELECT *, lead(v) OVER (PARTITION BY motion_id ORDER BY alpha) AS nxt FROM (SELECT s.motion_id, k.n AS alpha, round(sum(abs(s.x * k.n / 20e0)), 6) AS v FROM {series} s JOIN {numbers} k ON k.n <= 20 GROUP BY s.motion_id, k.n) p) q WHERE nxt IS NOT NULL GROUP BY motion_id",
-    e52_repair_effect=f"SELECT motion_id, {num('before')} AS before, {num('after')} AS after, {num('(before - after) / nullif(before - clean, 0)')} AS repaired FROM (SELECT motion_id, max(height) AS before, percentile(height, 0.9) AS after, min(height) AS clean FROM {{contacts}} GROUP BY motion_id) s",
+    e51_repair_path_order="""
+SELECT motion_id, count_if(nxt >= v) AS ordered_steps, count_if(nxt < v) AS inversions, round(max(greatest(0e0, v - nxt)), 6) AS largest_inversion FROM (SELECT *, lead(v) OVER (PARTITION BY motion_id ORDER BY alpha) AS nxt FROM (
+  SELECT c.motion_id, a.n AS alpha, round(avg((c.speed + a.n / 20e0 * (k.speed - c.speed)) * greatest(0e0, 0.08e0 - c.height - a.n / 20e0 * (k.height - c.height))), 9) AS v
+  FROM {contacts} c JOIN {candidate} k ON c.motion_id = k.motion_id AND c.marker = k.marker AND c.frame = k.frame JOIN {numbers} a ON a.n <= 20 GROUP BY c.motion_id, a.n) p) q WHERE nxt IS NOT NULL GROUP BY motion_id""",
+    e52_repair_effect=f"""
+SELECT motion_id, {num('before')} AS before, {num('after')} AS after, {num('clean')} AS clean, {num('(before - after) / nullif(before - clean, 0)')} AS repaired, before - clean > 0.001e0 AS meaningful, abs(after - clean) <= 0.25e0 * abs(before - clean) AS near_clean FROM (
+  SELECT c.motion_id, round(avg(k.height), 9) AS before, round(avg(0.2e0 * k.height + 0.8e0 * c.height), 9) AS after, round(avg(c.height), 9) AS clean FROM {{contacts}} c JOIN {{candidate}} k ON c.motion_id = k.motion_id AND c.marker = k.marker AND c.frame = k.frame GROUP BY c.motion_id) s""",
     e57_paired_target_metric=f"SELECT c.motion_id, c.marker, {num('max(k.height)')} AS near_peak, {num('percentile(k.speed, 0.95)')} AS speed_p95 FROM (SELECT motion_id, marker, max_by(frame, height * 1000000 + frame) AS top FROM {{contacts}} GROUP BY motion_id, marker) c JOIN {{contacts}} k ON k.motion_id = c.motion_id AND k.marker = c.marker AND k.frame BETWEEN c.top - 2 AND c.top + 2 GROUP BY c.motion_id, c.marker",
     e58_ablation_summary=f"SELECT family, {num('avg(CASE WHEN target THEN score END)')} AS positive, {num('avg(CASE WHEN NOT target THEN score END)')} AS negative FROM {{scores}} GROUP BY family",
     e59_failure_classes="SELECT c.cause, count(f.motion_id) AS n FROM (SELECT CASE n WHEN 0 THEN 'height' WHEN 1 THEN 'speed' WHEN 2 THEN 'budget' ELSE 'none' END AS cause FROM {numbers} WHERE n < 4) c LEFT JOIN (SELECT motion_id, CASE WHEN max(height) > 0.0999e0 AND avg(speed) > 0.16e0 THEN 'height' WHEN avg(speed) > 0.16e0 THEN 'speed' ELSE 'none' END AS cause FROM {contacts} GROUP BY motion_id) f ON c.cause = f.cause GROUP BY c.cause",
     s2_presentation_auth=f"""
-SELECT rater, stimulus, count(*) AS answers, {num('min(response_ms)')} AS fastest, CASE WHEN count(*) = 0 THEN 'unserved' WHEN min(trial) < 1 THEN 'order' WHEN min(response_ms) < 100 THEN 'too fast' ELSE 'authentic' END AS verdict FROM {{observations}} WHERE observation_id % 97 <> 0 GROUP BY rater, stimulus""",
+SELECT a.rater, a.session_id, a.trial, count(*) AS answers, {num('min(a.response_ms)')} AS fastest,
+  CASE WHEN max(s.stimulus) IS NULL THEN 'unserved' WHEN count(*) > 1 THEN 'answered twice' WHEN max(s.stimulus) <> max(a.stimulus) THEN 'other stimulus' WHEN min(a.response_ms) < 100 THEN 'too fast' ELSE 'authentic' END AS verdict
+FROM {{observations}} a LEFT JOIN (SELECT rater, session_id, trial, CASE WHEN rating = 7 THEN second ELSE stimulus END AS stimulus FROM {{observations}} WHERE task <> 'style') s ON a.rater = s.rater AND a.session_id = s.session_id AND a.trial = s.trial GROUP BY a.rater, a.session_id, a.trial""",
     s3_amendments="""
 SELECT p.observation_id, p.rating, a.rating AS amended, coalesce(a.rating, p.rating) AS final_rating FROM (SELECT * FROM {observations} WHERE task = 'naturalness') p LEFT JOIN (
   SELECT rater, stimulus, min(observation_id) AS id, min_by(rating, observation_id) AS rating FROM {observations} WHERE task = 'style' GROUP BY rater, stimulus) a ON p.rater = a.rater AND p.stimulus = a.stimulus AND a.id > p.observation_id""",

@@ -24,7 +24,9 @@ LEFT JOIN (SELECT DISTINCT rater, stimulus FROM {observations} WHERE rating > 4)
     g12_diagnose_family="SELECT motion_id, CASE WHEN pop >= floating AND pop >= slide THEN 'pop' WHEN floating >= slide THEN 'floating' ELSE 'slide' END AS family FROM (SELECT motion_id, max(qty) / 10 AS pop, max(height) * 1000 / 20 AS floating, max(speed) * 30 / 2 AS slide FROM {contacts} GROUP BY motion_id) s",
     g13_failure_examples=f"SELECT source, sample_id, {num('wrongness')} AS wrongness, CAST(k AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(wrongness, 9) DESC, sample_id) AS k FROM (SELECT source, sample_id, abs(score - CASE WHEN target THEN 1 ELSE 0 END) AS wrongness FROM {{scores}}) s) r WHERE k <= 10",
     g14_validation_plan=f"SELECT l.ladder, CAST(k.n AS BIGINT) AS step, CAST(r.n AS BIGINT) AS replicate, {num('greatest(0e0, least(5e0, l.threshold + (k.n - 2) * 0.75e0))')} AS level FROM (SELECT ladder, avg(level) AS threshold FROM {{ladder}} WHERE answer = 'MAYBE' GROUP BY ladder) l JOIN {{numbers}} k ON k.n < 5 JOIN {{numbers}} r ON r.n < 3",
-    g15_select_variant="SELECT min_by(split, loss) AS variant, round(min(loss), 6) AS loss FROM (SELECT split, avg(-ln(greatest(CASE preference WHEN 'a_better' THEN p_a WHEN 'b_better' THEN p_b ELSE p_tie END, 1e-9))) AS loss FROM {pairs} GROUP BY split) s",
+    g15_select_variant="""
+SELECT variant, loss FROM (SELECT variant, loss, row_number() OVER (ORDER BY loss, variant) AS place FROM (
+  SELECT family AS variant, round(avg(-ln(greatest(CASE preference WHEN 'a_better' THEN p_a WHEN 'b_better' THEN p_b ELSE p_tie END, 1e-9))), 6) AS loss FROM {pairs} WHERE split = 'validation' GROUP BY family) v) r WHERE place = 1""",
     h1_id_set_checks="""
 SELECT 'missing' AS rule, count(*) AS n FROM (SELECT o_orderkey FROM {orders} EXCEPT SELECT l_orderkey FROM {lineitem}) a UNION ALL SELECT 'unexpected' AS rule, count(*) AS n FROM (SELECT l_orderkey FROM {lineitem} EXCEPT SELECT o_orderkey FROM {orders}) b
 UNION ALL SELECT 'both' AS rule, count(*) AS n FROM (SELECT o_orderkey FROM {orders} INTERSECT SELECT l_orderkey FROM {lineitem}) c UNION ALL SELECT 'repeated' AS rule, count(*) AS n FROM (SELECT l_orderkey FROM {lineitem} GROUP BY l_orderkey HAVING count(*) > 1) d""",

@@ -30,6 +30,11 @@ STRIKES = f"""SELECT motion_id, frame, max(side) AS side FROM (SELECT DISTINCT m
 #: Each frame's energy, the energy up to it, and the whole.
 PREFIX = "(SELECT motion_id, frame, x * x AS e, sum(x * x) OVER (PARTITION BY motion_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(x * x) OVER (PARTITION BY motion_id) AS whole FROM {series}) p"
 
+#: Windows of 32 frames at every 16th: each frame lies in the two that start at or before it.
+SLIDING = """(SELECT w.motion_id, w.window_start, w.frame, w.x FROM (
+  SELECT motion_id, frame, x, frame - frame % 16 AS window_start FROM {series} UNION ALL SELECT motion_id, frame, x, frame - frame % 16 - 16 AS window_start FROM {series} WHERE frame >= 16) w
+  JOIN (SELECT motion_id, count(*) AS t FROM {series} GROUP BY motion_id) c ON w.motion_id = c.motion_id AND w.window_start + 32 <= c.t)"""
+
 OPERATORS = operators(
     f1_finite_difference=f"SELECT motion_id, frame, {num('v')} AS v FROM ({FD}) fd",
     f2_angular_velocity=f"SELECT motion_id, frame, joint, {named([f'60 * {c}' for c in log_vector(('dw', 'dx', 'dy', 'dz'))], 'x y z')} FROM (SELECT motion_id, frame, joint, {raw(multiply(conjugate(A), B), 'dw dx dy dz')} FROM {{steps}}) s",
@@ -58,9 +63,7 @@ SELECT motion_id, frame_start, frame_stop - 1 AS last_frame FROM (
     SELECT c.motion_id, c.side, c.frame AS frame_start, c.next_frame AS frame_stop, round(abs(a.height - b.height) * 4 + 0.25e0 * abs(a.speed - b.speed), 9) AS score FROM (
       SELECT *, lead(frame) OVER (PARTITION BY motion_id, side ORDER BY frame) AS next_frame FROM ({STRIKES}) st) c
     JOIN {{contacts}} a ON a.motion_id = c.motion_id AND a.marker = c.side AND a.frame = c.frame JOIN {{contacts}} b ON b.motion_id = c.motion_id AND b.marker = c.side AND b.frame = c.next_frame WHERE c.next_frame - c.frame >= 8) s) r WHERE k = 1""",
-    f12_sliding_windows="""
-SELECT c.motion_id, CAST(16 * k.n AS BIGINT) AS window_start, s.frame, round(s.x, 6) AS x FROM (SELECT motion_id, count(*) AS t FROM {series} GROUP BY motion_id) c JOIN {numbers} k ON 16 * k.n + 32 <= c.t
-JOIN {series} s ON s.motion_id = c.motion_id AND s.frame >= 16 * k.n AND s.frame < 16 * k.n + 32""",
+    f12_sliding_windows=f"SELECT motion_id, window_start, frame, round(x, 6) AS x FROM {SLIDING} s",
     f13_canonicalize=f"""
 SELECT r.motion_id, r.frame, {named(['cos(yaw) * (r.x - e.x0) - sin(yaw) * (r.z - e.z0)', 'r.y', 'sin(yaw) * (r.x - e.x0) + cos(yaw) * (r.z - e.z0)'], 'x y z')} FROM {{roots}} r JOIN (
   SELECT motion_id, x0, z0, atan2(x1 - x0, z1 - z0) AS yaw FROM (SELECT motion_id, min_by(x, frame) AS x0, max_by(x, frame) AS x1, min_by(z, frame) AS z0, max_by(z, frame) AS z1 FROM {{roots}} GROUP BY motion_id) f) e ON r.motion_id = e.motion_id""",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stridelake.operators.base import operators
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Whole numbers from 0; grids, joints and bands are cut from it.
+#: Whole numbers from 0 for grids of a fixed size: joints, steps, bands. What follows the length of the data never reads it.
 NUMBERS = 512
 
 VIEWS = operators(
@@ -38,6 +38,12 @@ SELECT CAST(n AS BIGINT) AS joint, CASE WHEN n = 0 THEN CAST(-1 AS BIGINT) ELSE
 SELECT CAST(l_suppkey AS BIGINT) AS motion_id, CAST(l_linenumber % 4 AS BIGINT) AS marker,
   CAST(row_number() OVER (PARTITION BY l_suppkey, l_linenumber % 4 ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS BIGINT) AS frame,
   l_discount AS height, 4 * l_tax AS speed, l_quantity AS qty FROM {lineitem}""",
+    candidate="""
+SELECT motion_id, marker, frame, height + 0.04e0 * e AS height, speed * (1 + 0.5e0 * e) AS speed FROM (
+  SELECT *, CASE WHEN frame % 16 BETWEEN 4 AND 11 THEN (frame % 16 - 3) * (12 - frame % 16) / 20e0 ELSE 0e0 END AS e FROM {contacts}) c""",
+    posed="""
+SELECT motion_id, frame, joint, w * c - y * s AS w, x * c - z * s AS x, w * s + y * c AS y, x * s + z * c AS z FROM (
+  SELECT *, cos(0.05e0 * (1 + joint % 3) * (frame % 4)) AS c, sin(0.05e0 * (1 + joint % 3) * (frame % 4)) AS s FROM {poses}) p""",
     attempts="""
 SELECT p_brand AS family, p_type AS mechanism, CASE WHEN l_quantity < 10 THEN 'near_threshold' WHEN l_quantity < 20 THEN 'subtle' WHEN l_quantity < 30 THEN 'moderate' WHEN l_quantity < 40 THEN 'clear' ELSE 'severe' END AS band,
   l_returnflag <> 'R' AS accepted, l_linestatus AS reason, l_extendedprice / 1000 AS severity, l_returnflag AS flag, CAST(l_suppkey AS BIGINT) AS source, l_quantity AS qty
@@ -56,7 +62,7 @@ SELECT *, pa / s AS p_a, pb / s AS p_b, pt / s AS p_tie FROM (
       1 + o_totalprice % 97 AS pa, 1 + CAST(o_custkey % 89 AS DOUBLE) AS pb, 1 + o_totalprice % 31 AS pt FROM {orders}) raw) summed""",
     observations="""
 SELECT CAST(event_id AS BIGINT) AS observation_id, CAST(user_id % 20 AS BIGINT) AS rater, CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS session_id,
-  CAST(row_number() OVER (PARTITION BY user_id % 20, CAST(ts AS DATE) ORDER BY ts, event_id) AS BIGINT) AS trial, CAST(event_id % 60 AS BIGINT) AS stimulus, CAST((event_id * 7 + 1) % 60 AS BIGINT) AS second,
+  CAST(row_number() OVER (PARTITION BY user_id % 20, CAST(ts AS DATE) ORDER BY ts, event_id) AS BIGINT) AS trial, CAST(event_id % 60 AS BIGINT) AS stimulus, CAST((77 - event_id % 60) % 60 AS BIGINT) AS second,
   CASE event_type WHEN 'purchase' THEN 'pair' WHEN 'error' THEN 'style' ELSE 'naturalness' END AS task, CAST(1 + CAST(floor(abs(value)) AS BIGINT) % 7 AS BIGINT) AS rating, 100 * value AS response_ms,
   CAST(event_id % 5 AS BIGINT) AS family FROM {events}""",
     ladder="""

@@ -30,7 +30,7 @@ def _oracle(operator: Operator) -> str:
     views = []
     for name in fixtures.needed(operator.inputs):
         text = f"SELECT range AS n FROM range({fixtures.NUMBERS})" if name == "numbers" else fixtures.VIEWS[name].sql
-        views.append(f"{name} AS ({text})")
+        views.append(f"{name} AS MATERIALIZED ({text})")
     text = f"SELECT * FROM ({operator.sql}) result"
     text = f"WITH {', '.join(views)} {text}" if views else text
     for name in {*fixtures.TABLES, *fixtures.VIEWS, "numbers"}:
