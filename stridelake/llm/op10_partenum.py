@@ -47,8 +47,6 @@ BROADCAST_IDS = 1_000_000
 LEAST_ELEMENTS = 32
 #: Stars go on while a turn links this share of the nodes or more.
 TURN_SHARE = 0.02
-#: Labels of up to so many nodes are compared node by node; larger ones are counted first.
-FEW = 8
 #: Bytes that are hashed at once; words above LONG_WORD are hashed one by one.
 SEGMENT, LONG_WORD = 1 << 20, 1 << 16
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -424,24 +422,19 @@ def _across(items: DataFrame, arrays: DataFrame) -> DataFrame:
     # A label with a partner lacks `spare` of the node's elements at most: it holds one of the rarest spare + 1, and of any more
     # all but spare.
     rows = common.written(rows.withColumn("spare", F.col("all") - _needs(F.col("n"), F.col("partner"))), "rows")
-    cases = rows.where("place <= spare + 1").join(held, "item").where("members < others or members = others and label < other").select("node", "other", "others").distinct()
+    cases = rows.where("place <= spare + 1").join(held, "item").where("members < others or members = others and label < other").select("node", "other").distinct()
     cases = common.written(cases, "cases")
     some = rows.where("place <= 2 * spare + 1").select("node", "item", "spare", F.least("all", F.col("spare") * 2 + 1).alias("seen"))
-    some = some.join(cases, "node").join(held.select("item", "other"), ["item", "other"]).groupBy("node", "other", "others", "seen", "spare").count()
-    cases = common.written(some.where("count >= seen - spare").select("node", "other", "others"), "cases")
+    some = some.join(cases, "node").join(held.select("item", "other"), ["item", "other"]).groupBy("node", "other", "seen", "spare").count()
+    cases = common.written(some.where("count >= seen - spare").select("node", "other"), "cases")
     case = Window.partitionBy("node", "other")
-    large = cases.where(F.col("others") > FEW).select("node", "other")
-    shown = rows.select("node", "n", "item").join(large, "node").join(held, ["item", "other"])
+    shown = rows.select("node", "n", "item").join(cases, "node").join(held, ["item", "other"])
     shown = shown.withColumn("shared", F.count(F.lit(1)).over(case)).withColumn("m", F.min("smallest_there").over(case))
     shown = shown.withColumn("needs", _needs(F.col("n"), F.greatest(F.col("m"), F.ceil(F.col("n") * SIMILARITY / 100 - 1e-9)))).where("shared >= needs")
     shown = shown.withColumn("place", F.row_number().over(case.orderBy("holders", "item"))).where("place <= shared - needs + 1").select("node", "n", "item", "other")
     partners = rows.select("item", F.col("label").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"))
     near = f"100 * n >= {SIMILARITY} * m and 100 * m >= {SIMILARITY} * n"
-    pairs = shown.join(partners, ["item", "other"]).select("node", "n", "b", "m")
-    # A label of few nodes is compared node by node at once.
-    ends = rows.where("place = 1").select("node", "n", "label")
-    each = cases.where(F.col("others") <= FEW).join(ends.select("node", "n"), "node").join(ends.select(F.col("label").alias("other"), F.col("node").alias("b"), F.col("n").alias("m")), "other")
-    pairs = common.written(pairs.union(each.select("node", "n", "b", "m")).where(near).select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    pairs = common.written(shown.join(partners, ["item", "other"]).where(near).select(F.col("node").alias("a"), "b").distinct(), "pairs")
     return _compared(pairs, arrays)
 
 
