@@ -11,7 +11,7 @@ For the sets that are left the same count is taken over single elements (`_open`
 2. Nodes that may still link with another label, by the elements which other labels hold, are counted against whole labels:
    a node and a label are a case only if the label's sets together hold as many of the node's elements as one partner must.
    Cases come from the node's rarest elements, so many that any link must show one, then so many that it must show most of
-   them; members of the label likewise.
+   them; members of the label likewise. A label of at most FEW nodes is compared node by node instead of counted.
 Every comparison is exact on whole sets; no bucket, partner or candidate is capped, and no group's pairs are listed: a pair of
 nodes is compared as a star, or if both hold nearly all that a link takes.
 
@@ -45,8 +45,10 @@ BAND = 2.0
 BROADCAST_IDS = 1_000_000
 #: Elements of a node that stars go by.
 LEAST_ELEMENTS = 32
-#: Stars go on while a turn links this share of the nodes or more.
+#: Stars go on until two turns in a row, one of each kind, link a smaller share of the nodes each.
 TURN_SHARE = 0.02
+#: A label of up to so many nodes is compared node by node; a larger one is counted first.
+FEW = 8
 #: Bytes that are hashed at once; words above LONG_WORD are hashed one by one.
 SEGMENT, LONG_WORD = 1 << 20, 1 << 16
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -380,7 +382,7 @@ def _starred(opened: DataFrame, arrays: DataFrame) -> tuple[DataFrame, DataFrame
     labels = common.written(nodes.select("node", F.col("node").alias("label")), "labels")
     least = arrays.join(nodes, "node").select("node", "weight", F.explode(F.slice("items", 1, LEAST_ELEMENTS)).alias("item"))
     least = common.written(least.join(least.groupBy("item").count().where("count > 1").select("item"), "item"), "least")
-    whole, links, turn = labels.count(), None, 0
+    whole, links, turn, poor = labels.count(), None, 0, 0
     while True:
         if turn == 0:
             rows = least.select("node", "item", "weight", F.col("node").alias("label"), F.col("weight").alias("rank"))
@@ -401,7 +403,8 @@ def _starred(opened: DataFrame, arrays: DataFrame) -> tuple[DataFrame, DataFrame
         labels = common.written(labels.join(moves, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
         now = found.select("a", "b")
         links, turn = now if links is None else links.union(now), turn + 1
-        if found.count() < max(1, TURN_SHARE * whole):
+        poor = poor + 1 if found.count() < max(1, TURN_SHARE * whole) else 0
+        if poor == 2:
             return labels, links
 
 
@@ -414,16 +417,23 @@ def _across(items: DataFrame, arrays: DataFrame) -> DataFrame:
         before = before or 2 * left
     # The label with fewer nodes looks for partners in the other.
     members = rows.select("node", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    held = rows.groupBy("item", "label").agg(F.count(F.lit(1)).alias("holders"), F.min("n").alias("smallest_there")).join(members, "label")
-    held = common.written(held.select("item", F.col("label").alias("other"), F.col("members").alias("others"), "holders", "smallest_there"), "held")
+    held = rows.groupBy("item", "label").agg(F.count(F.lit(1)).alias("holders"), F.min("n").alias("smallest_there"))
+    least = rows.groupBy("label").agg(F.min("n").alias("least"))
+    held = held.join(members, "label").join(least, "label")
+    held = common.written(held.select("item", F.col("label").alias("other"), F.col("members").alias("others"), "least", "holders", "smallest_there"), "held")
     own = Window.partitionBy("node")
     rows = rows.drop("place").join(members, "label").join(held.groupBy("item").agg(F.count(F.lit(1)).alias("labels")), "item")
     rows = rows.withColumn("place", F.row_number().over(own.orderBy("labels", "item"))).withColumn("all", F.count(F.lit(1)).over(own))
     # A label with a partner lacks `spare` of the node's elements at most: it holds one of the rarest spare + 1, and of any more
-    # all but spare.
+    # all but spare. No partner is smaller than the label's least set, so a label of large sets may lack fewer.
     rows = common.written(rows.withColumn("spare", F.col("all") - _needs(F.col("n"), F.col("partner"))), "rows")
-    cases = rows.where("place <= spare + 1").join(held, "item").where("members < others or members = others and label < other").select("node", "other").distinct()
-    cases = common.written(cases, "cases")
+    cases = rows.where("place <= spare + 1").join(held, "item").where("members < others or members = others and label < other")
+    cases = cases.where(f"100 * n >= {SIMILARITY} * least").where(F.col("place") <= F.col("all") - _needs(F.col("n"), F.greatest("partner", "least")) + 1)
+    cases = common.written(cases.select("node", "other", "others").distinct(), "cases")
+    ends = rows.where("place = 1").select("node", "n", "label")
+    small = cases.where(F.col("others") <= FEW).select("node", "other").join(ends.select("node", "n"), "node")
+    small = small.join(ends.select(F.col("label").alias("other"), F.col("node").alias("b"), F.col("n").alias("m")), "other").select("node", "n", "b", "m")
+    cases = cases.where(F.col("others") > FEW).select("node", "other")
     some = rows.where("place <= 2 * spare + 1").select("node", "item", "spare", F.least("all", F.col("spare") * 2 + 1).alias("seen"))
     some = some.join(cases, "node").join(held.select("item", "other"), ["item", "other"]).groupBy("node", "other", "seen", "spare").count()
     cases = common.written(some.where("count >= seen - spare").select("node", "other"), "cases")
@@ -434,7 +444,8 @@ def _across(items: DataFrame, arrays: DataFrame) -> DataFrame:
     shown = shown.withColumn("place", F.row_number().over(case.orderBy("holders", "item"))).where("place <= shared - needs + 1").select("node", "n", "item", "other")
     partners = rows.select("item", F.col("label").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"))
     near = f"100 * n >= {SIMILARITY} * m and 100 * m >= {SIMILARITY} * n"
-    pairs = common.written(shown.join(partners, ["item", "other"]).where(near).select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    large = shown.join(partners, ["item", "other"]).select("node", "n", "b", "m")
+    pairs = common.written(large.union(small).where(near).select(F.col("node").alias("a"), "b").distinct(), "pairs")
     return _compared(pairs, arrays)
 
 
