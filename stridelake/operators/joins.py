@@ -46,9 +46,13 @@ SELECT p.motion_id, p.frame, j.joint AS target_joint, {named(multiply(('cos(0.1e
     d16_neighbour_pairs="""
 SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (
   SELECT sample_id AS a, lead(sample_id, 1) OVER (PARTITION BY source, family ORDER BY score, sample_id) AS b FROM {scores} UNION ALL SELECT sample_id AS a, lead(sample_id, 2) OVER (PARTITION BY source, family ORDER BY score, sample_id) AS b FROM {scores}) s WHERE b IS NOT NULL""",
+    # `place` in the split without a source's own rows: own row i (from 0) at place r stands before alternative t if r - i <= t.
     d17_same_split_donor="""
-SELECT s.sample_id, d.sample_id AS donor FROM (SELECT sample_id, split, family, row_number() OVER (PARTITION BY split, family ORDER BY sample_id) AS p FROM {samples}) s JOIN (SELECT sample_id, split, family, row_number() OVER (PARTITION BY split, family ORDER BY sample_id) AS p, count(*) OVER (PARTITION BY split, family) AS n FROM {samples}) d
-ON s.split = d.split AND s.family = d.family AND d.p = 1 + s.p % d.n WHERE s.sample_id <> d.sample_id""",
+SELECT q.sample_id, d.sample_id AS donor FROM (
+  SELECT sample_id, split, spot + sum(own) OVER (PARTITION BY split, group_id ORDER BY spot, own DESC, sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS place, own FROM (
+    SELECT sample_id, split, group_id, place - mine AS spot, 1 AS own FROM {placed} p UNION ALL SELECT sample_id, split, group_id, place % (n - held) AS spot, 0 AS own FROM {placed} p WHERE n > held) e) q
+JOIN (SELECT sample_id, split, place FROM {placed} p) d ON q.split = d.split AND q.place = d.place WHERE q.own = 0""".replace("{placed}", """(SELECT *, row_number() OVER (PARTITION BY split, group_id ORDER BY sample_id) - 1 AS mine, count(*) OVER (PARTITION BY split) AS n, count(*) OVER (PARTITION BY split, group_id) AS held FROM (
+      SELECT sample_id, split, group_id, row_number() OVER (PARTITION BY split ORDER BY sample_id) - 1 AS place FROM {samples}) r)"""),
     d18_clip_distance_join=f"""
 SELECT q.motion_id, rotation_rms, root_rms FROM (SELECT a.motion_id, {num(f'degrees(sqrt(avg({geodesic(A, B)} * {geodesic(A, B)})))')} AS rotation_rms FROM (
     SELECT p.motion_id, p.w AS aw, p.x AS ax, p.y AS ay, p.z AS az, k.w AS bw, k.x AS bx, k.y AS by_, k.z AS bz FROM {{poses}} p JOIN {{posed}} k ON p.motion_id = k.motion_id AND p.frame = k.frame AND p.joint = k.joint) a GROUP BY a.motion_id) q

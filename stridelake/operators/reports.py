@@ -14,6 +14,8 @@ PER_CLIP = f"""SELECT motion_id, 'height_max' AS metric, max(height) AS value FR
   UNION ALL SELECT motion_id, 'strikes' AS metric, CAST(count(*) AS DOUBLE) AS value FROM ({EVENTS}) ev WHERE kind = 'heel_strike' GROUP BY motion_id"""
 FIRST_TWO = "(SELECT rater, task, stimulus, max(CASE WHEN k = 1 THEN rating END) AS a, max(CASE WHEN k = 2 THEN rating END) AS b FROM (SELECT *, row_number() OVER (PARTITION BY rater, task, stimulus ORDER BY observation_id) AS k FROM {observations}) o WHERE k <= 2 GROUP BY rater, task, stimulus HAVING count(*) = 2)"
 VELOCITY = f"(SELECT motion_id, frame, joint, {raw(log_vector(('dw', 'dx', 'dy', 'dz')), 'ex ey ez')} FROM (SELECT motion_id, frame, joint, {raw(multiply(conjugate(A), B), 'dw dx dy dz')} FROM {{steps}}) d)"
+#: The rotation that repairs each joint: the logarithm of the turn from the corrupted pose to the clean one.
+RESIDUAL = f"(SELECT motion_id, frame, joint, {raw(log_vector(('dw', 'dx', 'dy', 'dz')), 'ex ey ez')} FROM (SELECT motion_id, frame, joint, {raw(multiply(conjugate(A), B), 'dw dx dy dz')} FROM (SELECT p.motion_id, p.frame, p.joint, k.w AS aw, k.x AS ax, k.y AS ay, k.z AS az, p.w AS bw, p.x AS bx, p.y AS by_, p.z AS bz FROM {{poses}} p JOIN {{posed}} k ON p.motion_id = k.motion_id AND p.frame = k.frame AND p.joint = k.joint) b) d)"
 ENERGY = f"(SELECT motion_id, frame, joint, ex * ex + ey * ey + ez * ez AS energy FROM {VELOCITY} v)"
 
 OPERATORS = operators(
@@ -72,12 +74,25 @@ SELECT d.family, count(*) AS n, count_if((d.rating > 4) = (a.quality > b.quality
 JOIN (SELECT stimulus, avg(rating) AS quality, 1.96e0 * stddev_pop(rating) / sqrt(count(*)) AS width FROM {{observations}} WHERE task <> 'pair' GROUP BY stimulus) a ON d.stimulus = a.stimulus JOIN (SELECT stimulus, avg(rating) AS quality, 1.96e0 * stddev_pop(rating) / sqrt(count(*)) AS width FROM {{observations}} WHERE task <> 'pair' GROUP BY stimulus) b ON d.second = b.stimulus
 WHERE d.task = 'pair' AND d.rating <> 4 GROUP BY d.family""",
     e48_completion_audit="SELECT rater, count(DISTINCT stimulus) AS done, count(DISTINCT stimulus) = 60 AS complete FROM {observations} WHERE observation_id % 97 <> 0 GROUP BY rater",
-    e49_residual_energy=f"SELECT coalesce(motion_id, -1) AS motion_id, coalesce(joint, -1) AS joint, {num('sum(energy)')} AS energy FROM {ENERGY} e GROUP BY GROUPING SETS ((), (motion_id), (joint), (motion_id, joint))",
-    e50_spectral_energy=f"SELECT s.motion_id, CAST(k.n AS BIGINT) AS k, {num('sum(s.x * cos(3.141592653589793e0 * (2 * s.frame + 1) * k.n / (2e0 * c.t))) * sqrt((CASE WHEN k.n = 0 THEN 1e0 ELSE 2e0 END) / max(c.t))')} AS coefficient FROM {{series}} s JOIN (SELECT motion_id, count(*) AS t FROM {{series}} GROUP BY motion_id) c ON s.motion_id = c.motion_id JOIN {{numbers}} k ON k.n < 8 GROUP BY s.motion_id, k.n",
+    e49_residual_energy=f"""
+SELECT motion_id, joint, component, frame, round(energy, 4) AS energy, CASE WHEN total > 0 THEN round(energy / total, 4) END AS fraction, CASE WHEN kind = 'channel' THEN coalesce(upto, 0e0) < 0.95e0 * total - 1e-6 END AS active FROM (
+  SELECT *, sum(energy) OVER (PARTITION BY motion_id, kind) AS total, sum(energy) OVER (PARTITION BY motion_id, kind ORDER BY energy DESC, joint, component, frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM (
+    SELECT motion_id, joint, component, frame, CASE WHEN frame IS NOT NULL THEN 'frame' WHEN joint IS NULL AND component IS NULL THEN 'clip' WHEN component IS NULL THEN 'joint' WHEN joint IS NULL THEN 'component' ELSE 'channel' END AS kind, round(sum(e * e), 6) AS energy FROM (
+      SELECT motion_id, frame, joint, 'x' AS component, ex AS e FROM {RESIDUAL} v UNION ALL SELECT motion_id, frame, joint, 'y' AS component, ey AS e FROM {RESIDUAL} v UNION ALL SELECT motion_id, frame, joint, 'z' AS component, ez AS e FROM {RESIDUAL} v) c
+    GROUP BY GROUPING SETS ((motion_id), (motion_id, joint), (motion_id, component), (motion_id, frame), (motion_id, joint, component))) g) r""",
+    e50_spectral_energy=f"""
+SELECT motion_id, k, round(coefficient, 4) AS coefficient, place FROM (
+  SELECT *, row_number() OVER (PARTITION BY motion_id ORDER BY energy DESC, k) AS place, sum(energy) OVER (PARTITION BY motion_id) AS total, sum(energy) OVER (PARTITION BY motion_id ORDER BY energy DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM (
+    SELECT motion_id, k, coefficient, round(coefficient * coefficient, 3) AS energy FROM (
+      SELECT s.motion_id, f.frame AS k, sum(s.x * cos(3.141592653589793e0 * (2 * s.frame + 1) * f.frame / (2e0 * c.t))) * sqrt((CASE WHEN f.frame = 0 THEN 1e0 ELSE 2e0 END) / max(c.t)) AS coefficient
+      FROM {{series}} s JOIN (SELECT motion_id, count(*) AS t FROM {{series}} GROUP BY motion_id) c ON s.motion_id = c.motion_id JOIN {{series}} f ON f.motion_id = s.motion_id GROUP BY s.motion_id, f.frame) d) e) r
+WHERE energy > 1e-10 * total AND coalesce(upto, 0e0) < 0.95e0 * total""",
     e51_repair_path_order="""
-SELECT motion_id, count_if(nxt >= v) AS ordered_steps, count_if(nxt < v) AS inversions, round(max(greatest(0e0, v - nxt)), 6) AS largest_inversion FROM (SELECT *, lead(v) OVER (PARTITION BY motion_id ORDER BY alpha) AS nxt FROM (
-  SELECT c.motion_id, a.n AS alpha, round(avg((c.speed + a.n / 20e0 * (k.speed - c.speed)) * greatest(0e0, 0.08e0 - c.height - a.n / 20e0 * (k.height - c.height))), 9) AS v
-  FROM {contacts} c JOIN {candidate} k ON c.motion_id = k.motion_id AND c.marker = k.marker AND c.frame = k.frame JOIN {numbers} a ON a.n <= 20 GROUP BY c.motion_id, a.n) p) q WHERE nxt IS NOT NULL GROUP BY motion_id""",
+SELECT motion_id, round(avg(CASE WHEN nxt - v <= 1e-9 THEN 1e0 WHEN nxt IS NOT NULL THEN 0e0 END), 6) AS ordered, count_if(nxt - v > 1e-9) AS inversions, round(sum(greatest(0e0, nxt - v)), 6) AS total, round(max(greatest(0e0, nxt - v)), 6) AS largest,
+  CASE WHEN min(v) < max(v) THEN round(corr(alpha, place), 6) END AS spearman FROM (
+  SELECT *, lead(v) OVER (PARTITION BY motion_id ORDER BY alpha) AS nxt, rank() OVER (PARTITION BY motion_id ORDER BY v) + (count(*) OVER (PARTITION BY motion_id, v) - 1) / 2e0 AS place FROM (
+    SELECT c.motion_id, a.n / 20e0 AS alpha, round(avg((k.speed + a.n / 20e0 * (c.speed - k.speed)) * greatest(0e0, 0.08e0 - k.height - a.n / 20e0 * (c.height - k.height))), 8) AS v
+    FROM {contacts} c JOIN {candidate} k ON c.motion_id = k.motion_id AND c.marker = k.marker AND c.frame = k.frame JOIN {numbers} a ON a.n <= 20 GROUP BY c.motion_id, a.n) p) q GROUP BY motion_id""",
     e52_repair_effect=f"""
 SELECT motion_id, {num('before')} AS before, {num('after')} AS after, {num('clean')} AS clean, {num('(before - after) / nullif(before - clean, 0)')} AS repaired, before - clean > 0.001e0 AS meaningful, abs(after - clean) <= 0.25e0 * abs(before - clean) AS near_clean FROM (
   SELECT c.motion_id, round(avg(k.height), 9) AS before, round(avg(0.2e0 * k.height + 0.8e0 * c.height), 9) AS after, round(avg(c.height), 9) AS clean FROM {{contacts}} c JOIN {{candidate}} k ON c.motion_id = k.motion_id AND c.marker = k.marker AND c.frame = k.frame GROUP BY c.motion_id) s""",

@@ -58,8 +58,9 @@ SELECT motion_id, frame, {named(['height', 'tx', 'ty', 'tz', 'sqrt(tx * tx + ty
     SELECT *, x * nx + y * ny + z * nz AS along FROM (SELECT *, 0.1e0 / sqrt(1.02e0) AS nx, 1 / sqrt(1.02e0) AS ny, 0.1e0 / sqrt(1.02e0) AS nz FROM {{roots}}) r) s) t""",
     b16_contact_confidence=f"SELECT motion_id, marker, frame, {num('1 / (1 + exp(-greatest(-60e0, least(60e0, (0.05e0 - height) / 0.02e0)))) / (1 + exp(-greatest(-60e0, least(60e0, (0.25e0 - speed) / 0.1e0))))')} AS confidence FROM {{contacts}}",
     b17_envelopes=f"""
-SELECT motion_id, frame, {num('CASE WHEN frame = 0 OR frame = n - 1 THEN 0e0 ELSE sin(3.141592653589793e0 * u) * sin(3.141592653589793e0 * u) END')} AS pulse, {num('least(a * a * (3 - 2 * a), b * b * (3 - 2 * b))')} AS locks FROM (
-  SELECT *, least(1e0, (frame + 1) / (m + 1)) AS a, least(1e0, (n - frame) / (m + 1)) AS b FROM (
+SELECT motion_id, frame, {num('CASE WHEN frame = 0 OR frame = n - 1 THEN 0e0 ELSE sin(3.141592653589793e0 * u) * sin(3.141592653589793e0 * u) END')} AS pulse, {num('a * a * (3 - 2 * a) * b * b * (3 - 2 * b)')} AS locks, {num('e * e * (3 - 2 * e)')} AS edit FROM (
+  SELECT *, CASE WHEN m = 0 THEN 1e0 ELSE least(1e0, frame / m) END AS a, CASE WHEN m = 0 THEN 1e0 ELSE least(1e0, (n - 1 - frame) / m) END AS b,
+    CASE WHEN least(frame, n - 1 - frame) < greatest(1e0, m) THEN least(frame, n - 1 - frame) / greatest(1e0, m - 1) ELSE 1e0 END AS e FROM (
     SELECT motion_id, frame, n, frame / greatest(1e0, n - 1e0) AS u, least(12e0, floor(n / 4e0)) AS m FROM (SELECT motion_id, frame, count(*) OVER (PARTITION BY motion_id) AS n FROM {{series}}) s) t) v""",
     b18_content_ids="""
 SELECT CAST(o_orderkey AS BIGINT) AS sample_id, concat('record-', sha2(concat(o_orderstatus, '|', o_orderpriority, '|', CAST(o_orderkey AS VARCHAR(20))), 256)) AS record_id,

@@ -32,8 +32,8 @@ SELECT {num('sum(CASE WHEN edge = 10 THEN n * gap / whole END)')} AS ece10, {num
     e23_localization_f1_iou=f"SELECT source, count_if(target AND score > 0.8e0) AS tp, count_if(NOT target AND score > 0.8e0) AS fp, count_if(target AND score <= 0.8e0) AS fn, {num('2 * count_if(target AND score > 0.8e0) / greatest(1e0, 2 * count_if(target AND score > 0.8e0) + count_if(target <> (score > 0.8e0)))')} AS f1, {num('count_if(target AND score > 0.8e0) / greatest(1e0, count_if(target OR score > 0.8e0))')} AS iou FROM {{scores}} GROUP BY source",
     e24_per_family_metrics=f"SELECT family, CAST(max(p) AS BIGINT) AS positives, CAST(max(n) AS BIGINT) AS negatives, CASE WHEN max(p) = 0 OR max(n) = 0 THEN NULL ELSE {num('sum(neg * (pos_above + pos / 2e0)) / nullif(CAST(max(p) AS DOUBLE) * max(n), 0)')} END AS auroc, {num('sum((pos + neg) * score) / sum(pos + neg)')} AS mean_score FROM {COUNTS} GROUP BY family",
     e25_severity_bin_recall=f"""
-SELECT f.family, b.band, count(s.sample_id) AS n, {num('avg(CASE WHEN s.score > 0.8e0 THEN 1e0 WHEN s.score IS NOT NULL THEN 0e0 END)')} AS recall, {num('avg(s.score)')} AS mean_probability FROM (SELECT DISTINCT family FROM {{scores}}) f JOIN (SELECT CAST(n AS BIGINT) AS band FROM {{numbers}} WHERE n < 5) b ON b.band >= 0
-LEFT JOIN (SELECT *, sample_id % 5 AS band FROM {{scores}} WHERE target) s ON s.family = f.family AND s.band = b.band GROUP BY f.family, b.band""",
+SELECT f.family, b.band, count(s.sample_id) AS n, {num('avg(CASE WHEN s.score >= 0.5e0 THEN 1e0 WHEN s.score IS NOT NULL THEN 0e0 END)')} AS recall, {num('avg(s.score)')} AS mean_probability FROM (SELECT DISTINCT family FROM {{scores}}) f JOIN (SELECT CAST(n AS BIGINT) AS band FROM {{numbers}} WHERE n < 5) b ON b.band >= 0
+LEFT JOIN (SELECT c.sample_id, c.family, c.score, CAST(floor(least(4e0, m.severity / 80)) AS BIGINT) AS band FROM {{scores}} c JOIN {{samples}} m ON c.sample_id = m.sample_id WHERE c.target) s ON s.family = f.family AND s.band = b.band GROUP BY f.family, b.band""",
     e26_pairwise_ranking=f"SELECT b.family, count(*) AS edges, {num('avg(CASE WHEN w.score > b.score THEN 1e0 ELSE 0e0 END)')} AS accuracy, {num('min(w.score - b.score)')} AS worst FROM (SELECT sample_id AS better, lead(sample_id) OVER (PARTITION BY family ORDER BY sample_id) AS worse FROM {{scores}}) e JOIN {{scores}} b ON e.better = b.sample_id JOIN {{scores}} w ON e.worse = w.sample_id GROUP BY b.family",
     e27_cross_mechanism_consistency=f"SELECT l.family, count(*) AS n, {num('avg(abs(l.score - r.score))')} AS mean_gap, {num('max(abs(l.score - r.score))')} AS max_gap FROM {{scores}} l JOIN {{scores}} r ON l.family = r.family AND r.sample_id = l.sample_id + 1 GROUP BY l.family",
     e28_single_metric_baseline=f"SELECT family, {num('sum(neg * (pos_above + pos / 2e0)) / nullif(CAST(max(p) AS DOUBLE) * max(n), 0)')} AS auroc, {num('sum(pos * (pos_above + pos) / CAST(pos_above + neg_above + pos + neg AS DOUBLE)) / nullif(max(p), 0)')} AS ap FROM {COUNTS.replace('{scores}', '(SELECT * FROM {scores} WHERE NOT toxic) primary_rows')} GROUP BY family",
@@ -43,6 +43,9 @@ SELECT split, count(*) AS n, {num(f'avg(-ln(greatest({OWN}, 1e-9)))')} AS log_lo
   {num(f'avg(CASE WHEN {PICKED} = preference THEN 1e0 ELSE 0e0 END)')} AS accuracy, count_if(preference = 'a_better' AND {PICKED} = 'b_better') AS a_as_b, count_if(preference = 'b_better' AND {PICKED} = 'a_better') AS b_as_a FROM {{pairs}} GROUP BY split""",
     e31_detector_metrics=f"SELECT family, count(*) AS n, count_if(toxic) AS maybe, {num('avg(CASE WHEN NOT toxic THEN (score - CASE WHEN target THEN 1 ELSE 0 END) * (score - CASE WHEN target THEN 1 ELSE 0 END) END)')} AS brier, {num('count_if(target AND NOT toxic AND score >= 0.7e0) / nullif(CAST(count_if(target AND NOT toxic) AS DOUBLE), 0)')} AS recall, {num('count_if(NOT target AND NOT toxic AND score >= 0.7e0) / nullif(CAST(count_if(NOT target AND NOT toxic) AS DOUBLE), 0)')} AS false_positive FROM {{scores}} GROUP BY family",
     e32_operating_point_sweep=f"""
-SELECT {num('score')} AS tau, {num('recall')} AS recall, {num('alarm')} AS false_alarm FROM (SELECT *, row_number() OVER (ORDER BY recall DESC, alarm, score) AS k FROM (
-  SELECT score, (pos_above + pos) / CAST(p AS DOUBLE) AS recall, (neg_above + neg) / CAST(n AS DOUBLE) AS alarm FROM {COUNTS.replace("{scores}", "(SELECT 'all' AS family, score, target FROM {scores}) every_row")} WHERE p >= 20 AND n >= 1) s WHERE alarm <= 0.5e0) r WHERE k = 1""",
+SELECT CASE WHEN g.p < 20 OR g.n < 40 THEN 'insufficient_held_out_human_support' WHEN b.tau IS NULL THEN 'no_supported_operating_point' ELSE 'candidate_requires_review' END AS status, {num('b.tau')} AS tau, {num('b.recall')} AS recall, {num('b.alarm')} AS false_alarm
+FROM (SELECT count_if(target) AS p, count_if(NOT target) AS n FROM {{scores}}) g LEFT JOIN (SELECT tau, recall, alarm FROM (
+  SELECT score AS tau, pos_above / CAST(p AS DOUBLE) AS recall, neg_above / CAST(n AS DOUBLE) AS alarm FROM {COUNTS.replace("{scores}", "(SELECT 'all' AS family, score, target FROM {scores}) every_row")} WHERE p > 0 AND n > 0
+  UNION ALL SELECT 0e0 AS tau, 1e0 AS recall, 1e0 AS alarm UNION ALL SELECT 1e0 AS tau, 0e0 AS recall, 0e0 AS alarm) s
+  WHERE alarm <= 0.05e0 AND recall >= 0.8e0 ORDER BY recall DESC, alarm, tau LIMIT 1) b ON g.p >= 20 AND g.n >= 40""",
 )
