@@ -18,6 +18,17 @@ VELOCITY = f"(SELECT motion_id, frame, joint, {raw(log_vector(('dw', 'dx', 'dy',
 RESIDUAL = f"(SELECT motion_id, frame, joint, {raw(log_vector(('dw', 'dx', 'dy', 'dz')), 'ex ey ez')} FROM (SELECT motion_id, frame, joint, {raw(multiply(conjugate(A), B), 'dw dx dy dz')} FROM (SELECT p.motion_id, p.frame, p.joint, k.w AS aw, k.x AS ax, k.y AS ay, k.z AS az, p.w AS bw, p.x AS bx, p.y AS by_, p.z AS bz FROM {{poses}} p JOIN {{posed}} k ON p.motion_id = k.motion_id AND p.frame = k.frame AND p.joint = k.joint) b) d)"
 ENERGY = f"(SELECT motion_id, frame, joint, ex * ex + ey * ey + ez * ez AS energy FROM {VELOCITY} v)"
 
+#: One human answer for each pair that was shown.
+ANSWERS = "(SELECT CAST(l_orderkey AS BIGINT) AS pair_id, CASE WHEN sum(l_quantity) > 100 THEN 'a_better' WHEN sum(l_quantity) > 60 THEN 'b_better' ELSE 'approximately_equal' END AS answer FROM {lineitem} GROUP BY l_orderkey)"
+
+
+def wilson(k: str, n: str) -> str:
+    """Columns low and high: the 95 % interval of k successes in n, null where n is 0."""
+    p, z = f"({k} / CAST({n} AS DOUBLE))", "1.96e0 * 1.96e0"
+    ends = [num(f"least(1e0, greatest(0e0, ({p} + {z} / (2 * {n}) {sign} 1.96e0 * sqrt({p} * (1 - {p}) / {n} + {z} / (4e0 * {n} * {n}))) / (1 + {z} / {n})))") for sign in "-+"]
+    return f"CASE WHEN {n} > 0 THEN {ends[0]} END AS low, CASE WHEN {n} > 0 THEN {ends[1]} END AS high"
+
+
 OPERATORS = operators(
     e1_clip_report=f"""
 SELECT motion_id, {', '.join(f"{num(f'''max(CASE WHEN metric = '{m}' THEN value END)''')} AS {m}" for m in ('height_max', 'contact_share', 'speed_mean', 'slip', 'strikes'))}, count(*) AS metrics FROM ({PER_CLIP}) m GROUP BY motion_id""",
@@ -65,8 +76,17 @@ SELECT l.rater, {num('sum(l.n * r.n * CASE WHEN l.rating < r.rating THEN 1e0 WHE
     e40_protocol_quality=f"SELECT CASE WHEN trial % 2 = 0 THEN 'fixed' ELSE 'free' END AS protocol, count(*) AS n, {num('avg(response_ms)')} AS response_ms, {num('stddev_pop(rating)')} AS spread FROM {{observations}} GROUP BY CASE WHEN trial % 2 = 0 THEN 'fixed' ELSE 'free' END",
     e41_reliability_breakdown=f"SELECT f.stimulus % 5 AS family, count(*) AS pairs, {num('avg(CASE WHEN f.a = f.b THEN 1e0 ELSE 0e0 END)')} AS agreement FROM {FIRST_TWO} f GROUP BY f.stimulus % 5",
     e42_needs_more_judgments=f"SELECT stimulus, {num('1 / (n + 1e0) + width + (hi - lo) / 6e0')} AS priority FROM (SELECT stimulus, count(*) AS n, 1.96e0 * stddev_pop(rating) / sqrt(count(*)) AS width, max(rating) AS hi, min(rating) AS lo FROM {{observations}} GROUP BY stimulus) s ORDER BY round(1 / (n + 1e0) + width + (hi - lo) / 6e0, 9) DESC, stimulus LIMIT 20",
-    e43_synthetic_agreement=f"SELECT p.family, count(*) AS n, count_if(h.answer = p.preference) AS agree, {num('avg(CASE WHEN h.answer = p.preference THEN 1e0 ELSE 0e0 END)')} AS rate FROM {{pairs}} p JOIN (SELECT l_orderkey, CASE WHEN sum(l_quantity) > 100 THEN 'a_better' WHEN sum(l_quantity) > 60 THEN 'b_better' ELSE 'approximately_equal' END AS answer FROM {{lineitem}} GROUP BY l_orderkey) h ON p.pair_id = h.l_orderkey GROUP BY p.family",
-    e44_human_audit_policy="SELECT family, CASE WHEN bool_and(preference = 'approximately_equal') OR (count(*) >= 100 AND count_if(p_a >= p_b) >= 0.4e0 * count(*)) THEN 'CERTAIN' ELSE 'HUMAN_REQUIRED' END AS policy, count(*) AS n FROM {pairs} GROUP BY family",
+    e43_synthetic_agreement=f"""
+SELECT family, comparisons, generated_agree, n, agree, CASE WHEN n > 0 THEN {num('agree / CAST(n AS DOUBLE)')} END AS rate, {wilson('agree', 'n')}, missing FROM (
+  SELECT p.family, count(*) AS comparisons, count_if(h.answer = p.preference) AS generated_agree, count(d.predicted) AS n, count_if(h.answer = d.predicted) AS agree, count_if(d.predicted IS NULL) AS missing FROM {ANSWERS} h JOIN {{pairs}} p ON p.pair_id = h.pair_id
+  LEFT JOIN (SELECT pair_id, CASE WHEN p_a > p_b AND p_a > p_tie THEN 'a_better' WHEN p_b > p_tie THEN 'b_better' ELSE 'approximately_equal' END AS predicted FROM {{pairs}} WHERE split <> 'train') d ON d.pair_id = h.pair_id GROUP BY p.family) s""",
+    e44_human_audit_policy=f"""
+SELECT family, required, labeled, agree, CASE WHEN labeled > 0 THEN {num('agree / CAST(labeled AS DOUBLE)')} END AS agreement, {wilson('agree', 'labeled')}, CASE WHEN equivalent OR confirmed THEN 'CERTAIN' ELSE 'HUMAN_REQUIRED' END AS policy,
+  CASE WHEN equivalent THEN 'exact equivalence' WHEN confirmed THEN 'audit confirms the order' WHEN remaining > 0 THEN 'audit incomplete' ELSE 'no automatic order or too little agreement' END AS reason FROM (
+  SELECT *, remaining = 0 AND labeled > 0 AND certain > 0 AND agree >= 0.7e0 * labeled AS confirmed FROM (
+    SELECT *, sum(required - labeled) OVER () AS remaining FROM (
+      SELECT p.family, count(*) AS required, count(h.answer) AS labeled, count_if(h.answer = p.preference) AS agree, bool_and(p.preference = 'approximately_equal') AS equivalent, count_if(greatest(p.p_a, p.p_b, p.p_tie) >= 0.6e0) AS certain
+      FROM {{pairs}} p LEFT JOIN {ANSWERS} h ON p.pair_id = h.pair_id WHERE p.split = 'validation' GROUP BY p.family) f) g) s""",
     e45_preference_eval=f"SELECT split, count_if(preference <> 'approximately_equal') AS directional, {num(chr(10) + 'avg(CASE WHEN preference = ' + chr(39) + 'a_better' + chr(39) + ' THEN CASE WHEN p_a > p_b THEN 1e0 ELSE 0e0 END WHEN preference = ' + chr(39) + 'b_better' + chr(39) + ' THEN CASE WHEN p_b > p_a THEN 1e0 ELSE 0e0 END END)')} AS accuracy, count_if(preference = 'approximately_equal' AND abs(p_a / (p_a + p_b) - 0.5e0) > 0.1e0) AS false_preference FROM {{pairs}} GROUP BY split",
     e46_comparator_readiness="SELECT coalesce(p.family, 'unexpected') AS family, count(p.pair_id) AS expected, count(q.o_orderkey) AS predicted, count_if(p.pair_id IS NULL) AS unexpected, count_if(q.o_orderkey IS NULL) AS missing FROM (SELECT * FROM {pairs} WHERE source % 11 <> 0) p FULL OUTER JOIN (SELECT o_orderkey FROM {orders} WHERE o_custkey % 13 <> 0) q ON p.pair_id = q.o_orderkey GROUP BY coalesce(p.family, 'unexpected')",
     e47_ordinal_vs_direct=f"""

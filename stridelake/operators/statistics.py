@@ -29,7 +29,10 @@ JOIN (SELECT family, {num('avg(CASE WHEN target THEN hits / CAST(k AS DOUBLE) EN
 SELECT {num('sum(CASE WHEN edge = 10 THEN n * gap / whole END)')} AS ece10, {num('sum(CASE WHEN edge = 5 THEN n * gap / whole END)')} AS ece5 FROM (
   SELECT edge, bin, count(*) AS n, abs(avg(CASE WHEN target THEN 1e0 ELSE 0e0 END) - avg(score)) AS gap, max(whole) AS whole FROM (
     SELECT s.target, s.score, e.n AS edge, CASE WHEN e.n = 5 THEN least(4e0, floor(s.score * 5)) ELSE floor(s.score * 10) END AS bin, w.whole FROM {{scores}} s JOIN {{numbers}} e ON e.n IN (5, 10) CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS whole FROM {{scores}}) w) b WHERE edge = 5 OR bin < 10 GROUP BY edge, bin) g""",
-    e23_localization_f1_iou=f"SELECT source, count_if(target AND score > 0.8e0) AS tp, count_if(NOT target AND score > 0.8e0) AS fp, count_if(target AND score <= 0.8e0) AS fn, {num('2 * count_if(target AND score > 0.8e0) / greatest(1e0, 2 * count_if(target AND score > 0.8e0) + count_if(target <> (score > 0.8e0)))')} AS f1, {num('count_if(target AND score > 0.8e0) / greatest(1e0, count_if(target OR score > 0.8e0))')} AS iou FROM {{scores}} GROUP BY source",
+    e23_localization_f1_iou=f"""
+SELECT motion_id, tp, fp, fn, {num('2 * tp / greatest(1e0, 2 * tp + fp + fn)')} AS f1, {num('tp / greatest(1e0, tp + fp + fn)')} AS iou FROM (
+  SELECT c.motion_id, count_if(c.height <= 0.03e0 AND k.height <= 0.03e0) AS tp, count_if(c.height > 0.03e0 AND k.height <= 0.03e0) AS fp, count_if(c.height <= 0.03e0 AND k.height > 0.03e0) AS fn
+  FROM {{contacts}} c JOIN {{candidate}} k ON c.motion_id = k.motion_id AND c.marker = k.marker AND c.frame = k.frame GROUP BY c.motion_id) m""",
     e24_per_family_metrics=f"SELECT family, CAST(max(p) AS BIGINT) AS positives, CAST(max(n) AS BIGINT) AS negatives, CASE WHEN max(p) = 0 OR max(n) = 0 THEN NULL ELSE {num('sum(neg * (pos_above + pos / 2e0)) / nullif(CAST(max(p) AS DOUBLE) * max(n), 0)')} END AS auroc, {num('sum((pos + neg) * score) / sum(pos + neg)')} AS mean_score FROM {COUNTS} GROUP BY family",
     e25_severity_bin_recall=f"""
 SELECT f.family, b.band, count(s.sample_id) AS n, {num('avg(CASE WHEN s.score >= 0.5e0 THEN 1e0 WHEN s.score IS NOT NULL THEN 0e0 END)')} AS recall, {num('avg(s.score)')} AS mean_probability FROM (SELECT DISTINCT family FROM {{scores}}) f JOIN (SELECT CAST(n AS BIGINT) AS band FROM {{numbers}} WHERE n < 5) b ON b.band >= 0

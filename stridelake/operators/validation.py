@@ -17,10 +17,15 @@ SELECT j.joint, j.depth, r.steps, CASE WHEN r.joint IS NULL THEN 'unreachable' W
     c4_qualify_clean_clips=f"""
 SELECT motion_id, {num('speed')} AS speed, slip_ok, height_ok, speed_ok, confidence_ok, slip_ok AND height_ok AND speed_ok AND confidence_ok AS qualified FROM (
   SELECT motion_id, avg(speed) AS speed, max(speed) <= 0.32e0 AS slip_ok, max(height) <= 0.1e0 AS height_ok, avg(speed) BETWEEN 0.1e0 AND 3e0 AS speed_ok, avg(1 - height / 0.1e0) >= 0.25e0 AS confidence_ok FROM {{contacts}} GROUP BY motion_id) s""",
+    # Fixed values, the largest of each band: slip 2.5 cm, penetration 2 cm, floating 5 cm, speed error 0.05 m/s, loop seam 0.2, joint limits 0 degrees.
     c5_acceptance_bands=f"""
-SELECT m.motion_id, {num('sum(CASE WHEN m.value IS NULL THEN 1e0 ELSE greatest(0e0, m.value - b.top) / b.top END)')} AS penalty, bool_and(NOT b.required OR coalesce(m.value <= b.top, FALSE)) AS accepted, count(*) AS bands FROM (
-  SELECT motion_id, 'speed' AS metric, avg(speed) AS value FROM {{contacts}} GROUP BY motion_id UNION ALL SELECT motion_id, 'height' AS metric, max(height) AS value FROM {{contacts}} GROUP BY motion_id UNION ALL SELECT motion_id, 'slip' AS metric, CASE WHEN motion_id % 5 = 0 THEN NULL ELSE percentile(speed, 0.9) END AS value FROM {{contacts}} GROUP BY motion_id) m
-JOIN (SELECT CASE n WHEN 0 THEN 'speed' WHEN 1 THEN 'height' ELSE 'slip' END AS metric, CASE n WHEN 0 THEN 0.16e0 WHEN 1 THEN 0.1e0 ELSE 0.28e0 END AS top, n < 2 AS required FROM {{numbers}} WHERE n < 3) b ON m.metric = b.metric GROUP BY m.motion_id""",
+SELECT motion_id, {num('sum(CASE WHEN NOT required OR coalesce(value <= top + 1e-12, FALSE) THEN 0e0 WHEN value IS NULL THEN 1e0 ELSE (value - top) / greatest(top, 1e-6) END)')} AS penalty, bool_and(NOT required OR coalesce(value <= top + 1e-12, FALSE)) AS accepted,
+  count_if(required) AS required, count_if(required AND value IS NULL) AS absent, count_if(required AND value > top + 1e-12) AS outside FROM (
+  SELECT m.motion_id, CASE n WHEN 0 THEN slip WHEN 1 THEN penetration WHEN 2 THEN floating WHEN 3 THEN speed_error WHEN 4 THEN seam ELSE excess END AS value,
+    CASE n WHEN 0 THEN 2.5e0 WHEN 1 THEN 2e0 WHEN 2 THEN 5e0 WHEN 3 THEN 0.05e0 WHEN 4 THEN 0.2e0 ELSE 0e0 END AS top, n < 4 OR n = 4 AND motion_id % 3 = 0 OR n = 5 AND motion_id % 2 = 0 AS required FROM (
+    SELECT motion_id, round(max(CASE WHEN height <= 0.03e0 THEN 100 * speed / 60 END), 6) AS slip, round(100 * max(greatest(0e0, 0.02e0 - height)), 6) AS penetration, round(100 * max(CASE WHEN speed < 0.1e0 THEN height END), 6) AS floating,
+      round(abs(avg(speed) - 0.16e0), 6) AS speed_error, round(abs(max_by(height, frame) FILTER (WHERE marker = 0) - min_by(height, frame) FILTER (WHERE marker = 0)), 6) AS seam, greatest(0e0, max(qty) - 45) AS excess FROM {{contacts}} GROUP BY motion_id) m
+  JOIN {{numbers}} k ON k.n < 6) b GROUP BY motion_id""",
     c6_hard_constraint_reasons="""
 SELECT motion_id, concat_ws(',', CASE WHEN top > 0.095e0 THEN 'penetration' END, CASE WHEN mean > 0.16e0 THEN 'target speed' END, CASE WHEN travel < 100 THEN 'displacement' END) AS reasons FROM (SELECT motion_id, max(height) AS top, avg(speed) AS mean, sum(qty) AS travel FROM {contacts} WHERE marker = 0 GROUP BY motion_id) s""",
     c7_experiment_regimes="""

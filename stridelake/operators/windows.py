@@ -72,10 +72,13 @@ SELECT r.motion_id, r.frame, {named(['cos(y.yaw) * (r.x - y.x0) - sin(y.yaw) * (
 FROM {{roots}} r JOIN (SELECT motion_id, min_by(x, frame) AS x0, min_by(z, frame) AS z0, atan2(max_by(x, frame) - min_by(x, frame), max_by(z, frame) - min_by(z, frame)) AS yaw FROM {{roots}} GROUP BY motion_id) y ON r.motion_id = y.motion_id
 JOIN {{poses}} p ON p.motion_id = r.motion_id AND p.frame = r.frame AND p.joint = 0 WINDOW w AS (PARTITION BY r.motion_id ORDER BY r.frame)""",
     # As-of join on prefix sums: for each start, the first frame whose prefix reaches 95 of 100 of the energy from there.
+    # One frame of halo; intervals under four frames grow, the odd frame to the left. A clip without energy is taken whole.
     f15_smallest_energy_interval=f"""
-SELECT motion_id, start_, stop_ FROM (SELECT *, row_number() OVER (PARTITION BY motion_id ORDER BY stop_ - start_, start_) AS k FROM (
-  SELECT motion_id, kind, frame AS start_, min(CASE WHEN kind = 1 THEN frame END) OVER (PARTITION BY motion_id ORDER BY v, kind, frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + 1 AS stop_ FROM (
-    SELECT motion_id, frame, 0 AS kind, upto - e + 0.95e0 * whole - 1e-9 * whole AS v FROM {PREFIX} UNION ALL SELECT motion_id, frame, 1 AS kind, upto AS v FROM {PREFIX}) u) s WHERE kind = 0 AND stop_ > start_) r WHERE k = 1""",
+SELECT motion_id, CAST(CASE WHEN absent > 0 THEN greatest(0, least(t, b + floor(absent / 2e0)) - 4) ELSE a END AS BIGINT) AS start_, CAST(CASE WHEN absent > 0 THEN least(t, b + floor(absent / 2e0)) ELSE b END AS BIGINT) AS stop_ FROM (SELECT *, 4 - (b - a) AS absent FROM (
+  SELECT c.motion_id, t, CASE WHEN whole <= 1e-20 OR start_ IS NULL THEN 0 ELSE greatest(0, start_ - 1) END AS a, CASE WHEN whole <= 1e-20 OR start_ IS NULL THEN t ELSE least(t, stop_ + 1) END AS b FROM (SELECT motion_id, count(*) AS t, max(whole) AS whole FROM {PREFIX} GROUP BY motion_id) c
+  LEFT JOIN (SELECT motion_id, start_, stop_ FROM (SELECT *, row_number() OVER (PARTITION BY motion_id ORDER BY stop_ - start_, start_) AS k FROM (
+    SELECT motion_id, kind, frame AS start_, min(CASE WHEN kind = 1 THEN frame END) OVER (PARTITION BY motion_id ORDER BY v, kind, frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + 1 AS stop_ FROM (
+      SELECT motion_id, frame, 0 AS kind, upto - e + 0.95e0 * whole - 1e-9 * whole AS v FROM {PREFIX} UNION ALL SELECT motion_id, frame, 1 AS kind, upto AS v FROM {PREFIX}) u) s WHERE kind = 0 AND stop_ > start_) r WHERE k = 1) w ON w.motion_id = c.motion_id) h) g""",
     f16_rank_percentiles=f"""
 SELECT family, sample_id, {num('(below + (same - 1) / 2e0) / greatest(1, n - 1)')} AS midrank, {num('1 / sqrt(n + 1e0)')} AS coverage FROM (
   SELECT family, sample_id, rank() OVER (PARTITION BY family ORDER BY score) - 1 AS below, count(*) OVER (PARTITION BY family, score) AS same, count(*) OVER (PARTITION BY family) AS n FROM {{scores}}) s""",

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from stridelake.operators import joins, reports, rotations, statistics
+from stridelake.operators import joins, reports, rotations, statistics, validation, windows
 
 
 def smooth(x):
@@ -112,3 +112,65 @@ def test_repair_path(spark):
     assert got[1]["inversions"] == (d > 1e-9).sum() > 0 and math.isclose(got[1]["ordered"], (d <= 1e-9).mean(), abs_tol=1e-5)
     assert math.isclose(got[1]["total"], d[d > 0].sum(), abs_tol=1e-4) and math.isclose(got[1]["largest"], d.max(), abs_tol=1e-4)
     assert got[2]["inversions"] == 0 and got[2]["ordered"] == 1 and got[2]["spearman"] == -1
+
+
+def test_acceptance(spark):
+    """Clip 0 needs all six bands, clip 1 four of them; one has no stance to slip, one leaves the height at its seam."""
+    rows = [(0, 0, 0, 0.03, 0.16, 40.0), (0, 0, 1, 0.05, 0.16, 47.0), (1, 1, 0, 0.06, 0.3, 50.0), (1, 1, 1, 0.01, 0.02, 50.0)]
+    c = spark.createDataFrame(rows, "motion_id long, marker long, frame long, height double, speed double, qty double")
+    got = {r["motion_id"]: r for r in validation.OPERATORS["c5_acceptance_bands"](spark, contacts=c, numbers=spark.range(512).withColumnRenamed("id", "n")).collect()}
+    # Clip 0: nothing floats (no slow frame): 1; limits: 2 over 0, relative to the least divisor.
+    assert (got[0]["required"], got[0]["absent"], got[0]["outside"], got[0]["accepted"]) == (6, 1, 1, False) and math.isclose(got[0]["penalty"], 1 + 2 / 1e-6, rel_tol=1e-9)
+    assert (got[1]["required"], got[1]["absent"], got[1]["outside"], got[1]["accepted"]) == (4, 0, 0, True) and got[1]["penalty"] == 0
+
+
+def pairs(spark, rows):
+    return spark.createDataFrame([(k, preference, family, split, *p) for k, (preference, family, split, p) in enumerate(rows)], "pair_id long, preference string, family string, split string, p_a double, p_b double, p_tie double")
+
+
+def test_agreement_and_policy(spark):
+    sure = (0.7, 0.2, 0.1)
+    rows = [("a_better", "x", "validation", sure)] * 8 + [("b_better", "x", "validation", sure)] * 2 + [("approximately_equal", "e", "validation", sure), ("a_better", "y", "validation", sure), ("a_better", "x", "train", sure)]
+    answers = spark.createDataFrame([(k, 120.0) for k in range(len(rows))], "l_orderkey long, l_quantity double")
+    got = {r["family"]: r for r in reports.OPERATORS["e43_synthetic_agreement"](spark, lineitem=answers, pairs=pairs(spark, rows)).collect()}
+    x = got["x"]
+    assert (x["comparisons"], x["generated_agree"], x["n"], x["agree"], x["missing"], x["rate"]) == (11, 9, 10, 10, 1, 1.0)
+    assert math.isclose(x["low"], 0.7224, abs_tol=1e-3) and x["high"] == 1  # 10 of 10
+    policy = reports.OPERATORS["e44_human_audit_policy"]
+    got = {r["family"]: r for r in policy(spark, lineitem=answers, pairs=pairs(spark, rows)).collect()}
+    assert [(got[f]["policy"], got[f]["labeled"], got[f]["agree"]) for f in "xey"] == [("CERTAIN", 10, 8), ("CERTAIN", 1, 0), ("CERTAIN", 1, 1)]
+    assert got["e"]["reason"] == "exact equivalence" and math.isclose(got["x"]["low"], 0.4901, abs_tol=1e-3)
+    got = {r["family"]: r for r in policy(spark, lineitem=answers.where("l_orderkey <> 11"), pairs=pairs(spark, rows)).collect()}
+    assert got["x"]["policy"] == "HUMAN_REQUIRED" and got["x"]["reason"] == "audit incomplete" and got["y"]["low"] is None
+
+
+def test_mask_overlap(spark):
+    draw = random.Random(5)
+    masks = {(m, f): (draw.random() < 0.4, draw.random() < 0.4) for m in (0, 1) for f in range(30)} | {(2, 0): (False, False)}
+    c = spark.createDataFrame([(m, 0, f, 0.01 if t else 0.09, 0.0, 0.0) for (m, f), (t, _) in masks.items()], "motion_id long, marker long, frame long, height double, speed double, qty double")
+    k = spark.createDataFrame([(m, 0, f, 0.01 if p else 0.09, 0.0) for (m, f), (_, p) in masks.items()], "motion_id long, marker long, frame long, height double, speed double")
+    for r in statistics.OPERATORS["e23_localization_f1_iou"](spark, contacts=c, candidate=k).collect():
+        both = [v for (m, _), v in masks.items() if m == r["motion_id"]]
+        tp, fp, fn = sum(t and p for t, p in both), sum(p and not t for t, p in both), sum(t and not p for t, p in both)
+        assert (r["tp"], r["fp"], r["fn"]) == (tp, fp, fn)
+        assert math.isclose(r["f1"], 2 * tp / max(1, 2 * tp + fp + fn), abs_tol=1e-5) and math.isclose(r["iou"], tp / max(1, tp + fp + fn), abs_tol=1e-5)
+
+
+def shortest(energy, halo=1, least=4):
+    """All windows, by length and then start."""
+    n, whole = len(energy), sum(energy)
+    if whole <= 1e-20:
+        return 0, n
+    start, stop = min(((a, b) for a in range(n) for b in range(a + 1, n + 1) if sum(energy[a:b]) >= 0.95 * whole * (1 - 1e-9)), key=lambda w: (w[1] - w[0], w[0]))
+    start, stop = max(0, start - halo), min(n, stop + halo)
+    for k in range(max(0, least - (stop - start))):
+        start, stop = (max(0, start - 1), stop) if k % 2 == 0 else (start, min(n, stop + 1))
+    return max(0, min(start, stop - least)), stop
+
+
+def test_smallest_interval(spark):
+    draw, clips = random.Random(7), [[0.0, 0.0, 9.0, 0.0, 0.0, 0.0, 0.0], [9.0, 0.0, 0.0, 0.0, 0.0], [0.0, 0.0, 0.0, 9.0], [1.0], [0.0] * 6]
+    clips += [[draw.choice([0.0, 0.0, 1.0, 5.0, 30.0]) for _ in range(12)] for _ in range(8)]
+    rows = [(m, f, 0.0, math.sqrt(e)) for m, clip in enumerate(clips) for f, e in enumerate(clip)]
+    got = windows.OPERATORS["f15_smallest_energy_interval"](spark, series=spark.createDataFrame(rows, "motion_id long, frame long, t_s double, x double")).collect()
+    assert {r["motion_id"]: (r["start_"], r["stop_"]) for r in got} == {m: shortest(clip) for m, clip in enumerate(clips)}
