@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stridelake.llm import op1_mixing, op2_tools, op3_repair, op4_packing, op5_secrets, op6_sharding, op7_spotsigs, op8_quality, op9_urls, op10_partenum, op11_whitening
+from stridelake.llm import op1_mixing, op2_tools, op3_repair, op4_packing, op5_secrets, op6_sharding, op7_spotsigs, op8_quality, op9_urls, op10_partenum, op11_whitening, op12_prefix_trie
 
 MODULES = {
     "op1_soft_mixing": op1_mixing.op1_soft_mixing,
@@ -16,6 +16,7 @@ MODULES = {
     "op9_url_filter": op9_urls.op9_url_filter,
     "op10_partenum": op10_partenum.op10_partenum,
     "op11_whitening": op11_whitening.op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie.op12_prefix_trie,
 }
 
 
