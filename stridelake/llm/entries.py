@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stridelake.llm import op1_mixing, op2_tools, op3_repair, op4_packing, op5_secrets, op6_sharding, op7_spotsigs, op8_quality, op9_urls, op10_partenum, op11_whitening, op12_prefix_trie
+from stridelake.llm import op1_mixing, op2_tools, op3_repair, op4_packing, op5_secrets, op6_sharding, op7_spotsigs, op8_quality, op9_urls, op10_partenum, op11_whitening, op12_prefix_trie, op13_decontamination
 
 MODULES = {
     "op1_soft_mixing": op1_mixing.op1_soft_mixing,
@@ -17,6 +17,7 @@ MODULES = {
     "op10_partenum": op10_partenum.op10_partenum,
     "op11_whitening": op11_whitening.op11_whitening,
     "op12_prefix_trie": op12_prefix_trie.op12_prefix_trie,
+    "op13_decontamination": op13_decontamination.op13_decontamination,
 }
 
 
