@@ -65,6 +65,8 @@ SELECT CAST(event_id AS BIGINT) AS observation_id, CAST(user_id % 20 AS BIGINT)
   CAST(row_number() OVER (PARTITION BY user_id % 20, CAST(ts AS DATE) ORDER BY ts, event_id) AS BIGINT) AS trial, CAST(event_id % 60 AS BIGINT) AS stimulus, CAST((77 - event_id % 60) % 60 AS BIGINT) AS second,
   CASE event_type WHEN 'purchase' THEN 'pair' WHEN 'error' THEN 'style' ELSE 'naturalness' END AS task, CAST(1 + CAST(floor(abs(value)) AS BIGINT) % 7 AS BIGINT) AS rating, 100 * value AS response_ms,
   CAST(event_id % 5 AS BIGINT) AS family FROM {events}""",
+    notices="""
+SELECT stimulus AS item, session_id AS session, CASE WHEN rating <= 2 THEN 'NO' WHEN rating <= 4 THEN 'MAYBE' ELSE 'YES' END AS answer FROM {observations}""",
     ladder="""
 SELECT CAST(l_suppkey % 8 AS BIGINT) AS ladder, CAST(floor(l_quantity / 10) AS BIGINT) AS level, CASE WHEN l_discount + l_quantity / 1000 > 0.07e0 THEN 'YES' WHEN l_discount + l_quantity / 1000 > 0.04e0 THEN 'MAYBE' ELSE 'NO' END AS answer,
   CAST(l_suppkey % 20 AS BIGINT) AS rater, CAST(l_partkey % 40 AS BIGINT) AS item FROM {lineitem}""",
