@@ -8,7 +8,7 @@ object (sorted keys, no spaces, no escapes beyond those that JSON needs).
 Defined results: rows repeated whole count once; of different calls with one id in one conversation the least stays, of different
 results all do (sorted, as `results` instead of `result`, nulls first), and the status says so; a null conv_id is a conversation; a call without a result is unanswered, a result without a call an orphan; calls on a cycle or behind one have no depth and
 status cycle; an `after` that names no call is dangling and starts at depth 0; null ids are left out; null arguments, broken
-JSON and unknown tools are errors of that call; an empty table gives an empty result; other columns are ignored.
+JSON (half of a surrogate pair and a number beyond a double's range are broken too) and unknown tools are errors of that call; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,13 +39,20 @@ def _no_constant(name: str):
     raise ValueError(name)
 
 
+def _finite(digits: str) -> float:
+    if math.isinf(value := float(digits)):
+        raise ValueError(digits)
+    return value
+
+
 def check(name: str | None, arguments: str | None, tools: dict) -> tuple[dict | None, list[str]]:
     """The arguments and what is wrong with them."""
     if name not in tools:
         return None, ["unknown tool"]
     try:
-        got = json.loads(arguments or "", parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+        got = json.loads(arguments or "", parse_constant=_no_constant, parse_float=_finite)
+        canonical(got).encode()
+    except (ValueError, RecursionError):  # among them half of a surrogate pair and a number beyond the range of a double
         return None, ["broken json"]
     if not isinstance(got, dict):
         return None, ["not an object"]
@@ -65,18 +72,22 @@ def check(name: str | None, arguments: str | None, tools: dict) -> tuple[dict |
 
 
 def depths(calls: DataFrame) -> DataFrame:
-    """call_id and depth of calls (call_id, after); no depth on or behind a cycle."""
-    known = calls.select(F.col("call_id").alias("after"))
-    state = calls.join(known.withColumn("there", F.lit(True)), "after", "left").select("call_id", F.when(F.col("there"), F.col("after")).alias("jump"))
-    state = common.written(state.withColumn("steps", F.col("jump").isNotNull().cast("long")), "jumps")
-    rounds = math.ceil(math.log2(max(2, state.count()))) + 1
-    for _ in range(rounds):
-        if not state.where("jump is not null").limit(1).count():
+    """call_id and depth of calls (call_id, after), unique by call_id; no depth on or behind a cycle.
+
+    Only calls that still have a way to go are joined in a round; those that have reached a first call are set apart.
+    """
+    known = calls.select(F.col("call_id").alias("after"), F.lit(True).alias("there"))
+    first = calls.where("after IS NULL").select("call_id", F.lit(None).cast(calls.schema["call_id"].dataType).alias("jump"))
+    later = calls.where("after IS NOT NULL").join(known, "after", "left").select("call_id", F.when(F.col("there"), F.col("after")).alias("jump"))
+    state = common.written(first.unionByName(later).withColumn("steps", F.col("jump").isNotNull().cast("long")), "jumps")
+    done, open_ = state.where("jump IS NULL"), state.where("jump IS NOT NULL")
+    for _ in range(math.ceil(math.log2(max(2, state.count()))) + 1):
+        if not open_.limit(1).count():
             break
-        target = state.select(F.col("call_id").alias("jump"), F.col("jump").alias("further"), F.col("steps").alias("more"))
-        state = state.join(target, "jump", "left").select("call_id", F.col("further").alias("jump"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
-        state = common.written(state, "jumps")
-    return state.select("call_id", F.when(F.col("jump").isNull(), F.col("steps")).alias("depth"))
+        target = done.unionByName(open_).select(F.col("call_id").alias("jump"), F.col("jump").alias("further"), F.col("steps").alias("more"))
+        state = common.written(open_.join(target, "jump").select("call_id", F.col("further").alias("jump"), (F.col("steps") + F.col("more")).alias("steps")), "jumps")
+        done, open_ = done.unionByName(state.where("jump IS NULL")), state.where("jump IS NOT NULL")
+    return done.select("call_id", F.col("steps").alias("depth")).unionByName(open_.select("call_id", F.lit(None).cast("long").alias("depth")))
 
 
 def link(calls: DataFrame, results: DataFrame, tools: dict = TOOLS) -> DataFrame:
@@ -89,7 +100,8 @@ def link(calls: DataFrame, results: DataFrame, tools: dict = TOOLS) -> DataFrame
     told = told.select("call_id", F.col("found.content").alias("contents"), F.size("found").alias("n_results"))
     deep = depths(asked.select("call_id", "after"))
     known = asked.select(F.col("call_id").alias("after"), F.lit(True).alias("parent"))
-    joined = asked.join(deep, "call_id").join(known, "after", "left").join(told, "call_id", "full_outer")
+    joined = asked.where("after IS NULL").withColumn("parent", F.lit(None).cast("boolean")).unionByName(asked.where("after IS NOT NULL").join(known, "after", "left").select(*asked.columns, "parent"))
+    joined = joined.join(deep, "call_id").join(told, "call_id", "full_outer")
     orphan = F.col("n_calls").isNull()
 
     @F.pandas_udf("valid boolean, errors string, json string")

@@ -1,6 +1,7 @@
 """SpotSigs, tool calls, mixing and the pipeline against plain code."""
 
 import json
+import random
 from collections import Counter
 from hashlib import sha256
 
@@ -151,3 +152,50 @@ def test_pipeline(spark, sf):
     assert whole == pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.sum("n")).first()[0]
     assert pieces.select("doc_id").distinct().count() == mixed.select("doc_id").distinct().count()
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def plain_links(calls, results):
+    """Calls and results linked by dictionaries: (conv, id) -> depth, status, dangling, valid, errors, json."""
+    asked, told = {}, {}
+    for conv, i, after, name, arguments in calls:
+        if i is not None:
+            asked.setdefault((conv, i), set()).add((name, arguments, after))
+    for conv, i, content in results:
+        if i is not None:
+            told.setdefault((conv, i), set()).add(content)
+    low = lambda t: tuple((x is not None, x or "") for x in t)
+    call = {k: min(v, key=low) for k, v in asked.items()}
+    out = {}
+    for k in {*asked, *told}:
+        contents = sorted(told.get(k, []), key=lambda c: (c is not None, c or ""))
+        answer = {"results": contents} if len(contents) > 1 else {"result": contents[0] if contents else None}
+        if k not in asked:
+            out[k] = (None, "orphan", False, False, "", op2_tools.canonical({"id": k[1]} | answer))
+            continue
+        name, arguments, after = call[k]
+        at, depth, seen = k, 0, set()
+        while at is not None and at not in seen:
+            seen.add(at)
+            before = (at[0], call[at][2])
+            at = before if before in call else None
+            depth += at is not None
+        depth = None if at is not None else depth
+        got, wrong = op2_tools.check(name, arguments, op2_tools.TOOLS)
+        status = "cycle" if depth is None else "repeated call" if len(asked[k]) > 1 else "repeated result" if len(contents) > 1 else "linked" if contents else "unanswered"
+        body = {"id": k[1], "name": name, "arguments": got} | answer | ({"raw": arguments} if got is None else {})
+        out[k] = (depth, status, after is not None and (k[0], after) not in call, not wrong, ";".join(wrong), op2_tools.canonical(body))
+    return out
+
+
+def test_tool_calls_against_dictionaries(spark):
+    draw = random.Random(11)
+    bad = ['{"query": "x", "limit": 1e999}', '{"query": "\\ud800", "limit": 1}', '{"\\udfff": 1}', "[" * 5000, '{"text": "x", "words": -Infinity}', "", None, "[1]", '{"limit":3,"query":"x"}', '{"text":"y","target":"en"}', '{"text": 1e308, "words": 7}', "{" + '"a":{' * 40 + "}" * 41]
+    ids = [None, *map(str, range(9))]
+    calls = [(draw.choice([None, "p", "q"]), draw.choice(ids), draw.choice(ids), draw.choice([*op2_tools.TOOLS, "nope", None]), draw.choice(bad)) for _ in range(60)]
+    results = [(draw.choice([None, "p", "q"]), draw.choice([*ids, "z"]), draw.choice(["one", "two", "é" * 50_000, None])) for _ in range(40)]
+    calls += [("deep", str(k), str(k - 1), "lookup", bad[8]) for k in range(70)] + calls[:3]
+    a = spark.createDataFrame([(*c, 1, 2) for c in calls], "conv_id string, call_id string, after string, name string, arguments string, depth int, jump int")
+    b = spark.createDataFrame([(*r, 1) for r in results], "conv_id string, call_id string, content string, steps int")
+    got = {(r["conv_id"], r["call_id"]): tuple(r)[2:] for r in op2_tools.link(a, b).collect()}
+    assert got == plain_links(calls, results)
+    assert op2_tools.link(a.limit(0), b.limit(0)).count() == 0
