@@ -49,8 +49,8 @@ LEAST_ELEMENTS = 32
 TURN_SHARE = 0.02
 #: A label of up to so many nodes is compared node by node; a larger one is counted first.
 FEW = 8
-#: Bytes that are hashed at once; words above LONG_WORD are hashed one by one.
-SEGMENT, LONG_WORD = 1 << 20, 1 << 16
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 #: A-Z in lower case; other bytes stay.
@@ -66,43 +66,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_CODES = _mix(np.arange(1, 257, dtype=np.uint64))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_BASE = 0x2545F4914F6CDD1D
-_tables: list[np.ndarray] = []
+#: Of a number's bytes the first k, k up to 8.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    """A hash of each word raw[start:end]: sums of codes times powers, from running sums over segments of the bytes."""
+    """A hash of each word raw[start:end]: its length and its bytes, eight at a time, each mixed into what came before."""
     import xxhash
 
-    if not _tables:
-        _tables.extend((_powers(_BASE, SEGMENT), _powers(pow(_BASE, -1, 1 << 64), SEGMENT)))
-    up, down = _tables
-    codes, data, out, at = _mix(_CODES + np.uint64(seed)), np.frombuffer(raw, np.uint8), np.zeros(len(starts), np.uint64), 0
-    while at < len(starts):
-        lo = int(starts[at])
-        if ends[at] - lo > LONG_WORD:
-            out[at] = xxhash.xxh3_64_intdigest(raw[lo : ends[at]], seed)
-            at += 1
-            continue
-        last = int(np.searchsorted(ends, lo + SEGMENT, "right"))
-        long = np.flatnonzero(ends[at:last] - starts[at:last] > LONG_WORD)
-        last = at + int(long[0]) if len(long) else last
-        part = data[lo : ends[last - 1]]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(codes[part] * up[: len(part)], out=sums[1:])
-        a, b = starts[at:last] - lo, ends[at:last] - lo
-        out[at:last] = (sums[b] - sums[a]) * down[a]
-        at = last
-    return _mix(out + (ends - starts).astype(np.uint64))
+    eights = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), strides=(1,))  # the eight bytes from each place on
+    n = ends - starts
+    out = _mix(_mix((eights[starts] & _FIRST[np.minimum(n, 8)]) + np.uint64(seed)) + n.astype(np.uint64))
+    at, k = np.flatnonzero((n > 8) & (n <= LONG_WORD)), 8
+    while len(at):
+        out[at] = _mix(out[at] ^ _mix(eights[starts[at] + k] & _FIRST[np.minimum(n[at] - k, 8)]))
+        k += 8
+        at = at[n[at] > k]
+    for at in np.flatnonzero(n > LONG_WORD).tolist():
+        out[at] = xxhash.xxh3_64_intdigest(raw[starts[at] : ends[at]], seed)
+    return out
 
 
 def batch_shingles(texts: list[str | None], seed: int = 0) -> list[np.ndarray]:

@@ -131,6 +131,23 @@ def test_words_of_any_length():
     assert [u.tolist() for u in op.batch_shingles(many)] == [op.batch_shingles([t])[0].tolist() for t in many]
 
 
+def test_words_that_defeat_polynomials(spark):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo a power of two, whatever the base."""
+    for n in (1024, 4096):
+        bits = [bin(k).count("1") % 2 for k in range(n)]
+        one, two = ("".join(pair[b] for b in bits) for pair in ("ab", "ba"))
+        for seed in range(3):
+            a, b = (op.batch_shingles([t], seed)[0] for t in (one, two))
+            assert len(a) == len(b) == 1 and a[0] != b[0]
+    assert got(spark, [(1, one), (2, two), (3, one)]) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_word_hashes_tell_lengths_and_places_apart():
+    words = [c * n for c in "ab" for n in range(1, 70)] + ["a" * k + "b" + "a" * (20 - k) for k in range(21)]
+    texts = words + [f"{w} x" for w in words]
+    assert len({tuple(u) for u in op.batch_shingles(texts)}) == len(texts)
+
+
 def test_keep_one(spark):
     docs = spark.createDataFrame([(3, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "a b c d e f", "y"), (2, "q", "z"), (None, "q", "z")], "doc_id long, text string, component_id string")
     kept = sorted((r[0] or 0, r[2]) for r in op.keep_one(docs).collect())
