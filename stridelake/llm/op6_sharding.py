@@ -31,7 +31,7 @@ def _global_rank(rows: DataFrame, counts: DataFrame, within: list[str]) -> DataF
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, text_crc32, shard and slot of documents (doc_id, text, source)."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    narrow = docs.select("doc_id", F.coalesce("source", F.lit("\0")).alias("stratum"), F.col("source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    narrow = docs.select("doc_id", F.concat(F.when(F.col("source").isNull(), "").otherwise("="), F.coalesce("source", F.lit(""))).alias("stratum"), F.col("source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     narrow = narrow.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
     rows, _ = common.numbered(narrow, "stratum", "draw", "doc_id", name="strata")
     counts = rows.groupBy("_part", "stratum").agg(F.count(F.lit(1)).alias("_n"), F.min("_idx").alias("_first"))

@@ -111,6 +111,21 @@ def test_shards(spark):
     assert op6_sharding.shard(docs.limit(0)).count() == 0 and len(op6_sharding.shard(docs.limit(3)).collect()) == 3
 
 
+def test_shards_against_plain_ranks(spark):
+    """Each source's rows by their draw, all rows by fractional rank, cut evenly; null and odd names are sources of their own."""
+    rows = [(k, "t" * (k % 7), s) for k, s in enumerate([None] * 40 + ["\0"] * 23 + [""] * 9 + ["=a"] * 31 + ["a"] * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    draws = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64(F.lit(op6_sharding.SEED), "doc_id", F.crc32(F.col("text").cast("binary")), (F.length("text") + 1).cast("long"))).collect()}
+    sizes, ranked = Counter(s for *_, s in rows), []
+    for source in sizes:
+        for rank, d in enumerate(sorted((r[0] for r in rows if r[2] == source), key=draws.get)):
+            ranked.append(((rank + 0.5) / sizes[source], "" if source is None else f"={source}", d))
+    want = {}
+    for place, (_, _, d) in enumerate(sorted(ranked)):
+        want[d] = place * 16 // len(rows)
+    assert {r["doc_id"]: r["shard"] for r in op6_sharding.shard(docs).collect()} == want
+
+
 URLS = [None, "", "no scheme", "HTTP://A.Example.COM/en/7x?q#f", "http://x.example.com/en/8", "http://example.net/de/81", "http://my.net/de/", "http://badcom/en/", "ftp://a.org:80/es/", "http://Ab.org/p/?utm_source=x&a=1&ref=2#t", "https://ab.org/p?a=1", "http://ab.org/p/", "x://y://z/q", "http:///p", "http://ab.org"]
 
 
