@@ -1,4 +1,9 @@
-"""A corpus pipeline: quality rules, near-duplicate removal, secret scans, mixing and packing, each over all its input."""
+"""A corpus pipeline: quality rules, near-duplicate removal, secret scans, mixing and packing, each over all its input.
+
+Defined results: a null or empty text fails the quality rules; a row without an id that passes them stays and links with nothing;
+of repeated rows one stays; a null source is a source of its own; all other columns go through to the last stage, whatever
+their names; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +18,7 @@ ORACLE_SQL = None
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the trees fitted on the labels."""
     trees = op8_quality.fit_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.withColumn("_q", op8_quality.judged(F.col("text"), trees)).where("_q.kept").select(*docs.columns)
+    return docs.select(F.struct("*").alias("row"), op8_quality.judged(F.col("text"), trees).alias("q")).where("q.kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
