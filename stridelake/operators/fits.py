@@ -1,4 +1,4 @@
-"""Iterative fits and draws (E16, E53, E54, E55, E56, G6, G7, G9). Fits take count cells that Spark makes, never raw rows."""
+"""Iterative fits and draws (E16, E53, E54, G6, G7, G9). Fits take count cells that Spark makes, never raw rows."""
 
 from __future__ import annotations
 
@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridelake.sources import scratch
-
 
 def _incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
@@ -105,31 +103,6 @@ def ordinal_calibration(observations: DataFrame, folds: int = 5, steps: int = 20
     return replicas.groupBy("held").applyInPandas(fit, "held long, slope double, log_loss double, prior_log_loss double")
 
 
-def latent_quality(observations: DataFrame, steps: int = 6) -> DataFrame:
-    """Quality of each item and severity of each rater, by alternating penalised means of the residuals.
-
-    Each half step is one aggregate over the written (item, rater) cells, joined with the table of the other side that the
-    half step before wrote; intervals use the cell counts (diagonal curvature).
-    """
-    cells = observations.groupBy("stimulus", "rater").agg(F.count(F.lit(1)).alias("n"), F.sum("rating").alias("total"))
-    cells = scratch.stored(cells, "cells")
-    mu = cells.agg((F.sum("total") / F.sum("n")).alias("mu")).first()["mu"]
-    if mu is None:
-        return cells.select("stimulus", F.lit(None).cast("double").alias("quality"), F.lit(None).cast("double").alias("half_width"), "n")
-
-    def half(key: str, other: str, effect: DataFrame | None) -> DataFrame:
-        rows = cells if effect is None else cells.join(effect.select(other, "effect"), other)
-        offset = F.lit(0.0) if effect is None else F.col("effect")
-        out = rows.groupBy(key).agg((F.sum(F.col("total") - F.col("n") * (F.lit(mu) + offset)) / (F.sum("n") + 1)).alias("effect"), F.sum("n").alias("n"))
-        return scratch.stored(out, "effects")
-
-    rater = None
-    for _ in range(steps):
-        item = half("stimulus", "rater", rater)
-        rater = half("rater", "stimulus", item)
-    return item.select("stimulus", F.col("effect").alias("quality"), (1.96 / F.sqrt(F.col("n") + 1)).alias("half_width"), "n")
-
-
 def balanced_sample(scores: DataFrame, draws: int = 200, seed: int = 5) -> DataFrame:
     """Seeded draws with replacement, half from positives cycling through families, half from controls."""
     pools = scores.select("sample_id", F.col("target").cast("int").alias("half"), "family").withColumn("place", F.row_number().over(Window.partitionBy("half", "family").orderBy("sample_id")) - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.operators import detectability, extend, fits, kinematics
+from stridelake.operators import detectability, extend, fits, kinematics, latent
 from stridelake.plans import fixtures
 from stridelake.sources import bvh, logs
 from stridelake.sources.scratch import folder
@@ -100,7 +100,7 @@ def e55_latent_detectability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e56_latent_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fits.latent_quality(_view(spark, sf_dir, "observations"))
+    return latent.latent_quality(*(_view(spark, sf_dir, n) for n in ("ratings", "comparisons", "item_sources")))
 
 
 def g6_balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,13 @@ SELECT CAST(event_id AS BIGINT) AS observation_id, CAST(user_id % 20 AS BIGINT)
   CAST(row_number() OVER (PARTITION BY user_id % 20, CAST(ts AS DATE) ORDER BY ts, event_id) AS BIGINT) AS trial, CAST(event_id % 60 AS BIGINT) AS stimulus, CAST((77 - event_id % 60) % 60 AS BIGINT) AS second,
   CASE event_type WHEN 'purchase' THEN 'pair' WHEN 'error' THEN 'style' ELSE 'naturalness' END AS task, CAST(1 + CAST(floor(abs(value)) AS BIGINT) % 7 AS BIGINT) AS rating, 100 * value AS response_ms,
   CAST(event_id % 5 AS BIGINT) AS family FROM {events}""",
+    ratings="""
+SELECT stimulus AS item, session_id AS session, rater, rating FROM {observations} WHERE task = 'naturalness'""",
+    comparisons="""
+SELECT stimulus AS first, second, rater, CASE WHEN rating <= 2 THEN 'first_better' WHEN rating <= 4 THEN 'second_better' WHEN rating <= 6 THEN 'effectively_equal' ELSE 'not_sure' END AS outcome
+FROM {observations} WHERE task = 'pair' AND stimulus <> second""",
+    item_sources="""
+SELECT DISTINCT stimulus AS item, stimulus % 12 AS source FROM {observations}""",
     notices="""
 SELECT stimulus AS item, session_id AS session, CASE WHEN rating <= 2 THEN 'NO' WHEN rating <= 4 THEN 'MAYBE' ELSE 'YES' END AS answer FROM {observations}""",
     ladder="""
