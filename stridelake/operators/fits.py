@@ -1,4 +1,4 @@
-"""Iterative fits and draws (E16, E53, E54, G6, G7, G9). Fits take count cells that Spark makes, never raw rows."""
+"""Iterative fits and draws (E16, E53, G6, G7, G9). Fits take count cells that Spark makes, never raw rows."""
 
 from __future__ import annotations
 
@@ -49,58 +49,38 @@ def notice_rates(ladder: DataFrame) -> DataFrame:
     return counts.withColumn("jeffreys", interval("yes", "n")).select("level", "n", "yes", "maybe", "no", "jeffreys.*")
 
 
-def psychometric(ladder: DataFrame, ridge: float = 0.05) -> DataFrame:
-    """Ridge logistic fit of YES on level for each ladder, from level counts; threshold and just-noticeable difference."""
-    cells = ladder.groupBy("ladder", "level").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("answer") == "YES").alias("yes"))
+def psychometric(ladder: DataFrame, ridge: float = 0.02) -> DataFrame:
+    """Ridge logistic fit of YES on level for each ladder, from level counts; threshold and just-noticeable difference.
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        x, n, y = (rows[c].to_numpy(float) for c in ("level", "n", "yes"))
-        rate = y / n
-        reason = "ok" if len(x) >= 4 and n.sum() >= 24 and n.min() >= 3 and rate.min() <= 0.5 <= rate.max() else "not enough evidence"
-        w = np.zeros(2)
-        design = np.stack([np.ones(len(x)), x - x.mean()], 1)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-design @ w))
-            grad = design.T @ (y - n * p) - ridge * w
-            w = w + np.linalg.solve((design * (n * p * (1 - p))[:, None]).T @ design + ridge * np.eye(2), grad)
-        ok = reason == "ok" and w[1] > 0
-        return pd.DataFrame({"ladder": [rows["ladder"].iloc[0]], "slope": [w[1]], "threshold": [x.mean() - w[0] / w[1] if ok else None], "jnd": [math.log(3) / w[1] if ok else None], "status": [reason]})
-
-    return cells.groupBy("ladder").applyInPandas(fit, "ladder long, slope double, threshold double, jnd double, status string")
-
-
-def ordinal_calibration(observations: DataFrame, folds: int = 5, steps: int = 200) -> DataFrame:
-    """Cumulative-logit calibration of the rating (3 classes) on response time, leaving one source fold out at a time."""
-    cells = observations.select((F.col("stimulus") % folds).alias("fold"), F.floor(F.log1p(F.greatest(F.col("response_ms"), F.lit(0.0)))).alias("score"), F.when(F.col("rating") <= 2, 0).when(F.col("rating") <= 5, 1).otherwise(2).alias("label"))
-    cells = cells.groupBy("fold", "score", "label").agg(F.count(F.lit(1)).alias("n"))
-    replicas = cells.crossJoin(F.broadcast(cells.sparkSession.range(folds).withColumnRenamed("id", "held")))  # a replica for each fold: a fixed number
+    A threshold needs 4 levels, 24 answers, 3 at each level, a YES rate below one half at the first level and above it at the last, and
+    has to lie between these levels. Levels are scaled to 0 .. 1 for the ridge.
+    """
+    cells = ladder.where("ladder IS NOT NULL AND level IS NOT NULL AND answer IS NOT NULL").groupBy("ladder", "level").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("answer") == "YES").alias("yes"))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        train, test = rows[rows["fold"] != rows["held"]], rows[rows["fold"] == rows["held"]]
-        x, y, n = (train[c].to_numpy(float) for c in ("score", "label", "n"))
-        mean, b, t = (x * n).sum() / n.sum(), 0.0, np.array([-1.0, 1.0])
-
-        def probs(s, b, t):
-            c = 1 / (1 + np.exp(-(t[:, None] - b * (s - mean)[None])))
-            return np.maximum(np.stack([c[0], c[1] - c[0], 1 - c[1]], 1), 1e-9)
-
-        def loss(v):
-            p = probs(x, v[0], np.array([v[1], v[1] + math.exp(v[2])]))
-            return -(n * np.log(p[np.arange(len(y)), y.astype(int)])).sum() / n.sum() + 1e-3 * v[0] ** 2
-
-        v, size = np.array([0.0, -1.0, 0.5]), 0.5
-        for _ in range(steps):
-            grad = np.array([(loss(v + e) - loss(v - e)) / 2e-5 for e in 1e-5 * np.eye(3)])
-            new = v - size * grad
-            v, size = (new, size * 1.1) if loss(new) < loss(v) else (v, size / 2)
-        b, t = v[0], np.array([v[1], v[1] + math.exp(v[2])])
-        s, label, m = (test[c].to_numpy(float) for c in ("score", "label", "n"))
-        p = probs(s, b, t)
-        prior = np.array([n[y == k].sum() for k in range(3)]) / n.sum()
-        pick = np.arange(len(s)), label.astype(int)
-        return pd.DataFrame({"held": [rows["held"].iloc[0]], "slope": [b], "log_loss": [-(m * np.log(p[pick])).sum() / m.sum()], "prior_log_loss": [-(m * np.log(np.maximum(prior[label.astype(int)], 1e-9))).sum() / m.sum()]})
-
-    return replicas.groupBy("held").applyInPandas(fit, "held long, slope double, log_loss double, prior_log_loss double")
+        rows = rows.sort_values("level")
+        x, n, y = (rows[c].to_numpy(float) for c in ("level", "n", "yes"))
+        found = [None, None, None, "insufficient_repeated_crossing_data"]
+        span = x[-1] - x[0]
+        if len(x) >= 4 and n.sum() >= 24 and n.min() >= 3 and y[0] / n[0] < 0.5 < y[-1] / n[-1]:
+            design, w = np.stack([np.ones(len(x)), (x - x[0]) / span], 1), np.zeros(2)
+            loss = lambda v: (n * np.logaddexp(0, design @ v)).sum() - y @ (design @ v) + ridge * (v @ v)
+            for _ in range(100):
+                p = 1 / (1 + np.exp(-design @ w))
+                step = np.linalg.solve((design * (n * p * (1 - p))[:, None]).T @ design + 2 * ridge * np.eye(2), design.T @ (y - n * p) - 2 * ridge * w)
+                size = 1.0
+                while loss(w + size * step) > loss(w) and size > 1e-9:
+                    size /= 2
+                w = w + size * step
+                if np.abs(step).max() < 1e-10:
+                    break
+            threshold = x[0] - span * w[0] / w[1] if w[1] > 0 else np.nan
+            found[0] = w[1] / span
+            if x[0] <= threshold <= x[-1]:
+                found = [found[0], threshold, span * math.log(3) / w[1], "exploratory_psychometric_fit"]
+        return pd.DataFrame([[rows["ladder"].iloc[0], int(n.sum()), *found]], columns=["ladder", "n", "slope", "threshold", "jnd", "status"])
+
+    return cells.groupBy("ladder").applyInPandas(fit, "ladder long, n long, slope double, threshold double, jnd double, status string")
 
 
 def balanced_sample(scores: DataFrame, draws: int = 200, seed: int = 5) -> DataFrame:

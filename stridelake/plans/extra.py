@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.operators import detectability, extend, fits, kinematics, latent
+from stridelake.operators import calibration, detectability, extend, fits, kinematics, latent
 from stridelake.plans import fixtures
 from stridelake.sources import bvh, logs
 from stridelake.sources.scratch import folder
@@ -92,7 +92,11 @@ def e53_psychometric_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e54_ordinal_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fits.ordinal_calibration(_view(spark, sf_dir, "observations"))
+    return calibration.ordinal_calibration(_view(spark, sf_dir, "matches"))
+
+
+def e54_held_out_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.Calibration(_view(spark, sf_dir, "matches")).metrics()
 
 
 def e55_latent_detectability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +135,7 @@ def u3_score_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("place <= 10")
 
 
-QUERIES = {f.__name__: f for f in (a1_bvh_ingest, d10_forward_kinematics, d11_marker_positions, a4_jsonl_source, a5_jsonl_sink, a9_log_prefix_freeze, c13_leakage_whitelist, s1_stream_observations, s4_stream_contacts, s5_stream_staircase, e16_notice_rates, e53_psychometric_fit, e54_ordinal_calibration, e55_latent_detectability, e56_latent_quality, g6_balanced_sample, g7_stratified_overlap, g9_query_schedule, u1_register_metric, u2_register_mechanism, u3_score_callback)}
+QUERIES = {f.__name__: f for f in (a1_bvh_ingest, d10_forward_kinematics, d11_marker_positions, a4_jsonl_source, a5_jsonl_sink, a9_log_prefix_freeze, c13_leakage_whitelist, s1_stream_observations, s4_stream_contacts, s5_stream_staircase, e16_notice_rates, e53_psychometric_fit, e54_ordinal_calibration, e54_held_out_metrics, e55_latent_detectability, e56_latent_quality, g6_balanced_sample, g7_stratified_overlap, g9_query_schedule, u1_register_metric, u2_register_mechanism, u3_score_callback)}
 
 #: Texts over the fixture views, for those queries whose result SQL can state.
 TEXTS = {

@@ -72,6 +72,9 @@ SELECT stimulus AS first, second, rater, CASE WHEN rating <= 2 THEN 'first_bette
 FROM {observations} WHERE task = 'pair' AND stimulus <> second""",
     item_sources="""
 SELECT DISTINCT stimulus AS item, stimulus % 12 AS source FROM {observations}""",
+    matches="""
+SELECT 'r' || CAST(family % 2 AS VARCHAR(2)) AS render, 's' || CAST(stimulus % 10 AS VARCHAR(4)) AS source, 'f' || CAST(family AS VARCHAR(4)) AS family, task AS style, observation_id, rating AS score,
+  CASE WHEN response_ms > 10000 THEN 0 WHEN response_ms > 4000 THEN 1 ELSE 2 END AS label FROM {observations}""",
     notices="""
 SELECT stimulus AS item, session_id AS session, CASE WHEN rating <= 2 THEN 'NO' WHEN rating <= 4 THEN 'MAYBE' ELSE 'YES' END AS answer FROM {observations}""",
     ladder="""
