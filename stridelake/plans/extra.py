@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from stridelake.operators import calibration, detectability, extend, fits, kinematics, latent
 from stridelake.plans import fixtures
-from stridelake.sources import bvh, logs
+from stridelake.sources import bvh, logs, stores
 from stridelake.sources.scratch import folder
+from stridelake.streaming import authentication
 from stridelake.streaming import logs as streams
 
 
@@ -55,6 +56,66 @@ def a9_log_prefix_freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.freeze_prefix(spark, path).select("bytes", "rows", "sha256")
 
 
+def a2_clip_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clips through a store that is written, checked and read again."""
+    clips = _view(spark, sf_dir, "roots").select("motion_id", "frame", F.lit(60.0).alias("fps"), F.when(F.col("motion_id") % 10 < 7, "train").otherwise("test").alias("split"), "x", "y", "z")
+    path = folder(spark, "clips")
+    stores.save_clips(clips, path, {"source": "embeddings"})
+    return stores.load_clips(spark, path).groupBy("motion_id", "fps", "split").agg(F.count(F.lit(1)).alias("frames"))
+
+
+def a6_report_split_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights as dense arrays of a report, split from its summary, verified and counted."""
+    rows = _view(spark, sf_dir, "contacts")
+    dense = rows.select("motion_id", F.concat(F.lit("height_"), F.col("marker").cast("string")).alias("metric"), F.lit("frame_values").alias("field"), "frame", F.lit(0).cast("long").alias("joint"), F.col("height").cast("double").alias("value"))
+    path = folder(spark, "report")
+    stores.save_report(dense.groupBy("motion_id", "metric").agg(F.max("value").alias("value")), dense, path, {"source": "lineitem"})
+    found = stores.load_report(spark, path)[1].groupBy("motion_id", F.expr("CAST(substr(metric, 8) AS BIGINT)").alias("marker")).agg(F.count(F.lit(1)).alias("frames"), F.round(F.sum("value") * 100).cast("long").cast("string").alias("total"))
+    text = F.concat_ws(":", F.col("motion_id").cast("string"), F.col("marker").cast("string"), F.col("frames").cast("string"), "total")
+    return found.select("motion_id", "marker", "frames", F.sha2(text, 256).alias("checksum"))
+
+
+def a7_resumable_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second run adds to a store that a first run left unfinished."""
+    samples, path = _view(spark, sf_dir, "samples"), folder(spark, "samples")
+    stores.publish(samples.where("group_id % 3 = 0"), path, ["sample_id"], "samples.v1", {"source": "orders"})
+    stores.publish(samples, path, ["sample_id"], "samples.v1", {"source": "orders"})
+    first, *later = stores.entries(spark, path)
+    stores.load(spark, path, "samples.v1")
+    found = spark.read.parquet(f"{path}/batches/{first['folder']}").limit(0)
+    for entry in later:
+        found = found.unionByName(spark.read.parquet(f"{path}/batches/{entry['folder']}"))
+    return found.select("sample_id", "split")
+
+
+def _presented(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A trial for each event: its rows, with a fault that its id gives, and the trials' facts."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("n"), F.concat(F.lit("r"), (F.col("user_id") % 20).cast("string")).alias("rater"), F.col("ts").cast("timestamp").alias("start"))
+    kind = F.col("n") % 8
+    step = lambda name, at: F.struct(F.lit(name).alias("event"), at.cast("double").alias("after"))
+    steps = F.array(step("served", F.when(kind == 4, 1.5).otherwise(0.0)), step("started", F.lit(1.0)), step("completed", F.when(kind == 1, 1.5).otherwise(3.4)), step("answered", F.lit(4.0)), step("answered", F.when(kind == 2, 9.0).when(kind == 3, 200.0)))
+    steps = F.filter(steps, lambda s: s["after"].isNotNull() & ~((kind == 0) & (s["event"] == "started")))
+    rows = events.select("n", "rater", "start", F.explode(steps).alias("s"))
+    stimulus = F.when(kind == 5, "other").otherwise("shown")
+    rows = rows.select(F.lit(None).cast("string").alias("row_id"), "rater", F.lit("s").alias("session"), F.col("n").cast("string").alias("trial"), F.lit(1).alias("trial_index"), "s.event", F.expr("start + make_dt_interval(0, 0, 0, CAST(s.after AS DECIMAL(18, 6)))").alias("ts"), stimulus.alias("stimulus"), F.when(F.col("s.event") == "answered", 2.0).alias("initial_s"))
+    trials = events.select(F.col("n").cast("string").alias("trial"), F.lit("shown").alias("stimulus"), F.lit(1).alias("trial_index"), F.lit(None).cast("string").alias("eligible_rater"), F.lit(2.0).alias("duration_s"), F.lit(10.0).alias("fps")).distinct()
+    return rows.withColumn("row_id", authentication.identity()), trials
+
+
+def s2_authenticated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return authentication.authenticated(*_presented(spark, sf_dir)).select("rater", F.col("trial").cast("long").alias("trial"), "verdict")
+
+
+def s2_stream_authentication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, trials = _presented(spark, sf_dir)
+    path = folder(spark, "stream")
+    last = rows.agg(F.max("ts").alias("ts")).select(*[F.expr("ts + INTERVAL 1 DAY").alias("ts") if c == "ts" else F.lit("tick").alias(c) if c in ("event", "rater", "trial", "row_id") else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
+    rows.unionByName(last).write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).parquet(path)
+    found = streams.drained(authentication.authenticated_stream(stream, trials), folder(spark, "out"), folder(spark, "state"), provider=authentication.ROCKS)
+    return found.where("rater <> 'tick'").select("rater", F.col("trial").cast("long").alias("trial"), "verdict")
+
+
 def c13_leakage_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extend.whitelisted(_view(spark, sf_dir, "samples"), ["sample_id", "family", "severity"], ["split", "group_id", "mechanism"])
 
@@ -135,12 +196,18 @@ def u3_score_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("place <= 10")
 
 
-QUERIES = {f.__name__: f for f in (a1_bvh_ingest, d10_forward_kinematics, d11_marker_positions, a4_jsonl_source, a5_jsonl_sink, a9_log_prefix_freeze, c13_leakage_whitelist, s1_stream_observations, s4_stream_contacts, s5_stream_staircase, e16_notice_rates, e53_psychometric_fit, e54_ordinal_calibration, e54_held_out_metrics, e55_latent_detectability, e56_latent_quality, g6_balanced_sample, g7_stratified_overlap, g9_query_schedule, u1_register_metric, u2_register_mechanism, u3_score_callback)}
+QUERIES = {f.__name__: f for f in (a1_bvh_ingest, a2_clip_tables, a6_report_split_sink, a7_resumable_append, s2_authenticated_answers, s2_stream_authentication, d10_forward_kinematics, d11_marker_positions, a4_jsonl_source, a5_jsonl_sink, a9_log_prefix_freeze, c13_leakage_whitelist, s1_stream_observations, s4_stream_contacts, s5_stream_staircase, e16_notice_rates, e53_psychometric_fit, e54_ordinal_calibration, e54_held_out_metrics, e55_latent_detectability, e56_latent_quality, g6_balanced_sample, g7_stratified_overlap, g9_query_schedule, u1_register_metric, u2_register_mechanism, u3_score_callback)}
+
+#: What each planted fault must lead to.
+VERDICTS = """SELECT concat('r', CAST(user_id % 20 AS VARCHAR(20))) AS rater, CAST(event_id AS BIGINT) AS trial, CASE CAST(event_id % 8 AS BIGINT) WHEN 0 THEN 'not served' WHEN 1 THEN 'incomplete' WHEN 2 THEN 'duplicate answer' WHEN 4 THEN 'order' WHEN 5 THEN 'wrong trial' ELSE 'authentic' END AS verdict FROM {events}
+  UNION ALL SELECT concat('r', CAST(user_id % 20 AS VARCHAR(20))) AS rater, CAST(event_id AS BIGINT) AS trial, CASE CAST(event_id % 8 AS BIGINT) WHEN 2 THEN 'duplicate answer' ELSE 'after close' END AS verdict FROM {events} WHERE event_id % 8 IN (2, 3)"""
 
 #: Texts over the fixture views, for those queries whose result SQL can state.
 TEXTS = {
     "c13_leakage_whitelist": "SELECT sample_id, family, severity FROM {samples}",
     "a4_jsonl_source": "SELECT observation_id, rater, task, rating FROM {observations}",
     "a5_jsonl_sink": """SELECT concat('{"observation_id":', CAST(observation_id AS VARCHAR(20)), ',"rating":', CAST(rating AS VARCHAR(20)), ',"task":"', task, '"}') AS line FROM {observations}""",
+    "s2_authenticated_answers": VERDICTS,
+    "s2_stream_authentication": VERDICTS,
     "s1_stream_observations": "SELECT DISTINCT CAST(event_id AS BIGINT) AS observation_id, user_id FROM {events}",
 }

@@ -56,8 +56,16 @@ def staircase(responses: DataFrame, top: int = 5, start: int = 3) -> DataFrame:
     return ordered.select("track", F.size("rows").alias("responses"), F.aggregate("rows", F.lit(start), move).alias("level"))
 
 
-def drained(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Runs the stream over what there is, into Parquet, and reads the result."""
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drained(stream: DataFrame, out: str, checkpoint: str, provider: str | None = None) -> DataFrame:
+    """Runs the stream over what there is, into Parquet, and reads the result. provider: the state store for this stream alone."""
+    spark = stream.sparkSession
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    try:
+        if provider:
+            spark.conf.set(key, provider)
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, before)
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out)
