@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.operators import calibration, detectability, extend, fits, kinematics, latent
+from stridelake.operators import calibration, detectability, extend, fits, graphs, kinematics, latent
 from stridelake.plans import fixtures
 from stridelake.sources import bvh, logs, stores
 from stridelake.sources.scratch import folder
@@ -116,6 +116,17 @@ def s2_stream_authentication(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("rater <> 'tick'").select("rater", F.col("trial").cast("long").alias("trial"), "verdict")
 
 
+def b19_inherited_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.inherited_parts(_view(spark, sf_dir, "rig_joints")).withColumn("distance", F.col("distance").cast("long"))
+
+
+def i25_padded_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    poses = _view(spark, sf_dir, "poses")
+    clips = poses.select("motion_id").distinct().select("motion_id", (F.col("motion_id") % 3).alias("rig"), (F.col("motion_id") % 4).alias("batch"))
+    nodes = graphs.canonical_nodes(_view(spark, sf_dir, "rig_joints").join(clips.select("rig").distinct(), "rig", "left_semi"))
+    return graphs.padded(poses, clips, nodes).select("batch", "motion_id", "frame", "place", "node_key", "part", "frame_mask", "joint_mask", *[F.round(c, 6).alias(c) for c in "wxyz"])
+
+
 def c13_leakage_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extend.whitelisted(_view(spark, sf_dir, "samples"), ["sample_id", "family", "severity"], ["split", "group_id", "mechanism"])
 
@@ -196,17 +207,27 @@ def u3_score_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("place <= 10")
 
 
-QUERIES = {f.__name__: f for f in (a1_bvh_ingest, a2_clip_tables, a6_report_split_sink, a7_resumable_append, s2_authenticated_answers, s2_stream_authentication, d10_forward_kinematics, d11_marker_positions, a4_jsonl_source, a5_jsonl_sink, a9_log_prefix_freeze, c13_leakage_whitelist, s1_stream_observations, s4_stream_contacts, s5_stream_staircase, e16_notice_rates, e53_psychometric_fit, e54_ordinal_calibration, e54_held_out_metrics, e55_latent_detectability, e56_latent_quality, g6_balanced_sample, g7_stratified_overlap, g9_query_schedule, u1_register_metric, u2_register_mechanism, u3_score_callback)}
+QUERIES = {f.__name__: f for f in (a1_bvh_ingest, a2_clip_tables, a6_report_split_sink, a7_resumable_append, b19_inherited_parts, i25_padded_graphs, s2_authenticated_answers, s2_stream_authentication, d10_forward_kinematics, d11_marker_positions, a4_jsonl_source, a5_jsonl_sink, a9_log_prefix_freeze, c13_leakage_whitelist, s1_stream_observations, s4_stream_contacts, s5_stream_staircase, e16_notice_rates, e53_psychometric_fit, e54_ordinal_calibration, e54_held_out_metrics, e55_latent_detectability, e56_latent_quality, g6_balanced_sample, g7_stratified_overlap, g9_query_schedule, u1_register_metric, u2_register_mechanism, u3_score_callback)}
 
 #: What each planted fault must lead to.
 VERDICTS = """SELECT concat('r', CAST(user_id % 20 AS VARCHAR(20))) AS rater, CAST(event_id AS BIGINT) AS trial, CASE CAST(event_id % 8 AS BIGINT) WHEN 0 THEN 'not served' WHEN 1 THEN 'incomplete' WHEN 2 THEN 'duplicate answer' WHEN 4 THEN 'order' WHEN 5 THEN 'wrong trial' ELSE 'authentic' END AS verdict FROM {events}
   UNION ALL SELECT concat('r', CAST(user_id % 20 AS VARCHAR(20))) AS rater, CAST(event_id AS BIGINT) AS trial, CASE CAST(event_id % 8 AS BIGINT) WHEN 2 THEN 'duplicate answer' ELSE 'after close' END AS verdict FROM {events} WHERE event_id % 8 IN (2, 3)"""
 
+#: Every walk from a joint without a role to the first joint with one; the shortest wins, then the one whose steps come first.
+WALKS = """SELECT rig, joint, part, distance FROM (
+  WITH RECURSIVE near AS MATERIALIZED (SELECT rig, joint AS a, parent AS b, 1000000 + parent AS rank FROM {rig_joints} WHERE parent >= 0 UNION ALL SELECT rig, parent AS a, joint AS b, joint AS rank FROM {rig_joints} WHERE parent >= 0),
+    parts AS MATERIALIZED (SELECT rig, joint, role, CASE role WHEN 'pelvis' THEN 1 WHEN 'spine_1' THEN 2 WHEN 'head' THEN 3 WHEN 'left_elbow' THEN 4 WHEN 'right_hand' THEN 5 WHEN 'left_knee' THEN 6 WHEN 'right_foot' THEN 7 ELSE 8 END AS part FROM {rig_joints}),
+    walk AS (SELECT rig, joint AS start_, CAST(-1 AS BIGINT) AS before, joint AS at, 0 AS distance, CAST([] AS BIGINT[]) AS steps FROM {rig_joints} WHERE role IS NULL
+      UNION ALL SELECT w.rig, w.start_, w.at, n.b, w.distance + 1, list_append(w.steps, n.rank) FROM walk w JOIN near n ON n.rig = w.rig AND n.a = w.at AND n.b <> w.before JOIN parts p ON p.rig = w.rig AND p.joint = w.at WHERE p.role IS NULL)
+  SELECT rig, joint, part, CAST(0 AS BIGINT) AS distance FROM parts WHERE role IS NOT NULL
+  UNION ALL SELECT rig, start_, part, distance FROM (SELECT w.rig, w.start_, p.part, CAST(w.distance AS BIGINT) AS distance, row_number() OVER (PARTITION BY w.rig, w.start_ ORDER BY w.distance, w.steps) AS k FROM walk w JOIN parts p ON p.rig = w.rig AND p.joint = w.at WHERE p.role IS NOT NULL) f WHERE k = 1) found"""
+
 #: Texts over the fixture views, for those queries whose result SQL can state.
 TEXTS = {
     "c13_leakage_whitelist": "SELECT sample_id, family, severity FROM {samples}",
     "a4_jsonl_source": "SELECT observation_id, rater, task, rating FROM {observations}",
     "a5_jsonl_sink": """SELECT concat('{"observation_id":', CAST(observation_id AS VARCHAR(20)), ',"rating":', CAST(rating AS VARCHAR(20)), ',"task":"', task, '"}') AS line FROM {observations}""",
+    "b19_inherited_parts": WALKS,
     "s2_authenticated_answers": VERDICTS,
     "s2_stream_authentication": VERDICTS,
     "s1_stream_observations": "SELECT DISTINCT CAST(event_id AS BIGINT) AS observation_id, user_id FROM {events}",

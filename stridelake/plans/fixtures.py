@@ -75,6 +75,10 @@ SELECT DISTINCT stimulus AS item, stimulus % 12 AS source FROM {observations}"""
     matches="""
 SELECT 'r' || CAST(family % 2 AS VARCHAR(2)) AS render, 's' || CAST(stimulus % 10 AS VARCHAR(4)) AS source, 'f' || CAST(family AS VARCHAR(4)) AS family, task AS style, observation_id, rating AS score,
   CASE WHEN response_ms > 10000 THEN 0 WHEN response_ms > 4000 THEN 1 ELSE 2 END AS label FROM {observations}""",
+    rig_joints="""
+SELECT rig, joint, CASE WHEN joint = 0 THEN CAST(-1 AS BIGINT) ELSE CAST((n * 7919) % joint AS BIGINT) END AS parent, name,
+  CASE WHEN joint % 3 = 1 THEN CASE (n * 31) % 8 WHEN 0 THEN 'pelvis' WHEN 1 THEN 'spine_1' WHEN 2 THEN 'head' WHEN 3 THEN 'left_elbow' WHEN 4 THEN 'right_hand' WHEN 5 THEN 'left_knee' WHEN 6 THEN 'right_foot' ELSE 'prop' END END AS role FROM (
+  SELECT CAST(c_nationkey AS BIGINT) AS rig, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS BIGINT) AS joint, CAST(c_custkey AS BIGINT) AS n, c_name AS name FROM {customer}) c""",
     notices="""
 SELECT stimulus AS item, session_id AS session, CASE WHEN rating <= 2 THEN 'NO' WHEN rating <= 4 THEN 'MAYBE' ELSE 'YES' END AS answer FROM {observations}""",
     ladder="""
