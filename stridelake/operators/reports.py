@@ -14,6 +14,27 @@ PER_CLIP = f"""SELECT motion_id, 'height_max' AS metric, max(height) AS value FR
   UNION ALL SELECT motion_id, 'strikes' AS metric, CAST(count(*) AS DOUBLE) AS value FROM ({EVENTS}) ev WHERE kind = 'heel_strike' GROUP BY motion_id"""
 FIRST_TWO = "(SELECT rater, task, stimulus, max(CASE WHEN k = 1 THEN rating END) AS a, max(CASE WHEN k = 2 THEN rating END) AS b FROM (SELECT *, row_number() OVER (PARTITION BY rater, task, stimulus ORDER BY observation_id) AS k FROM {observations}) o WHERE k <= 2 GROUP BY rater, task, stimulus HAVING count(*) = 2)"
 VELOCITY = f"(SELECT motion_id, frame, joint, {raw(log_vector(('dw', 'dx', 'dy', 'dz')), 'ex ey ez')} FROM (SELECT motion_id, frame, joint, {raw(multiply(conjugate(A), B), 'dw dx dy dz')} FROM {{steps}}) d)"
+#: Angular velocity in rad/s of every frame: of the turn to the next frame, at the last frame that of the one before.
+SPIN = f"""(SELECT motion_id, frame, joint, {raw(tuple(f'60e0 * coalesce({e}, 0e0)' for e in log_vector(('dw', 'dx', 'dy', 'dz'))), 'ex ey ez')} FROM (SELECT motion_id, frame, joint, {raw(multiply(conjugate(A), B), 'dw dx dy dz')} FROM (
+  SELECT motion_id, frame, joint, {', '.join(f'CASE WHEN nw IS NULL THEN p{c} ELSE {c} END AS a{c}, CASE WHEN nw IS NULL THEN {c} ELSE n{c} END AS {b}' for c, b in zip('wxyz', B, strict=True))} FROM (
+    SELECT *, {', '.join(f'lead({c}) OVER p AS n{c}, lag({c}) OVER p AS p{c}' for c in 'wxyz')} FROM {{poses}} WINDOW p AS (PARTITION BY motion_id, joint ORDER BY frame)) n) t) v)"""
+
+
+def differences(source: str, columns: str) -> str:
+    """Second-order finite differences at 60 frames a second of each joint's columns."""
+    value = lambda c: f"CASE WHEN n < 2 THEN 0e0 WHEN n = 2 THEN 60e0 * coalesce({c}1 - {c}, {c} - {c}9) WHEN {c}9 IS NULL THEN 30e0 * (4 * {c}1 - 3 * {c} - {c}2) WHEN {c}1 IS NULL THEN 30e0 * (3 * {c} - 4 * {c}9 + {c}8) ELSE 30e0 * ({c}1 - {c}9) END"
+    near = ", ".join(f"lead({c}) OVER w AS {c}1, lead({c}, 2) OVER w AS {c}2, lag({c}) OVER w AS {c}9, lag({c}, 2) OVER w AS {c}8" for c in columns.split())
+    return f"(SELECT motion_id, frame, joint, {', '.join(f'{value(c)} AS {c}' for c in columns.split())} FROM (SELECT *, count(*) OVER (PARTITION BY motion_id, joint) AS n, {near} FROM {source} s WINDOW w AS (PARTITION BY motion_id, joint ORDER BY frame)) d)"
+
+
+#: Size of the angular jerk of every frame and joint.
+JERK = f"SELECT motion_id, frame, joint, sqrt(ex * ex + ey * ey + ez * ez) AS jerk FROM {differences(differences(SPIN, 'ex ey ez'), 'ex ey ez')} jj"
+
+
+def rounded(x: str, digits: int) -> str:
+    return f"round({x}, {digits}) + 0e0"
+
+
 #: The rotation that repairs each joint: the logarithm of the turn from the corrupted pose to the clean one.
 RESIDUAL = f"(SELECT motion_id, frame, joint, {raw(log_vector(('dw', 'dx', 'dy', 'dz')), 'ex ey ez')} FROM (SELECT motion_id, frame, joint, {raw(multiply(conjugate(A), B), 'dw dx dy dz')} FROM (SELECT p.motion_id, p.frame, p.joint, k.w AS aw, k.x AS ax, k.y AS ay, k.z AS az, p.w AS bw, p.x AS bx, p.y AS by_, p.z AS bz FROM {{poses}} p JOIN {{posed}} k ON p.motion_id = k.motion_id AND p.frame = k.frame AND p.joint = k.joint) b) d)"
 ENERGY = f"(SELECT motion_id, frame, joint, ex * ex + ey * ey + ez * ez AS energy FROM {VELOCITY} v)"
@@ -35,10 +56,13 @@ SELECT motion_id, {', '.join(f"{num(f'''max(CASE WHEN metric = '{m}' THEN value
     e2_root_speed=f"SELECT motion_id, {num('avg(abs(v))')} AS mean_speed, {num('percentile(abs(v), 0.5)')} AS median_speed, {num('abs(avg(abs(v)) - 100) / greatest(100e0, 1e-6)')} AS relative_error, abs(avg(abs(v)) - 100) > 2 AS mismatch FROM ({FD}) f GROUP BY motion_id",
     e3_foot_sliding=f"SELECT motion_id, {num('100 * max(slip)')} AS slip_cm, count_if(100 * slip > 0.05e0) AS slides FROM {SLIDES} s GROUP BY motion_id",
     e4_ground_contact=f"SELECT motion_id, {num('100 * max(greatest(0e0, 0.02e0 - height))')} AS penetration_cm, {num('100 * max(greatest(0e0, height - 0.02e0))')} AS floating_cm, count(*) AS frames FROM ({HYSTERESIS}) h WHERE active GROUP BY motion_id",
-    e5_angular_smoothness=f"""
-SELECT motion_id, round(percentile(jerk, 0.99), 3) AS jerk_p99, round(percentile(jerk, 0.5), 3) AS jerk_median FROM (
-  SELECT motion_id, 216000e0 * sqrt(dx * dx + dy * dy + dz * dz) AS jerk FROM (
-    SELECT motion_id, {', '.join(f'lead(e{c}, 1) OVER w - 2 * e{c} + lag(e{c}, 1) OVER w AS d{c}' for c in 'xyz')} FROM {VELOCITY} v WINDOW w AS (PARTITION BY motion_id, joint ORDER BY frame)) d WHERE dx IS NOT NULL) j GROUP BY motion_id""",
+    e5_angular_smoothness=f"SELECT motion_id, {rounded('percentile(jerk, 0.99)', 3)} AS jerk_p99, {rounded('percentile(jerk, 0.5)', 3)} AS jerk_median, {rounded('max(jerk)', 3)} AS jerk_max FROM ({JERK}) j GROUP BY motion_id",
+    e5_smoothness_events=f"""
+SELECT motion_id, joint, CASE WHEN stop_ - start_ > greatest(5, CAST(floor(frames / 8e0) AS BIGINT)) THEN 'joint_jitter' ELSE 'joint_pop' END AS event, start_, stop_, {rounded('peak', 3)} AS severity, {rounded('bound', 3)} AS threshold, 0.75e0 AS confidence FROM (
+  SELECT motion_id, joint, min(frame) AS start_, max(frame) + 1 AS stop_, max(jerk) AS peak, max(bound) AS bound, max(frames) AS frames FROM (
+    SELECT *, frame - row_number() OVER (PARTITION BY motion_id, joint ORDER BY frame) AS run FROM (
+      SELECT *, middle + greatest(6 * 1.4826e0 * percentile(abs(jerk - middle), 0.5) OVER (PARTITION BY motion_id, joint), 1e-3) AS bound FROM (
+        SELECT *, percentile(jerk, 0.5) OVER (PARTITION BY motion_id, joint) AS middle, count(*) OVER (PARTITION BY motion_id, joint) AS frames FROM ({JERK}) j) m) b WHERE jerk > bound) r GROUP BY motion_id, joint, run) e""",
     e6_loop_seam=f"SELECT motion_id, CASE WHEN score < 1e-6 THEN 0e0 ELSE {num('score')} END AS seam, score > 1e-4 AS event FROM (SELECT motion_id, 4 * (abs(max_by(x, frame) - min_by(x, frame)) + abs(max_by(y, frame) - min_by(y, frame))) + 0.25e0 * abs(max_by(z, frame) - min_by(z, frame)) AS score FROM {{roots}} GROUP BY motion_id) s",
     e7_gait_metrics=f"""
 SELECT motion_id, count(*) AS strikes, {num('avg(60e0 * 60 / gap)')} AS cadence, {num('avg(gap / 60e0)')} AS step_time, {num('avg(CASE WHEN side <> before THEN 1e0 ELSE 0e0 END)')} AS alternation FROM (
@@ -114,8 +138,7 @@ SELECT motion_id, round(avg(CASE WHEN nxt - v <= 1e-9 THEN 1e0 WHEN nxt IS NOT N
     SELECT c.motion_id, a.n / 20e0 AS alpha, round(avg((k.speed + a.n / 20e0 * (c.speed - k.speed)) * greatest(0e0, 0.08e0 - k.height - a.n / 20e0 * (c.height - k.height))), 8) AS v
     FROM {contacts} c JOIN {candidate} k ON c.motion_id = k.motion_id AND c.marker = k.marker AND c.frame = k.frame JOIN {numbers} a ON a.n <= 20 GROUP BY c.motion_id, a.n) p) q GROUP BY motion_id""",
     e52_repair_effect=f"""
-SELECT motion_id, {num('before')} AS before, {num('after')} AS after, {num('clean')} AS clean, {num('(before - after) / nullif(before - clean, 0)')} AS repaired, before - clean > 0.001e0 AS meaningful, abs(after - clean) <= 0.25e0 * abs(before - clean) AS near_clean FROM (
-  SELECT c.motion_id, round(avg(k.height), 9) AS before, round(avg(0.2e0 * k.height + 0.8e0 * c.height), 9) AS after, round(avg(c.height), 9) AS clean FROM {{contacts}} c JOIN {{candidate}} k ON c.motion_id = k.motion_id AND c.marker = k.marker AND c.frame = k.frame GROUP BY c.motion_id) s""",
+SELECT metric, {num('before')} AS before, {num('after')} AS after, {num('clean')} AS clean, {num('before - after')} AS improvement, {num('CASE WHEN before - clean > 1e-12 THEN (before - after) / (before - clean) END')} AS repaired, before - after >= 0.001e0 AS meaningful, abs(after - clean) <= greatest(1e-6, 0.1e0 * abs(before - clean)) AS near_clean, motion_id FROM {{repairs}}""",
     e57_paired_target_metric=f"SELECT c.motion_id, c.marker, {num('max(k.height)')} AS near_peak, {num('percentile(k.speed, 0.95)')} AS speed_p95 FROM (SELECT motion_id, marker, max_by(frame, height * 1000000 + frame) AS top FROM {{contacts}} GROUP BY motion_id, marker) c JOIN {{contacts}} k ON k.motion_id = c.motion_id AND k.marker = c.marker AND k.frame BETWEEN c.top - 2 AND c.top + 2 GROUP BY c.motion_id, c.marker",
     e58_ablation_summary=f"SELECT family, {num('avg(CASE WHEN target THEN score END)')} AS positive, {num('avg(CASE WHEN NOT target THEN score END)')} AS negative FROM {{scores}} GROUP BY family",
     e59_failure_classes="SELECT c.cause, count(f.motion_id) AS n FROM (SELECT CASE n WHEN 0 THEN 'height' WHEN 1 THEN 'speed' WHEN 2 THEN 'budget' ELSE 'none' END AS cause FROM {numbers} WHERE n < 4) c LEFT JOIN (SELECT motion_id, CASE WHEN max(height) > 0.0999e0 AND avg(speed) > 0.16e0 THEN 'height' WHEN avg(speed) > 0.16e0 THEN 'speed' ELSE 'none' END AS cause FROM {contacts} GROUP BY motion_id) f ON c.cause = f.cause GROUP BY c.cause",

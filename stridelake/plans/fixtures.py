@@ -41,6 +41,10 @@ SELECT CAST(l_suppkey AS BIGINT) AS motion_id, CAST(l_linenumber % 4 AS BIGINT)
     candidate="""
 SELECT motion_id, marker, frame, height + 0.04e0 * e AS height, speed * (1 + 0.5e0 * e) AS speed FROM (
   SELECT *, CASE WHEN frame % 16 BETWEEN 4 AND 11 THEN (frame % 16 - 3) * (12 - frame % 16) / 20e0 ELSE 0e0 END AS e FROM {contacts}) c""",
+    repairs="""
+SELECT c.motion_id, 'height' AS metric, round(avg(k.height), 9) AS before, round(avg(k.smooth), 9) AS after, round(avg(c.height), 9) AS clean FROM {contacts} c JOIN (
+  SELECT motion_id, marker, frame, height, (height + coalesce(lag(height, 4) OVER w, height) + coalesce(lead(height, 4) OVER w, height) + coalesce(lag(height, 8) OVER w, height) + coalesce(lead(height, 8) OVER w, height)) / 5
+    * (1 - 0.1e0 * (motion_id % 7)) AS smooth FROM {candidate} WINDOW w AS (PARTITION BY motion_id, marker ORDER BY frame)) k ON c.motion_id = k.motion_id AND c.marker = k.marker AND c.frame = k.frame GROUP BY c.motion_id""",
     posed="""
 SELECT motion_id, frame, joint, w * c - y * s AS w, x * c - z * s AS x, w * s + y * c AS y, x * s + z * c AS z FROM (
   SELECT *, cos(0.05e0 * (1 + joint % 3) * (frame % 4)) AS c, sin(0.05e0 * (1 + joint % 3) * (frame % 4)) AS s FROM {poses}) p""",

@@ -15,18 +15,19 @@ def smooth(x):
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 9, 40, 120])
 def test_envelopes(spark, n):
+    """One value for each frame, from how far it is from either end."""
     got = rotations.OPERATORS["b17_envelopes"](spark, series=spark.createDataFrame([(1, k, 0.0, 0.0) for k in range(n)], "motion_id long, frame long, t_s double, x double")).orderBy("frame").collect()
-    m, locks, edit = min(12, n // 4), np.ones(n), np.ones(n)
-    if m:
-        locks[: m + 1] *= smooth(np.linspace(0, 1, m + 1))
-        locks[-m - 1 :] *= smooth(np.linspace(1, 0, m + 1))
-    ramp = smooth(np.linspace(0, 1, max(1, m)))
-    edit[: len(ramp)], edit[-len(ramp) :] = ramp, ramp[::-1]
-    pulse = np.sin(np.pi * np.arange(n) / max(1, n - 1)) ** 2
-    pulse[[0, -1]] = 0
-    assert np.allclose([r["pulse"] for r in got], pulse, atol=1e-5)
-    assert np.allclose([r["locks"] for r in got], locks, atol=1e-5)
-    assert np.allclose([r["edit"] for r in got], edit, atol=1e-5)
+    width = n // 4 if n < 48 else 12
+    for k, r in enumerate(got):
+        left, right = k, n - 1 - k
+        lock = math.prod(smooth(min(1.0, end / width)) for end in (left, right)) if width else 1.0
+        near = min(left, right)
+        if width > 1:
+            edit = smooth(min(1.0, near / (width - 1)))
+        else:
+            edit = 0.0 if near == 0 else 1.0
+        pulse = math.sin(math.pi * left / (left + right)) ** 2 if near else 0.0
+        assert np.allclose([r["locks"], r["edit"], r["pulse"]], [lock, edit, pulse], atol=1e-5)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -174,3 +175,56 @@ def test_smallest_interval(spark):
     rows = [(m, f, 0.0, math.sqrt(e)) for m, clip in enumerate(clips) for f, e in enumerate(clip)]
     got = windows.OPERATORS["f15_smallest_energy_interval"](spark, series=spark.createDataFrame(rows, "motion_id long, frame long, t_s double, x double")).collect()
     assert {r["motion_id"]: (r["start_"], r["stop_"]) for r in got} == {m: shortest(clip) for m, clip in enumerate(clips)}
+
+
+def turns(q):
+    """Rotation vectors from each quaternion to the next one."""
+    out = []
+    for (w, *u), (v, *t) in zip(q, q[1:], strict=False):
+        d = np.array([w * v + np.dot(u, t), *(w * np.array(t) - v * np.array(u) - np.cross(u, t))])
+        d = -d if d[0] < 0 else d
+        n = np.linalg.norm(d[1:])
+        out.append(2 * math.atan2(n, d[0]) / n * d[1:] if n > 1e-12 else 2 * d[1:])
+    return np.array(out).reshape(-1, 3)
+
+
+@pytest.mark.parametrize("frames", [1, 2, 3, 4, 60])
+def test_angular_smoothness(spark, frames):
+    draw = np.random.default_rng(frames)
+    poses, rows = {}, []
+    for joint in range(3):
+        angle = np.cumsum(draw.normal(0, 0.02, (frames, 4)), 0) + [1, 0, 0, 0]
+        angle[frames // 2 : frames // 2 + 2, 1] += 0.4 * (joint == 1)
+        poses[joint] = angle / np.linalg.norm(angle, axis=1, keepdims=True)
+        rows += [(1, f, joint, *map(float, poses[joint][f])) for f in range(frames)]
+    df = spark.createDataFrame(rows, "motion_id long, frame long, joint long, w double, x double, y double, z double")
+    jerk = {}
+    for joint, q in poses.items():
+        v = 60 * turns(q)
+        v = np.concatenate([v, v[-1:]]) if len(v) else np.zeros((1, 3))
+        for _ in range(2):
+            v = np.zeros_like(v) if frames == 1 else np.gradient(v, 1 / 60, axis=0, edge_order=min(2, frames - 1))
+        jerk[joint] = np.linalg.norm(v, axis=1)
+    everything = np.concatenate(list(jerk.values()))
+    got = reports.OPERATORS["e5_angular_smoothness"](spark, poses=df).first()
+    assert np.allclose([got["jerk_p99"], got["jerk_median"], got["jerk_max"]], [np.percentile(everything, 99), np.median(everything), everything.max()], rtol=1e-6, atol=2e-3)
+    want = []
+    for joint, x in jerk.items():
+        bound = np.median(x) + max(6 * 1.4826 * np.median(np.abs(x - np.median(x))), 1e-3)
+        start = None
+        for f in range(frames + 1):
+            over = f < frames and x[f] > bound
+            if over and start is None:
+                start = f
+            if not over and start is not None:
+                want.append((joint, "joint_jitter" if f - start > max(5, frames // 8) else "joint_pop", start, f, x[start:f].max()))
+                start = None
+    found = sorted((r["joint"], r["event"], r["start_"], r["stop_"], r["severity"]) for r in reports.OPERATORS["e5_smoothness_events"](spark, poses=df).collect())
+    assert [f[:4] for f in found] == [w[:4] for w in sorted(want)] and np.allclose([f[4] for f in found], [w[4] for w in sorted(want)], rtol=1e-6)
+    assert frames < 60 or found
+
+
+def test_repair_effect(spark):
+    rows = [(1, "slip", 2.0, 1.0, 0.5), (2, "slip", 2.0, 0.55, 0.5), (3, "slip", 0.5, 0.5, 0.5), (4, "slip", 2.0, 3.0, 0.5), (5, "slip", 1.0, 0.9995, 2.0)]
+    got = {r["motion_id"]: (r["repaired"], r["meaningful"], r["near_clean"]) for r in reports.OPERATORS["e52_repair_effect"](spark, repairs=spark.createDataFrame(rows, "motion_id long, metric string, before double, after double, clean double")).collect()}
+    assert got == {1: (round(1 / 1.5, 6), True, False), 2: (round(1.45 / 1.5, 6), True, True), 3: (None, False, True), 4: (round(-1 / 1.5, 6), False, False), 5: (None, False, False)}
