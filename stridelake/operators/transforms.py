@@ -59,9 +59,6 @@ SELECT motion_id, band, parameter FROM (SELECT *, row_number() OVER (PARTITION B
     i17_collateral_check="SELECT c.source, c.family, bool_or(r.action = 'reject' AND c.worst > r.top) AS rejected, bool_or(r.action = 'label' AND c.worst > r.top) AS labelled FROM (SELECT source, family, max(severity) AS worst FROM {attempts} GROUP BY source, family) c JOIN (SELECT CASE n WHEN 0 THEN 'reject' ELSE 'label' END AS action, CASE n WHEN 0 THEN 60 ELSE 45 END AS top FROM {numbers} WHERE n < 2) r ON r.top > 0 GROUP BY c.source, c.family",
     i18_compose_defects=f"SELECT motion_id, frame, {named(('f_x + 1.1e0 * (x + 0.05e0 * e - f_x)', 'y - 0.02e0 * e', 'z'), 'x y z')} FROM (SELECT r.*, first_value(x) OVER (PARTITION BY motion_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f_x FROM {ROOT}) s",
     i19_dense_labels=f"SELECT motion_id, frame, CASE WHEN e > 0.5e0 THEN 'core' ELSE 'edge' END AS part, {num('e')} AS weight FROM {ROOT} WHERE e > 1e-9",
-    i20_lineage_log="""
-SELECT id, count_if(step > 0) AS ancestors, min(node_) AS root FROM (
-  SELECT o.id, k.n AS step, CAST(floor(o.id / power(2e0, k.n)) AS BIGINT) AS node_ FROM (SELECT CAST(o_orderkey AS BIGINT) + 1 AS id FROM {orders}) o JOIN {numbers} k ON k.n < 52) a WHERE node_ >= 1 GROUP BY id""",
     i21_repair_close_loop=f"SELECT motion_id, frame, {named(('x + k * (x0 - x1)', 'y + k * (y0 - y1)'), 'x y')} FROM (SELECT r.motion_id, r.frame, r.x, r.y, g.x0, g.x1, g.y0, g.y1, u * u * (3 - 2 * u) AS k FROM (SELECT r.*, greatest(0e0, (frame - (t - 13)) / 12e0) AS u FROM {ROOT}) r JOIN (SELECT motion_id, min_by(x, frame) AS x0, max_by(x, frame) AS x1, min_by(y, frame) AS y0, max_by(y, frame) AS y1 FROM {{roots}} GROUP BY motion_id) g ON r.motion_id = g.motion_id) s",
     i22_repair_height_grid="SELECT motion_id, round(min_by(offset_, cost), 6) AS offset_ FROM (SELECT c.motion_id, (k.n - 8) / 100e0 AS offset_, round(avg(abs(c.height + (k.n - 8) / 100e0 - 0.0123e0)), 9) + k.n * 1e-9 AS cost FROM {contacts} c JOIN {numbers} k ON k.n < 17 WHERE c.marker = 0 GROUP BY c.motion_id, k.n) s GROUP BY motion_id",
     i23_repair_speed_rescale=f"SELECT r.motion_id, r.frame, CASE WHEN s.k > 3 THEN NULL ELSE {num('f.z + s.k * (r.z - f.z)')} END AS z FROM {{roots}} r JOIN {{roots}} f ON r.motion_id = f.motion_id AND f.frame = 0 JOIN (SELECT motion_id, 1.3e0 / nullif(abs(max_by(z, frame) - min_by(z, frame)) / max(t_s), 0) AS k FROM {{roots}} GROUP BY motion_id) s ON r.motion_id = s.motion_id",

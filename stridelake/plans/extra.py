@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.operators import calibration, detectability, extend, fits, graphs, kinematics, latent
+from stridelake.operators import calibration, detectability, extend, fits, graphs, kinematics, latent, lineage
 from stridelake.plans import fixtures
 from stridelake.sources import bvh, logs, stores
 from stridelake.sources.scratch import folder
@@ -127,6 +127,10 @@ def i25_padded_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.padded(poses, clips, nodes).select("batch", "motion_id", "frame", "place", "node_key", "part", "frame_mask", "joint_mask", *[F.round(c, 6).alias(c) for c in "wxyz"])
 
 
+def i20_lineage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.steps(lineage.lineage(_view(spark, sf_dir, "derivations")))
+
+
 def c13_leakage_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extend.whitelisted(_view(spark, sf_dir, "samples"), ["sample_id", "family", "severity"], ["split", "group_id", "mechanism"])
 
@@ -207,7 +211,7 @@ def u3_score_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("place <= 10")
 
 
-QUERIES = {f.__name__: f for f in (a1_bvh_ingest, a2_clip_tables, a6_report_split_sink, a7_resumable_append, b19_inherited_parts, i25_padded_graphs, s2_authenticated_answers, s2_stream_authentication, d10_forward_kinematics, d11_marker_positions, a4_jsonl_source, a5_jsonl_sink, a9_log_prefix_freeze, c13_leakage_whitelist, s1_stream_observations, s4_stream_contacts, s5_stream_staircase, e16_notice_rates, e53_psychometric_fit, e54_ordinal_calibration, e54_held_out_metrics, e55_latent_detectability, e56_latent_quality, g6_balanced_sample, g7_stratified_overlap, g9_query_schedule, u1_register_metric, u2_register_mechanism, u3_score_callback)}
+QUERIES = {f.__name__: f for f in (a1_bvh_ingest, a2_clip_tables, a6_report_split_sink, a7_resumable_append, b19_inherited_parts, i20_lineage_log, i25_padded_graphs, s2_authenticated_answers, s2_stream_authentication, d10_forward_kinematics, d11_marker_positions, a4_jsonl_source, a5_jsonl_sink, a9_log_prefix_freeze, c13_leakage_whitelist, s1_stream_observations, s4_stream_contacts, s5_stream_staircase, e16_notice_rates, e53_psychometric_fit, e54_ordinal_calibration, e54_held_out_metrics, e55_latent_detectability, e56_latent_quality, g6_balanced_sample, g7_stratified_overlap, g9_query_schedule, u1_register_metric, u2_register_mechanism, u3_score_callback)}
 
 #: What each planted fault must lead to.
 VERDICTS = """SELECT concat('r', CAST(user_id % 20 AS VARCHAR(20))) AS rater, CAST(event_id AS BIGINT) AS trial, CASE CAST(event_id % 8 AS BIGINT) WHEN 0 THEN 'not served' WHEN 1 THEN 'incomplete' WHEN 2 THEN 'duplicate answer' WHEN 4 THEN 'order' WHEN 5 THEN 'wrong trial' ELSE 'authentic' END AS verdict FROM {events}
@@ -228,6 +232,8 @@ TEXTS = {
     "a4_jsonl_source": "SELECT observation_id, rater, task, rating FROM {observations}",
     "a5_jsonl_sink": """SELECT concat('{"observation_id":', CAST(observation_id AS VARCHAR(20)), ',"rating":', CAST(rating AS VARCHAR(20)), ',"task":"', task, '"}') AS line FROM {observations}""",
     "b19_inherited_parts": WALKS,
+    "i20_lineage_log": """SELECT d.motion_id, s.motion_id AS source_id, s.split, 'ok' AS status, row_number() OVER (PARTITION BY d.motion_id ORDER BY a.motion_id) - 1 AS step, a.motion_id AS ancestor_id, a.operation, a.kind, a.seed
+FROM {derivations} d JOIN {derivations} a ON a.owner = d.owner AND a.take = d.take AND a.motion_id <= d.motion_id JOIN {derivations} s ON s.owner = d.owner AND s.take = d.take AND s.kind = 'source'""",
     "s2_authenticated_answers": VERDICTS,
     "s2_stream_authentication": VERDICTS,
     "s1_stream_observations": "SELECT DISTINCT CAST(event_id AS BIGINT) AS observation_id, user_id FROM {events}",

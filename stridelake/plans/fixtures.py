@@ -83,6 +83,10 @@ SELECT 'r' || CAST(family % 2 AS VARCHAR(2)) AS render, 's' || CAST(stimulus % 1
 SELECT rig, joint, CASE WHEN joint = 0 THEN CAST(-1 AS BIGINT) ELSE CAST((n * 7919) % joint AS BIGINT) END AS parent, name,
   CASE WHEN joint % 3 = 1 THEN CASE (n * 31) % 8 WHEN 0 THEN 'pelvis' WHEN 1 THEN 'spine_1' WHEN 2 THEN 'head' WHEN 3 THEN 'left_elbow' WHEN 4 THEN 'right_hand' WHEN 5 THEN 'left_knee' WHEN 6 THEN 'right_foot' ELSE 'prop' END END AS role FROM (
   SELECT CAST(c_nationkey AS BIGINT) AS rig, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS BIGINT) AS joint, CAST(c_custkey AS BIGINT) AS n, c_name AS name FROM {customer}) c""",
+    derivations="""
+SELECT motion_id, CASE WHEN k % 6 = 0 THEN NULL ELSE before END AS parent_id, operation, CASE WHEN k % 6 = 0 THEN 'source' ELSE kind END AS kind, seed, CASE WHEN k % 6 = 0 THEN split END AS split, owner, CAST(floor(k / 6e0) AS BIGINT) AS take FROM (
+  SELECT CAST(o_orderkey AS BIGINT) AS motion_id, lag(CAST(o_orderkey AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS k, CAST(o_custkey AS BIGINT) AS owner,
+    o_orderpriority AS operation, CASE o_orderstatus WHEN 'F' THEN 'corruption' WHEN 'O' THEN 'repair' ELSE 'slice' END AS kind, CAST(o_orderkey % 1000 AS BIGINT) AS seed, CASE WHEN o_custkey % 10 < 7 THEN 'train' ELSE 'test' END AS split FROM {orders}) o""",
     notices="""
 SELECT stimulus AS item, session_id AS session, CASE WHEN rating <= 2 THEN 'NO' WHEN rating <= 4 THEN 'MAYBE' ELSE 'YES' END AS answer FROM {observations}""",
     ladder="""
