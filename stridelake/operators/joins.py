@@ -31,10 +31,6 @@ UNION ALL SELECT p.rater, p.stimulus, 'proxy' AS origin, count(*) AS n FROM {obs
     d6_matched_overlap="SELECT a.observation_id AS old_id, b.observation_id AS new_id, a.rating AS old_rating, b.rating AS new_rating FROM {observations} a JOIN {observations} b ON a.stimulus = b.stimulus AND a.rater = b.rater AND a.session_id = b.session_id AND a.trial < b.trial",
     d7_interval_frame_join="""
 SELECT s.motion_id, s.frame, count(e.start_) AS events FROM {series} s LEFT JOIN (SELECT motion_id, frame AS start_, frame + 5 AS stop_ FROM {series} WHERE x > 100) e ON s.motion_id = e.motion_id AND s.frame >= e.start_ AND s.frame < e.stop_ GROUP BY s.motion_id, s.frame""",
-    d8_resample_series=f"""
-SELECT motion_id, n AS frame, {num('x0 + (x1 - x0) * CASE WHEN t1 > t0 THEN (t - t0) / (t1 - t0) ELSE 0e0 END')} AS x FROM (
-  SELECT g.motion_id, g.n, g.t, max(a.t_s) AS t0, max_by(a.x, a.frame) AS x0, min_by(b.x, b.frame) AS x1, min(b.t_s) AS t1 FROM (SELECT m.motion_id, CAST(k.n AS BIGINT) AS n, m.last * k.n / 40e0 AS t FROM (SELECT motion_id, max(t_s) AS last FROM {{series}} GROUP BY motion_id) m JOIN {{numbers}} k ON k.n < 40) g
-  JOIN {{series}} a ON a.motion_id = g.motion_id AND a.t_s <= g.t JOIN {{series}} b ON b.motion_id = g.motion_id AND b.frame = a.frame + 1 WHERE b.t_s > g.t GROUP BY g.motion_id, g.n, g.t) s""",
     d9_retarget_by_role=f"""
 SELECT p.motion_id, p.frame, j.joint AS target_joint, {named(multiply(('cos(0.1e0 * j.depth)', 'sin(0.1e0 * j.depth)', '0e0', '0e0'), ('p.w', 'p.x', 'p.y', 'p.z')), 'w x y z')} FROM {{joints}} j JOIN (SELECT joint, parent, row_number() OVER (PARTITION BY parent ORDER BY joint) AS k FROM {{joints}}) s ON s.parent = j.parent AND s.k = 1 JOIN {{poses}} p ON p.joint = s.joint WHERE j.joint < 10""",
     d10_forward_kinematics=f"{WORLD} SELECT motion_id, frame, joint, {named(('aw', 'ax', 'ay', 'az', 'px', 'py', 'pz'), 'w x y z px py pz')} FROM world",

@@ -27,6 +27,9 @@ CLEAN = f"""SELECT motion_id, marker, min(start_) AS start_, max(stop_) AS stop_
   SELECT *, sum(CASE WHEN start_ - last_stop <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY motion_id, marker ORDER BY start_ ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM ({KEPT}) k) g GROUP BY motion_id, marker, grp"""
 EVENTS = f"""SELECT motion_id, marker % 2 AS side, 'heel_strike' AS kind, start_ AS frame FROM ({CLEAN}) c1 WHERE start_ > 0 UNION ALL SELECT motion_id, marker % 2 AS side, 'toe_off' AS kind, stop_ AS frame FROM ({CLEAN}) c2"""
 STRIKES = f"""SELECT motion_id, frame, max(side) AS side FROM (SELECT DISTINCT motion_id, side, frame FROM ({EVENTS}) ev WHERE kind = 'heel_strike') d GROUP BY motion_id, frame HAVING count(*) = 1"""
+#: Strikes with their phase: a left one first has 0, a right one half a turn; the other side adds half a turn, the same side a whole one.
+ANCHORS = f"""SELECT motion_id, frame, k, n, CAST(sum(again) OVER (PARTITION BY motion_id) AS BIGINT) AS repeats, 3.141592653589793e0 * sum(step) OVER (PARTITION BY motion_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS phase FROM (
+  SELECT motion_id, frame, row_number() OVER w AS k, count(*) OVER (PARTITION BY motion_id) AS n, CASE WHEN lag(side) OVER w = side THEN 1 ELSE 0 END AS again, CASE WHEN lag(side) OVER w IS NULL THEN side WHEN lag(side) OVER w = side THEN 2 ELSE 1 END AS step FROM ({STRIKES}) st WINDOW w AS (PARTITION BY motion_id ORDER BY frame)) s"""
 #: Each frame's energy, the energy up to it, and the whole.
 PREFIX = "(SELECT motion_id, frame, x * x AS e, sum(x * x) OVER (PARTITION BY motion_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(x * x) OVER (PARTITION BY motion_id) AS whole FROM {series}) p"
 
@@ -46,9 +49,14 @@ SELECT motion_id, frame, joint, CAST(1 - 2 * (flips % 2) AS BIGINT) AS sgn FROM
     f6_clean_mask=f"SELECT motion_id, marker, start_ AS frame_start, stop_ AS frame_stop FROM ({CLEAN}) c",
     f7_gait_events=f"SELECT motion_id, side, kind, frame, count(*) AS n FROM ({EVENTS}) e GROUP BY motion_id, side, kind, frame",
     f8_gait_phase=f"""
-SELECT motion_id, frame, {num('3.141592653589793e0 * turns')} AS phase FROM (
-  SELECT motion_id, frame, sum(CASE WHEN before IS NULL THEN 0 WHEN before = side THEN 2 ELSE 1 END) OVER (PARTITION BY motion_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS turns, count(*) OVER (PARTITION BY motion_id) AS n
-  FROM (SELECT *, lag(side) OVER (PARTITION BY motion_id ORDER BY frame) AS before FROM ({STRIKES}) st) s) p WHERE n >= 2""",
+SELECT motion_id, frame, valid, {num('phase')} AS phase, {num('sin(phase)')} AS phase_sin, {num('cos(phase)')} AS phase_cos, repeats, {num('structure')} AS structure_confidence FROM (
+  SELECT t.motion_id, t.frame, coalesce(c.n >= 2, false) AS valid, CASE WHEN c.n >= 2 THEN c.repeats ELSE 0 END AS repeats, CASE WHEN c.n >= 2 THEN least(1e0, (c.n - 1) / 3e0) * greatest(0e0, 1 - c.repeats / CAST(c.n - 1 AS DOUBLE)) ELSE 0e0 END AS structure,
+    CASE WHEN c.n IS NULL OR c.n < 2 THEN 0e0 WHEN t.frame < c.f1 THEN c.p1 + (t.frame - c.f1) * (c.p2 - c.p1) / (c.f2 - c.f1) WHEN t.frame >= c.f9 THEN c.p9 + (t.frame - c.f9) * (c.p9 - c.p8) / (c.f9 - c.f8)
+      ELSE t.pa + (t.frame - t.fa) * (t.pb - t.pa) / (t.fb - t.fa) END AS phase FROM (
+    SELECT f.motion_id, f.frame, max(a.frame) OVER upto AS fa, max(a.phase) OVER upto AS pa, min(a.frame) OVER beyond AS fb, min(a.phase) OVER beyond AS pb FROM (SELECT DISTINCT motion_id, frame FROM {{contacts}}) f LEFT JOIN ({ANCHORS}) a ON a.motion_id = f.motion_id AND a.frame = f.frame
+    WINDOW upto AS (PARTITION BY f.motion_id ORDER BY f.frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), beyond AS (PARTITION BY f.motion_id ORDER BY f.frame ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) t
+  LEFT JOIN (SELECT motion_id, max(n) AS n, max(repeats) AS repeats, min(frame) AS f1, min(phase) AS p1, min(CASE WHEN k = 2 THEN frame END) AS f2, min(CASE WHEN k = 2 THEN phase END) AS p2, max(frame) AS f9, max(phase) AS p9, max(CASE WHEN k = n - 1 THEN frame END) AS f8, max(CASE WHEN k = n - 1 THEN phase END) AS p8 FROM ({ANCHORS}) c0 GROUP BY motion_id) c
+  ON c.motion_id = t.motion_id) p""",
     f9_robust_outliers=f"""
 SELECT motion_id, frame, {num('x')} AS x, {num('threshold')} AS threshold, {num('CASE WHEN threshold < 0.1e0 THEN 0e0 ELSE x / threshold END')} AS ratio FROM (
   SELECT s.motion_id, s.frame, s.x, m.med + greatest(6 * 1.4826e0 * m.mad, 1e-3) AS threshold FROM {{series}} s JOIN (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.operators import calibration, detectability, extend, fits, graphs, kinematics, latent, lineage
+from stridelake.operators import calibration, detectability, extend, fits, graphs, kinematics, latent, lineage, resample
 from stridelake.plans import fixtures
 from stridelake.sources import bvh, logs, stores
 from stridelake.sources.scratch import folder
@@ -127,6 +127,18 @@ def i25_padded_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.padded(poses, clips, nodes).select("batch", "motion_id", "frame", "place", "node_key", "part", "frame_mask", "joint_mask", *[F.round(c, 6).alias(c) for c in "wxyz"])
 
 
+def d8_resample_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's values on an hourly grid."""
+    return resample.resampled_series(_view(spark, sf_dir, "series"), 1 / 3600).select("motion_id", "frame", F.round("x", 6).alias("x"))
+
+
+def d8_resample_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips of 60 frames a second at 24."""
+    poses, roots = resample.resampled_motion(_view(spark, sf_dir, "poses"), _view(spark, sf_dir, "roots"), 60.0, 24.0)
+    moved = roots.select("motion_id", "frame", *[F.round(c, 6).alias(f"root_{c}") for c in "xyz"])
+    return poses.select("motion_id", "frame", "joint", *[F.round(c, 6).alias(c) for c in "wxyz"]).join(moved, ["motion_id", "frame"])
+
+
 def i20_lineage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.steps(lineage.lineage(_view(spark, sf_dir, "derivations")))
 
@@ -211,7 +223,7 @@ def u3_score_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("place <= 10")
 
 
-QUERIES = {f.__name__: f for f in (a1_bvh_ingest, a2_clip_tables, a6_report_split_sink, a7_resumable_append, b19_inherited_parts, i20_lineage_log, i25_padded_graphs, s2_authenticated_answers, s2_stream_authentication, d10_forward_kinematics, d11_marker_positions, a4_jsonl_source, a5_jsonl_sink, a9_log_prefix_freeze, c13_leakage_whitelist, s1_stream_observations, s4_stream_contacts, s5_stream_staircase, e16_notice_rates, e53_psychometric_fit, e54_ordinal_calibration, e54_held_out_metrics, e55_latent_detectability, e56_latent_quality, g6_balanced_sample, g7_stratified_overlap, g9_query_schedule, u1_register_metric, u2_register_mechanism, u3_score_callback)}
+QUERIES = {f.__name__: f for f in (a1_bvh_ingest, a2_clip_tables, a6_report_split_sink, a7_resumable_append, b19_inherited_parts, d8_resample_series, d8_resample_motion, i20_lineage_log, i25_padded_graphs, s2_authenticated_answers, s2_stream_authentication, d10_forward_kinematics, d11_marker_positions, a4_jsonl_source, a5_jsonl_sink, a9_log_prefix_freeze, c13_leakage_whitelist, s1_stream_observations, s4_stream_contacts, s5_stream_staircase, e16_notice_rates, e53_psychometric_fit, e54_ordinal_calibration, e54_held_out_metrics, e55_latent_detectability, e56_latent_quality, g6_balanced_sample, g7_stratified_overlap, g9_query_schedule, u1_register_metric, u2_register_mechanism, u3_score_callback)}
 
 #: What each planted fault must lead to.
 VERDICTS = """SELECT concat('r', CAST(user_id % 20 AS VARCHAR(20))) AS rater, CAST(event_id AS BIGINT) AS trial, CASE CAST(event_id % 8 AS BIGINT) WHEN 0 THEN 'not served' WHEN 1 THEN 'incomplete' WHEN 2 THEN 'duplicate answer' WHEN 4 THEN 'order' WHEN 5 THEN 'wrong trial' ELSE 'authentic' END AS verdict FROM {events}
@@ -232,6 +244,9 @@ TEXTS = {
     "a4_jsonl_source": "SELECT observation_id, rater, task, rating FROM {observations}",
     "a5_jsonl_sink": """SELECT concat('{"observation_id":', CAST(observation_id AS VARCHAR(20)), ',"rating":', CAST(rating AS VARCHAR(20)), ',"task":"', task, '"}') AS line FROM {observations}""",
     "b19_inherited_parts": WALKS,
+    "d8_resample_series": """SELECT g.motion_id, g.n AS frame, round(arg_max(a.x, a.frame) + coalesce((arg_max(b.x, a.frame) - arg_max(a.x, a.frame)) * (max(g.t) - arg_max(a.t_s, a.frame)) / (arg_max(b.t_s, a.frame) - arg_max(a.t_s, a.frame)), 0), 6) AS x FROM (
+  SELECT motion_id, n, CAST(n AS DOUBLE) / (1e0 / 3600) AS t FROM (SELECT motion_id, unnest(range(CAST(floor(max(t_s) * (1e0 / 3600) + 1e-9) AS BIGINT) + 1)) AS n FROM {series} GROUP BY motion_id) m) g
+JOIN {series} a ON a.motion_id = g.motion_id AND a.t_s <= g.t LEFT JOIN {series} b ON b.motion_id = a.motion_id AND b.frame = a.frame + 1 GROUP BY g.motion_id, g.n""",
     "i20_lineage_log": """SELECT d.motion_id, s.motion_id AS source_id, s.split, 'ok' AS status, row_number() OVER (PARTITION BY d.motion_id ORDER BY a.motion_id) - 1 AS step, a.motion_id AS ancestor_id, a.operation, a.kind, a.seed
 FROM {derivations} d JOIN {derivations} a ON a.owner = d.owner AND a.take = d.take AND a.motion_id <= d.motion_id JOIN {derivations} s ON s.owner = d.owner AND s.take = d.take AND s.kind = 'source'""",
     "s2_authenticated_answers": VERDICTS,
