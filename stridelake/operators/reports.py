@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from stridelake.functions.quaternions import A, B, conjugate, log_vector, multiply, num, raw
 from stridelake.operators.base import operators
+from stridelake.operators.rotations import COORDINATES
 from stridelake.operators.windows import CLEAN, EVENTS, FD, HYSTERESIS
 
 SLIDES = f"""(SELECT motion_id, marker, start_, max(frame) + 1 AS stop_, sum(step) AS slip FROM (
@@ -35,6 +36,10 @@ def rounded(x: str, digits: int) -> str:
     return f"round({x}, {digits}) + 0e0"
 
 
+#: A limit counts if it is switched on, has all its bounds, and both it and the joint's axes are trusted.
+VALID = "valid AND lo0 + hi0 + lo1 + hi1 + lo2 + hi2 IS NOT NULL AND confidence > 0 AND axis_confidence > 0"
+#: Degrees outside the bounds of each channel and of all, for joints whose limit counts.
+BEYOND = f"(SELECT motion_id, frame, joint, representation, trust, v0, v1, v2, greatest(v0, v1, v2) AS beyond FROM (SELECT *, {', '.join(f'greatest(0e0, lo{k} - c{k}, c{k} - hi{k}) AS v{k}' for k in range(3))} FROM {COORDINATES} c WHERE valid) o)"
 #: The rotation that repairs each joint: the logarithm of the turn from the corrupted pose to the clean one.
 RESIDUAL = f"(SELECT motion_id, frame, joint, {raw(log_vector(('dw', 'dx', 'dy', 'dz')), 'ex ey ez')} FROM (SELECT motion_id, frame, joint, {raw(multiply(conjugate(A), B), 'dw dx dy dz')} FROM (SELECT p.motion_id, p.frame, p.joint, k.w AS aw, k.x AS ax, k.y AS ay, k.z AS az, p.w AS bw, p.x AS bx, p.y AS by_, p.z AS bz FROM {{poses}} p JOIN {{posed}} k ON p.motion_id = k.motion_id AND p.frame = k.frame AND p.joint = k.joint) b) d)"
 ENERGY = f"(SELECT motion_id, frame, joint, ex * ex + ey * ey + ez * ez AS energy FROM {VELOCITY} v)"
@@ -68,8 +73,14 @@ SELECT motion_id, joint, CASE WHEN stop_ - start_ > greatest(5, CAST(floor(frame
 SELECT motion_id, count(*) AS strikes, {num('avg(60e0 * 60 / gap)')} AS cadence, {num('avg(gap / 60e0)')} AS step_time, {num('avg(CASE WHEN side <> before THEN 1e0 ELSE 0e0 END)')} AS alternation FROM (
   SELECT motion_id, side, frame - lag(frame) OVER w AS gap, lag(side) OVER w AS before FROM (SELECT DISTINCT motion_id, side, frame FROM ({EVENTS}) e WHERE kind = 'heel_strike') d WINDOW w AS (PARTITION BY motion_id ORDER BY frame, side)) s WHERE gap > 0 GROUP BY motion_id""",
     e8_joint_limits=f"""
-SELECT p.motion_id, l.joint, count(*) AS frames, {num('max(greatest(0e0, l.lo - p.angle, p.angle - l.hi))')} AS worst, count_if(p.angle < l.lo OR p.angle > l.hi) AS outside FROM (SELECT motion_id, joint, degrees(2 * atan2(y, w)) AS angle FROM {{poses}}) p
-JOIN (SELECT CAST(n AS BIGINT) AS joint, -60e0 + 10 * n AS lo, 60e0 + 10 * n AS hi FROM {{numbers}} WHERE n < 3) l ON p.joint = l.joint GROUP BY p.motion_id, l.joint""",
+SELECT t.motion_id, {num('v.worst')} AS degrees_beyond, {num('coalesce(v.outside, 0e0)')} AS violating_fraction, {num('coalesce(v.integrated, 0e0)')} AS degree_seconds, l.configured, l.valid_joints, {num('l.valid_joints / CAST(t.joints AS DOUBLE)')} AS coverage, {num('CASE WHEN l.valid_joints > 0 THEN l.trust * l.valid_joints / l.configured ELSE 0e0 END')} AS confidence
+FROM (SELECT motion_id, count(DISTINCT joint) AS joints FROM {{poses}} GROUP BY motion_id) t CROSS JOIN (SELECT count(*) AS configured, count_if({VALID}) AS valid_joints, avg(CASE WHEN {VALID} THEN confidence * axis_confidence END) AS trust FROM {{limits}}) l
+LEFT JOIN (SELECT motion_id, max(beyond) AS worst, avg(CASE WHEN beyond > 1e-6 THEN 1e0 ELSE 0e0 END) AS outside, sum(beyond) / 60e0 AS integrated FROM {BEYOND} b GROUP BY motion_id) v ON v.motion_id = t.motion_id""",
+    e8_limit_events=f"""
+SELECT motion_id, joint, representation, min(frame) AS start_, max(frame) + 1 AS stop_, {num('max(beyond)')} AS severity, {num('max(trust)')} AS confidence, min(CASE WHEN beyond = peak THEN frame END) AS peak_frame, min(CASE WHEN beyond = peak THEN frame * 3 + CASE WHEN v0 = beyond THEN 0 WHEN v1 = beyond THEN 1 ELSE 2 END END) % 3 AS peak_channel, {num('sum(beyond) / 60e0')} AS degree_seconds FROM (
+  SELECT *, max(beyond) OVER (PARTITION BY motion_id, joint, run) AS peak FROM (
+    SELECT *, sum(change) OVER (PARTITION BY motion_id, joint ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (
+      SELECT *, CASE WHEN lag(beyond > 1e-6) OVER (PARTITION BY motion_id, joint ORDER BY frame) = (beyond > 1e-6) THEN 0 ELSE 1 END AS change FROM {BEYOND} b) c) r) p WHERE peak > 1e-6 GROUP BY motion_id, joint, representation, run""",
     e9_normalization_fit=f"SELECT channel, count(*) AS n, {num('avg(v)')} AS mean, {num('greatest(1e-6, sqrt(greatest(0e0, avg(v * v) - avg(v) * avg(v))))')} AS scale FROM (SELECT 'x' AS channel, x AS v FROM {{roots}} WHERE motion_id % 10 < 7 UNION ALL SELECT 'y' AS channel, y AS v FROM {{roots}} WHERE motion_id % 10 < 7 UNION ALL SELECT 'z' AS channel, z AS v FROM {{roots}} WHERE motion_id % 10 < 7) c GROUP BY channel",
     e10_normalization_apply=f"SELECT r.motion_id, r.frame, {num('(r.x - s.mx) / greatest(1e-6, s.sx)')} AS x, {num('(r.y - s.my) / greatest(1e-6, s.sy)')} AS y, {num('r.z')} AS z FROM {{roots}} r CROSS JOIN (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM {{roots}} WHERE motion_id % 10 < 7) s",
     e11_audit_breakdowns=f"""

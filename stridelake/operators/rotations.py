@@ -19,6 +19,18 @@ SLERP = f"""SELECT {KEY}, d, t, sw * aw + tw * sgn * bw AS w, sw * ax + tw * sgn
     SELECT *, least(1e0, abs({dot(A, B)})) AS d, CASE WHEN {dot(A, B)} < 0 THEN -1 ELSE 1 END AS sgn, 0.25e0 * (1 + joint % 5) AS t FROM {{steps}}) a) b"""
 MATRIX = f"(SELECT {KEY}, {raw(matrix(Q), 'a b c d e f g h i')} FROM {{poses}}) m"
 
+#: The turn away from rest, w not negative, and from it intrinsic X, Y, Z angles or swing about x and z and twist about y, in degrees.
+RELATIVE = f"""(SELECT motion_id, frame, joint, representation, lo0, hi0, lo1, hi1, lo2, hi2, trust, valid, {raw(tuple(f'(CASE WHEN w < 0 THEN -1 ELSE 1 END) * {c} / {norm(Q)}' for c in Q), 'w x y z')} FROM (
+  SELECT p.motion_id, p.frame, p.joint, l.representation, l.lo0, l.hi0, l.lo1, l.hi1, l.lo2, l.hi2, l.confidence * l.axis_confidence AS trust,
+    coalesce(l.valid AND l.lo0 + l.hi0 + l.lo1 + l.hi1 + l.lo2 + l.hi2 IS NOT NULL AND l.confidence > 0 AND l.axis_confidence > 0, false) AS valid, {raw(multiply(conjugate(('l.w', 'l.x', 'l.y', 'l.z')), ('p.w', 'p.x', 'p.y', 'p.z')), 'w x y z')}
+  FROM {{poses}} p JOIN {{limits}} l ON l.joint = p.joint) r)"""
+_TWIST = ("tw", "0e0", "(-ty)", "0e0")
+_EULER = ("degrees(atan2(-f, i))", "degrees(asin(greatest(-1e0, least(1e0, c))))", "degrees(atan2(-b, a))")
+_SWING = log_vector(("sw", "sx", "sy", "sz"))
+COORDINATES = f"""(SELECT motion_id, frame, joint, representation, lo0, hi0, lo1, hi1, lo2, hi2, trust, valid, {', '.join(f"CASE WHEN representation = 'euler_xyz' THEN {e} ELSE {t} END AS c{k}" for k, (e, t) in enumerate(zip(_EULER, (f'degrees({_SWING[0]})', f'degrees({_SWING[2]})', 'degrees(2 * atan2(ty, tw))'), strict=True)))} FROM (
+  SELECT *, {raw(matrix(Q), 'a b c d e f g h i')}, {raw(multiply(Q, _TWIST), 'sw sx sy sz')} FROM (
+    SELECT *, CASE WHEN sqrt(w * w + y * y) < 1e-8 THEN 1e0 ELSE w / sqrt(w * w + y * y) END AS tw, CASE WHEN sqrt(w * w + y * y) < 1e-8 THEN 0e0 ELSE y / sqrt(w * w + y * y) END AS ty FROM {RELATIVE} q) t) m)"""
+
 OPERATORS = operators(
     b1_quat_normalize=f"SELECT {KEY}, CASE WHEN {norm(Q)} < 1e-8 THEN NULL ELSE {num('w / ' + norm(Q))} END AS w, {named([f'{c} / nullif({norm(Q)}, 0)' for c in Q[1:]], 'x y z')} FROM {SCALED}",
     b2_quat_inverse=f"SELECT {KEY}, {named(conjugate(Q), 'cw cx cy cz')}, {named([f'{c} / {dot(Q, Q)}' for c in conjugate(Q)], 'iw ix iy iz')} FROM {SCALED}",
@@ -48,9 +60,7 @@ SELECT {KEY}, {named('a d g b e h'.split(), 'r0 r1 r2 r3 r4 r5')}, {named([f'x{k
   SELECT *, sqrt(y0 * y0 + y1 * y1 + y2 * y2) AS yn FROM (
     SELECT *, b - p * x0 AS y0, e - p * x1 AS y1, h - p * x2 AS y2 FROM (
       SELECT *, x0 * b + x1 * e + x2 * h AS p FROM (SELECT *, a / sqrt(a * a + d * d + g * g) AS x0, d / sqrt(a * a + d * d + g * g) AS x1, g / sqrt(a * a + d * d + g * g) AS x2 FROM {MATRIX}) n) o) q) r""",
-    b13_limit_coordinates=f"""
-SELECT {KEY}, {named(['degrees(atan2(-f, i))', 'degrees(asin(greatest(-1e0, least(1e0, c))))', 'degrees(atan2(-b, a))'], 'euler_x euler_y euler_z')}, {named(['degrees(2 * atan2(y, w))'], 'twist_y')}
-FROM (SELECT {KEY}, w, y, {raw(matrix(Q), 'a b c d e f g h i')} FROM {{poses}}) m""",
+    b13_limit_coordinates=f"SELECT motion_id, frame, joint, representation, {named(('c0', 'c1', 'c2'), 'first_deg second_deg third_deg')} FROM {COORDINATES} c",
     b14_axis_remap=f"SELECT motion_id, frame, {named(['0.01e0 * x', '0.01e0 * z', '-0.01e0 * y'], 'x y z')}, {named(['100e0 * (0.01e0 * x)', '-100e0 * (-0.01e0 * y)', '100e0 * (0.01e0 * z)'], 'bx by_ bz')} FROM {{roots}}",
     b15_plane_split=f"""
 SELECT motion_id, frame, {named(['height', 'tx', 'ty', 'tz', 'sqrt(tx * tx + ty * ty + tz * tz)'], 'height tx ty tz tangential')} FROM (

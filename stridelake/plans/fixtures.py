@@ -41,6 +41,9 @@ SELECT CAST(l_suppkey AS BIGINT) AS motion_id, CAST(l_linenumber % 4 AS BIGINT)
     candidate="""
 SELECT motion_id, marker, frame, height + 0.04e0 * e AS height, speed * (1 + 0.5e0 * e) AS speed FROM (
   SELECT *, CASE WHEN frame % 16 BETWEEN 4 AND 11 THEN (frame % 16 - 3) * (12 - frame % 16) / 20e0 ELSE 0e0 END AS e FROM {contacts}) c""",
+    limits="""
+SELECT joint, CASE WHEN joint % 2 = 0 THEN 'euler_xyz' ELSE 'swing_twist' END AS representation, w, x, y, z, -60e0 + joint AS lo0, 50e0 + joint AS hi0, CASE WHEN joint <> 7 THEN -40e0 END AS lo1, 45e0 AS hi1, -70e0 AS lo2, 80e0 - joint AS hi2, joint % 5 <> 4 AS valid,
+  CASE WHEN joint = 3 THEN 0e0 ELSE 0.5e0 + joint / 40e0 END AS confidence, CASE WHEN joint % 3 = 0 THEN 0.25e0 ELSE 1e0 END AS axis_confidence FROM {poses} WHERE motion_id = 0 AND frame = 0""",
     repairs="""
 SELECT c.motion_id, 'height' AS metric, round(avg(k.height), 9) AS before, round(avg(k.smooth), 9) AS after, round(avg(c.height), 9) AS clean FROM {contacts} c JOIN (
   SELECT motion_id, marker, frame, height, (height + coalesce(lag(height, 4) OVER w, height) + coalesce(lead(height, 4) OVER w, height) + coalesce(lag(height, 8) OVER w, height) + coalesce(lead(height, 8) OVER w, height)) / 5

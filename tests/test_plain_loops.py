@@ -228,3 +228,63 @@ def test_repair_effect(spark):
     rows = [(1, "slip", 2.0, 1.0, 0.5), (2, "slip", 2.0, 0.55, 0.5), (3, "slip", 0.5, 0.5, 0.5), (4, "slip", 2.0, 3.0, 0.5), (5, "slip", 1.0, 0.9995, 2.0)]
     got = {r["motion_id"]: (r["repaired"], r["meaningful"], r["near_clean"]) for r in reports.OPERATORS["e52_repair_effect"](spark, repairs=spark.createDataFrame(rows, "motion_id long, metric string, before double, after double, clean double")).collect()}
     assert got == {1: (round(1 / 1.5, 6), True, False), 2: (round(1.45 / 1.5, 6), True, True), 3: (None, False, True), 4: (round(-1 / 1.5, 6), False, False), 5: (None, False, False)}
+
+
+def product(a, b):
+    return np.array([a[0] * b[0] - np.dot(a[1:], b[1:]), *(a[0] * b[1:] + b[0] * a[1:] + np.cross(a[1:], b[1:]))])
+
+
+def axis_turn(axis, degrees_):
+    half = math.radians(degrees_) / 2
+    q = np.zeros(4)
+    q[0], q[1 + "xyz".index(axis)] = math.cos(half), math.sin(half)
+    return q
+
+
+def test_joint_limits(spark):
+    """Poses are built from the angles that the coordinates must give back."""
+    draw = random.Random(9)
+    schema = "joint long, representation string, w double, x double, y double, z double, lo0 double, hi0 double, lo1 double, hi1 double, lo2 double, hi2 double, valid boolean, confidence double, axis_confidence double"
+    limits, rows, angle, beyond = [], [], {}, {}
+    for joint in range(6):
+        rest = product(axis_turn("x", 30 * joint), axis_turn("z", 50))
+        kind = "euler_xyz" if joint % 2 else "swing_twist"
+        bounds = [-20.0, 25.0, None if joint == 4 else -15.0, 18.0, -30.0, 30.0]
+        limits.append((joint, kind, *map(float, rest), *bounds, joint != 5, 0.8, 0.5 if joint else 1.0))
+        for f in range(40):
+            a = [draw.uniform(-60, 60) if 10 < f < 30 else draw.uniform(-10, 10) for _ in range(3)]
+            if kind == "euler_xyz":
+                q = product(product(axis_turn("x", a[0]), axis_turn("y", a[1])), axis_turn("z", a[2]))
+            else:
+                v = np.radians([a[0], 0, a[1]])
+                n = np.linalg.norm(v)
+                q = product(np.array([math.cos(n / 2), *(math.sin(n / 2) * v / n)]), axis_turn("y", a[2]))
+            angle[joint, f] = a
+            q = product(rest, q) * draw.choice([1, -1]) * draw.choice([1, 2.5])
+            rows.append((1, f, joint, *map(float, q)))
+            if joint < 4:
+                beyond[joint, f] = [max(0, bounds[2 * k] - a[k], a[k] - bounds[2 * k + 1]) for k in range(3)]
+    poses = spark.createDataFrame(rows, "motion_id long, frame long, joint long, w double, x double, y double, z double")
+    given = {"poses": poses, "limits": spark.createDataFrame(limits, schema)}
+    for r in rotations.OPERATORS["b13_limit_coordinates"](spark, **given).collect():
+        assert np.allclose([r["first_deg"], r["second_deg"], r["third_deg"]], angle[r["joint"], r["frame"]], atol=1e-5)
+    worst = {k: max(v) for k, v in beyond.items()}
+    got = reports.OPERATORS["e8_joint_limits"](spark, **given).first()
+    want = [max(worst.values()), np.mean([v > 1e-6 for v in worst.values()]), sum(worst.values()) / 60, 6, 4, 4 / 6, np.mean([0.8, 0.4, 0.4, 0.4]) * 4 / 6]
+    assert np.allclose(list(got)[1:], want, atol=1e-4)
+    events = []
+    for joint in range(4):
+        start = None
+        for f in range(41):
+            over = f < 40 and worst[joint, f] > 1e-6
+            if over and start is None:
+                start = f
+            if not over and start is not None:
+                part = np.array([beyond[joint, k] for k in range(start, f)])
+                peak = int(part.argmax())
+                events.append((joint, start, f, part.max(), start + peak // 3, peak % 3, part.max(1).sum() / 60))
+                start = None
+    found = sorted((r["joint"], r["start_"], r["stop_"], r["severity"], r["peak_frame"], r["peak_channel"], r["degree_seconds"]) for r in reports.OPERATORS["e8_limit_events"](spark, **given).collect())
+    assert np.allclose(found, sorted(events), atol=1e-4) and len(found) > 4
+    none = reports.OPERATORS["e8_joint_limits"](spark, poses=poses, limits=given["limits"].where("joint > 3")).first()
+    assert none["degrees_beyond"] is None and none["confidence"] == 0 and none["valid_joints"] == 0
