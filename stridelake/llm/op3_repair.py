@@ -28,36 +28,64 @@ BLOCK_IDS = 1 << 20
 BLOCK_SCHEMA = "part long, block long, n_ids long, doc_ids binary, null_ids binary, doc_lens binary, rules binary, rule_lens binary, symbols binary"
 
 
-def replace_pairs(ids: np.ndarray, rounds: int = 6, per_round: int = 4096, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, rules (left, right) and expansion lengths. In each round the most frequent pairs become rules at once;
-    where two of their occurrences overlap, the one that starts first is replaced."""
-    seq, rules, lens = ids.astype(np.int64), [], np.ones(0, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        keys = (seq[:-1] << 20) | seq[1:]
+#: Slots of the hash by which a round counts pairs before it sorts those that may be frequent.
+SLOT_BITS = 20
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys.view(np.uint64) * _MIX) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+
+def replace_pairs(ids: np.ndarray, per_round: int = 1 << 14, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, rules (left, right) and expansion lengths. Rounds go on until a round over all pairs finds none that can be replaced
+    `least` / 2 times among those that occur `least` times.
+
+    In each round the most frequent pairs, up to per_round, become rules at once; where occurrences overlap, the one that starts
+    first is replaced. Counts of older pairs only fall, so a round looks at the pairs with a symbol that the last one made; when these
+    give nothing more, a round over all pairs follows.
+    """
+    seq, rules, lens, fresh = ids.astype(np.int64), [], np.ones(0, np.int64), 0
+    while len(seq) > 1:
+        new = seq >= fresh
+        place = np.flatnonzero(new[:-1] | new[1:])
+        keys = (seq[place] << 20) | seq[place + 1]
+        slot = _slots(keys)
+        # A slot counts all its pairs, so no pair is more frequent than its slot; those of frequent slots are counted exactly.
+        often_slot = (np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot]
+        place, keys, slot = place[often_slot], keys[often_slot], slot[often_slot]
         ordered = np.sort(keys)
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
         counts = np.diff(np.concatenate([first, [len(ordered)]]))
         often = np.flatnonzero(counts >= least)
-        if not len(often):
-            break
         if len(often) > per_round:
             often = np.sort(often[np.argsort(-counts[often], kind="stable")[:per_round]])
         chosen = ordered[first[often]]
-        rank = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
-        hit = chosen[rank] == keys
-        at = np.flatnonzero(hit)
-        run_start = np.concatenate([[True], np.diff(at) > 1])
-        offset = np.arange(len(at)) - np.maximum.accumulate(np.where(run_start, np.arange(len(at)), 0))
-        at = at[offset % 2 == 0]
-        used, new = np.unique(rank[at], return_inverse=True)
+        rank_of = np.full(1 << SLOT_BITS, -1, np.int32)
+        order = np.argsort(counts[often], kind="stable")  # of two pairs in one slot the more frequent one is replaced now
+        rank_of[_slots(chosen)[order]] = order
+        rank = rank_of[slot]
+        hit = rank >= 0
+        hit[hit] = chosen[rank[hit]] == keys[hit]
+        at, rank = place[hit], rank[hit]
+        starts = np.concatenate([[True], np.diff(at) > 1])[: len(at)]
+        offset = np.arange(len(at)) - np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
+        at, rank = at[offset % 2 == 0], rank[offset % 2 == 0]
+        enough = np.bincount(rank, minlength=len(chosen)) >= least // 2
+        at, rank = at[enough[rank]], rank[enough[rank]]
+        if not len(at):
+            if not fresh:
+                break
+            fresh = 0
+            continue
+        used = np.flatnonzero(enough)
+        number = np.cumsum(enough) - 1
         left, right = chosen[used] >> 20, chosen[used] & ((1 << 20) - 1)
         length = lambda s: np.where(s < FIRST_RULE, 1, lens[np.maximum(s - FIRST_RULE, 0)] if len(lens) else 1)
-        base = FIRST_RULE + len(lens)
+        fresh = FIRST_RULE + len(lens)
         rules.append(np.stack([left, right], 1))
         lens = np.concatenate([lens, length(left) + length(right)])
-        seq[at] = base + new
+        seq[at] = fresh + number[rank]
         kept = np.ones(len(seq), bool)
         kept[at + 1] = False
         seq = seq[kept]

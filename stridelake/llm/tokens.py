@@ -8,6 +8,7 @@ Texts with white space on which libraries disagree are encoded whole.
 
 from __future__ import annotations
 
+import os
 import re
 from operator import itemgetter
 
@@ -18,6 +19,9 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 ODD_RE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: The same among the ASCII characters.
 ODD_ASCII = "\x1c\x1d\x1e\x1f"
+SPACED_RE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Marks before a piece that no space leads; a text that holds one of them is encoded whole.
+FIRST, LINE = "\x1c", "\x1d"
 #: Pieces that a worker keeps.
 CACHED = 800_000
 #: New pieces that are encoded as one text.
@@ -57,13 +61,25 @@ class Encoder:
     def __init__(self, path: str, with_spaces: bool):
         from tokenizers import Tokenizer
 
+        if with_spaces:  # a worker has one core; more threads of the library only wait for each other
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall if with_spaces else str.split
+        self.split = self._led if with_spaces else str.split
         self.with_spaces = with_spaces
         self.index, self.flat = _Index(), np.zeros(0, np.uint32)
         self.lengths, self.offsets = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    @staticmethod
+    def _led(text: str) -> list[str]:
+        """Pieces that start where the tokenizer's own do: FIRST or LINE before a text's first piece or a line's, else a space is meant.
+
+        Between single spaces and single line ends that is a plain cut; texts with other white space are cut by the pattern.
+        """
+        if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text:
+            return [x[1:] if x[0] == " " else FIRST + x for x in SPACED_RE.findall(text)]
+        return (FIRST + text.replace("\n", f" {LINE}")).split(" ")
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -71,7 +87,9 @@ class Encoder:
         """Encodes the new pieces. Those that white space parts from others (all of them where it is dropped) go many to a text:
         the offsets of the tokens tell where a piece ends."""
         new = self.index.new
-        alone = [k for k, piece in enumerate(new) if piece[0] != " " or piece.isspace()] if self.with_spaces else []
+        if self.with_spaces:
+            new = [x[1:] if x[:1] == FIRST else "\n" + x[1:] if x[:1] == LINE else " " + x for x in new]
+        alone = [k for k, piece in enumerate(new) if piece[:1] != " " or piece.isspace()] if self.with_spaces else []
         n = np.zeros(len(new), np.int64)
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([new[k] for k in alone], add_special_tokens=False)]
         n[alone] = [len(x) for x in ids]

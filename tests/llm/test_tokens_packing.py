@@ -1,5 +1,6 @@
 """Re-Pair and packing against brute force; quality statistics against a plain loop."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -171,3 +172,32 @@ def test_quality_without_labels(spark, docs):
     got = docs.select("doc_id", op8_quality.judged(F.col("text"), trees).alias("q")).select("q.*").collect()
     assert len(got) == len(ROWS) and all(r["kept"] == (not r["base_failed"]) for r in got)
     assert docs.limit(0).select(op8_quality.judged(F.col("text"), None).alias("q")).count() == 0
+
+
+def test_pieces_of_any_white_space():
+    """Texts of single spaces and line ends are cut plainly, others by the pattern; both encode as the whole text does."""
+    draw = random.Random(12)
+    parts = ["a", "The", "é", "don't", "12", "...", "x" * 30, "\U0001f600"]
+    texts = ["".join(draw.choice(parts) + draw.choice(gaps) for _ in range(draw.randint(0, 12))) for gaps in ([" "], [" ", "\n"], [" ", "\n", "", "\n\n", "  ", "\t", " \n", "\n ", "\r\n", "\x0b"]) for _ in range(150)]
+    texts += ["", " ", "\n", " a", "\na", "a\n", "a ", "\n\n\n b", "a\x1cb", "\x1d"]
+    encoder = tokens.Encoder(tokens.public_path(tokens.BYTE_BPE), True)
+    ids, n = encoder.encode(texts)
+    parts, at = [], 0
+    for size in n.tolist():
+        parts.append(ids[at : at + size].tolist())
+        at += size
+    assert parts == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_repair_until_no_pair_is_left():
+    draw = np.random.default_rng(2)
+    ids = np.concatenate([np.tile(draw.integers(0, 50, 40), 200), draw.integers(0, 300, 20_000), np.full(5000, 7)]).astype(np.uint32)
+    symbols, rules, lens = op3_repair.replace_pairs(ids)
+    assert (op3_repair.expand(symbols, rules) == ids).all() and len(symbols) < 0.7 * len(ids)
+    keys = (symbols[:-1].astype(np.int64) << 20) | symbols[1:]
+    pairs, counts = np.unique(keys[keys >> 20 != keys & ((1 << 20) - 1)], return_counts=True)
+    assert counts.max() < 48  # those that are left overlap
+    assert [len(op3_repair.expand(np.array([op3_repair.FIRST_RULE + k], np.uint32), rules)) for k in range(len(rules))] == lens.tolist()
+    for tiny in ([], [1], [1, 1], [3] * 100):
+        s, r, _ = op3_repair.replace_pairs(np.array(tiny, np.uint32))
+        assert op3_repair.expand(s, r).tolist() == tiny
