@@ -60,7 +60,7 @@ def psychometric(ladder: DataFrame, ridge: float = 0.02) -> DataFrame:
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("level")
         x, n, y = (rows[c].to_numpy(float) for c in ("level", "n", "yes"))
-        found = [None, None, None, "insufficient_repeated_crossing_data"]
+        found = [None, None, None, "not enough evidence"]
         span = x[-1] - x[0]
         if len(x) >= 4 and n.sum() >= 24 and n.min() >= 3 and y[0] / n[0] < 0.5 < y[-1] / n[-1]:
             design, w = np.stack([np.ones(len(x)), (x - x[0]) / span], 1), np.zeros(2)
@@ -77,7 +77,7 @@ def psychometric(ladder: DataFrame, ridge: float = 0.02) -> DataFrame:
             threshold = x[0] - span * w[0] / w[1] if w[1] > 0 else np.nan
             found[0] = w[1] / span
             if x[0] <= threshold <= x[-1]:
-                found = [found[0], threshold, span * math.log(3) / w[1], "exploratory_psychometric_fit"]
+                found = [found[0], threshold, span * math.log(3) / w[1], "ok"]
         return pd.DataFrame([[rows["ladder"].iloc[0], int(n.sum()), *found]], columns=["ladder", "n", "slope", "threshold", "jnd", "status"])
 
     return cells.groupBy("ladder").applyInPandas(fit, "ladder long, n long, slope double, threshold double, jnd double, status string")
@@ -115,12 +115,16 @@ def stratified_overlap(observations: DataFrame, count: int = 40) -> DataFrame:
 
 
 def query_schedule(observations: DataFrame, size: int = 12, per_family: int = 4, spacing: int = 2) -> DataFrame:
-    """For each rater, a schedule of the least-seen items with caps on families and a gap between items of one family."""
+    """For each rater, a schedule of the least-seen items with caps on families and a gap between items of one family.
+
+    A family's items enter in their order and no more than per_family of them can, so the first per_family of each family are all that a
+    schedule can need; the rest of the rows never reach the greedy pass.
+    """
     items = observations.groupBy("rater", "stimulus", "family").agg(F.count(F.lit(1)).alias("seen"))
-    top = items.withColumn("k", F.row_number().over(Window.partitionBy("rater").orderBy("seen", "stimulus", "family"))).where(F.col("k") <= 10 * size)
+    top = items.withColumn("k", F.row_number().over(Window.partitionBy("rater", "family").orderBy("seen", "stimulus"))).where(F.col("k") <= per_family)
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        left, out, used = rows.sort_values("k").to_dict("records"), [], {}
+        left, out, used = rows.sort_values(["seen", "stimulus", "family"]).to_dict("records"), [], {}
         while left and len(out) < size:
             recent = {r["family"] for r in out[-spacing:]}
             best = next((r for r in left if used.get(r["family"], 0) < per_family and r["family"] not in recent), None)

@@ -115,7 +115,7 @@ def test_psychometric(spark):
     rows += [(2, level, "YES" if level in (1, 2) else "NO") for level in range(5) for _ in range(9)]  # crosses in the middle only
     rows += [(3, level, "YES" if level > 1 else "NO") for level in range(3) for _ in range(20)] + [(None, 1, "YES"), (3, None, "YES"), (4, 1, None)]
     got = {r["ladder"]: r for r in fits.psychometric(spark.createDataFrame(rows, "ladder long, level long, answer string")).collect()}
-    assert set(got) == {1, 2, 3} and got[2]["status"] == got[3]["status"] == "insufficient_repeated_crossing_data" and got[2]["threshold"] is None
+    assert set(got) == {1, 2, 3} and got[2]["status"] == got[3]["status"] == "not enough evidence" and got[2]["threshold"] is None
     own = [(r[1] / 4, r[2] == "YES") for r in rows if r[0] == 1]
     b = got[1]["slope"] * 4
     a = -b * got[1]["threshold"] / 4

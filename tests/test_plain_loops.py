@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from stridelake.operators import joins, reports, rotations, statistics, validation, windows
+from stridelake.operators import fits, joins, reports, rotations, statistics, validation, windows
 
 
 def smooth(x):
@@ -288,3 +288,23 @@ def test_joint_limits(spark):
     assert np.allclose(found, sorted(events), atol=1e-4) and len(found) > 4
     none = reports.OPERATORS["e8_joint_limits"](spark, poses=poses, limits=given["limits"].where("joint > 3")).first()
     assert none["degrees_beyond"] is None and none["confidence"] == 0 and none["valid_joints"] == 0
+
+
+def test_schedule_over_all_rows(spark):
+    """One family fills the first places; the greedy pass over all items finds those of other families behind it."""
+    draw = random.Random(3)
+    rows = [(rater, k, 0 if k < 200 else draw.randrange(1, 6)) for rater in range(3) for k in range(260) for _ in range(1 if k < 200 else draw.choice([2, 3]))]
+    got = {}
+    for r in fits.query_schedule(spark.createDataFrame(rows, "rater long, stimulus long, family long")).collect():
+        got.setdefault(r["rater"], []).append((r["place"], r["stimulus"], r["family"]))
+    for rater in range(3):
+        seen = {}
+        for _, k, family in (r for r in rows if r[0] == rater):
+            seen[k, family] = seen.get((k, family), 0) + 1
+        order, picked = sorted(seen, key=lambda x: (seen[x], *x)), []
+        while len(picked) < 12:
+            best = next((x for x in order if x not in picked and sum(p[1] == x[1] for p in picked) < 4 and x[1] not in {p[1] for p in picked[-2:]}), None)
+            if best is None:
+                break
+            picked.append(best)
+        assert sorted(got[rater]) == [(n + 1, *x) for n, x in enumerate(picked)] and len({x[1] for x in picked}) > 1
