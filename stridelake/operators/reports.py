@@ -38,8 +38,9 @@ def rounded(x: str, digits: int) -> str:
 
 #: A limit counts if it is switched on, has all its bounds, and both it and the joint's axes are trusted.
 VALID = "valid AND lo0 + hi0 + lo1 + hi1 + lo2 + hi2 IS NOT NULL AND confidence > 0 AND axis_confidence > 0"
-#: Degrees outside the bounds of each channel and of all, for joints whose limit counts.
-BEYOND = f"(SELECT motion_id, frame, joint, representation, trust, v0, v1, v2, greatest(v0, v1, v2) AS beyond FROM (SELECT *, {', '.join(f'greatest(0e0, lo{k} - c{k}, c{k} - hi{k}) AS v{k}' for k in range(3))} FROM {COORDINATES} c WHERE valid) o)"
+#: Degrees outside the bounds of each channel and of all, for joints whose limit counts. The window keeps planners from copying the
+#: coordinates' long expressions into each place that reads them.
+BEYOND = f"(SELECT motion_id, frame, joint, representation, trust, v0, v1, v2, greatest(v0, v1, v2) AS beyond FROM (SELECT *, {', '.join(f'greatest(0e0, lo{k} - c{k}, c{k} - hi{k}) AS v{k}' for k in range(3))} FROM (SELECT *, count(*) OVER (PARTITION BY motion_id, joint) AS frames FROM {COORDINATES} c WHERE valid) w) o)"
 #: The rotation that repairs each joint: the logarithm of the turn from the corrupted pose to the clean one.
 RESIDUAL = f"(SELECT motion_id, frame, joint, {raw(log_vector(('dw', 'dx', 'dy', 'dz')), 'ex ey ez')} FROM (SELECT motion_id, frame, joint, {raw(multiply(conjugate(A), B), 'dw dx dy dz')} FROM (SELECT p.motion_id, p.frame, p.joint, k.w AS aw, k.x AS ax, k.y AS ay, k.z AS az, p.w AS bw, p.x AS bx, p.y AS by_, p.z AS bz FROM {{poses}} p JOIN {{posed}} k ON p.motion_id = k.motion_id AND p.frame = k.frame AND p.joint = k.joint) b) d)"
 ENERGY = f"(SELECT motion_id, frame, joint, ex * ex + ey * ey + ez * ez AS energy FROM {VELOCITY} v)"
