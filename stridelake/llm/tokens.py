@@ -61,8 +61,8 @@ class Encoder:
     def __init__(self, path: str, with_spaces: bool):
         from tokenizers import Tokenizer
 
-        if with_spaces:  # a worker has one core; more threads of the library only wait for each other
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        # A worker has one core: more threads of the library only wait for each other, and each holds memory of its own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.split = self._led if with_spaces else str.split
