@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,18 +26,11 @@ END_ID = 2
 #: The first nonterminal; all vocabularies in use are smaller.
 FIRST_RULE = 1 << 17
 BLOCK_IDS = 1 << 20
+#: Documents and bytes of text that are encoded at once (one longer text is a batch of its own).
+BATCH_DOCS, BATCH_BYTES = 1024, 1 << 22
 BLOCK_SCHEMA = "part long, block long, n_ids long, doc_ids binary, null_ids binary, doc_lens binary, rules binary, rule_lens binary, symbols binary"
 
 
-#: Slots of the hash by which a round counts pairs before it sorts those that may be frequent.
-SLOT_BITS = 20
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return ((keys.view(np.uint64) * _MIX) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
-
-
 def replace_pairs(ids: np.ndarray, per_round: int = 1 << 14, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (left, right) and expansion lengths. Rounds go on until a round over all pairs finds none that can be replaced
     `least` / 2 times among those that occur `least` times.
@@ -48,29 +42,30 @@ def replace_pairs(ids: np.ndarray, per_round: int = 1 << 14, least: int = 24) ->
     seq, rules, lens, fresh = ids.astype(np.int64), [], np.ones(0, np.int64), 0
     while len(seq) > 1:
         new = seq >= fresh
-        place = np.flatnonzero(new[:-1] | new[1:])
+        place = np.flatnonzero(new[:-1] | new[1:]) if fresh else np.arange(len(seq) - 1)
         keys = (seq[place] << 20) | seq[place + 1]
-        slot = _slots(keys)
-        # A slot counts all its pairs, so no pair is more frequent than its slot; those of frequent slots are counted exactly.
-        often_slot = (np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot]
-        place, keys, slot = place[often_slot], keys[often_slot], slot[often_slot]
-        ordered = np.sort(keys)
+        bits = len(keys).bit_length()
+        if bits <= 23:  # a key and its place fit in one number, which sorts faster
+            ordered = np.sort((keys << bits) | np.arange(len(keys)))
+            which, ordered = ordered & ((1 << bits) - 1), ordered >> bits
+        else:
+            which = np.argsort(keys)
+            ordered = keys[which]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
         counts = np.diff(np.concatenate([first, [len(ordered)]]))
         often = np.flatnonzero(counts >= least)
         if len(often) > per_round:
             often = np.sort(often[np.argsort(-counts[often], kind="stable")[:per_round]])
         chosen = ordered[first[often]]
-        rank_of = np.full(1 << SLOT_BITS, -1, np.int32)
-        order = np.argsort(counts[often], kind="stable")  # of two pairs in one slot the more frequent one is replaced now
-        rank_of[_slots(chosen)[order]] = order
-        rank = rank_of[slot]
-        hit = rank >= 0
-        hit[hit] = chosen[rank[hit]] == keys[hit]
+        number = np.full(len(counts), -1, np.int32)
+        number[often] = np.arange(len(often))
+        rank = np.empty(len(keys), np.int32)
+        rank[which] = np.repeat(number, counts)
+        hit = np.flatnonzero(rank >= 0)
         at, rank = place[hit], rank[hit]
-        starts = np.concatenate([[True], np.diff(at) > 1])[: len(at)]
-        offset = np.arange(len(at)) - np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
-        at, rank = at[offset % 2 == 0], rank[offset % 2 == 0]
+        starts, count = np.concatenate([[True], np.diff(at) > 1])[: len(at)], np.arange(len(at))
+        even = (count - np.maximum.accumulate(np.where(starts, count, 0))) % 2 == 0
+        at, rank = at[even], rank[even]
         enough = np.bincount(rank, minlength=len(chosen)) >= least // 2
         at, rank = at[enough[rank]], rank[enough[rank]]
         if not len(at):
@@ -94,18 +89,26 @@ def replace_pairs(ids: np.ndarray, per_round: int = 1 << 14, least: int = 24) ->
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """The ids that the symbols stand for."""
-    seq = symbols
-    while len(at := np.flatnonzero(seq >= FIRST_RULE)):
+    """The ids that the symbols stand for. Each rule that they use is expanded once."""
+    at = np.flatnonzero(symbols >= FIRST_RULE)
+    used = np.zeros(len(rules), bool)
+    used[symbols[at] - FIRST_RULE] = True
+    seq = (np.flatnonzero(used) + FIRST_RULE).astype(symbols.dtype)
+    owner = np.arange(len(seq))
+    while len(open_at := np.flatnonzero(seq >= FIRST_RULE)):
         size = np.ones(len(seq), np.int64)
-        size[at] = 2
+        size[open_at] = 2
         start = np.cumsum(size) - size
         out = np.empty(int(size.sum()), seq.dtype)
         out[start] = seq
-        pair = rules[seq[at] - FIRST_RULE]
-        out[start[at]], out[start[at] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+        pair = rules[seq[open_at] - FIRST_RULE]
+        out[start[open_at]], out[start[open_at] + 1] = pair[:, 0], pair[:, 1]
+        seq, owner = out, np.repeat(owner, size)
+    length = np.bincount(owner, minlength=int(used.sum()))
+    rule = (np.cumsum(used) - 1)[symbols[at] - FIRST_RULE]
+    lengths, offsets = np.ones(len(symbols), np.int64), len(seq) + np.arange(len(symbols))
+    lengths[at], offsets[at] = length[rule], (np.cumsum(length) - length)[rule]
+    return tokens.laid(np.concatenate([seq, symbols]), offsets, lengths)
 
 
 def slice_ids(symbols: np.ndarray, rules: np.ndarray, rule_lens: np.ndarray, start: int, length: int) -> np.ndarray:
@@ -119,6 +122,16 @@ def slice_ids(symbols: np.ndarray, rules: np.ndarray, rule_lens: np.ndarray, sta
     return expand(symbols[lo : hi + 1], rules)[skipped : skipped + length]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches of at most BATCH_DOCS rows and, but for single rows, BATCH_BYTES of text."""
+    ends, at = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64)), 0
+    while at < batch.num_rows:
+        full = int(np.searchsorted(ends, BATCH_BYTES + (int(ends[at - 1]) if at else 0), "right"))
+        stop = max(at + 1, min(full, at + BATCH_DOCS, batch.num_rows))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Writes the table of blocks for documents (doc_id, text) at path."""
     tokenizer = tokenizer or tokens.public_path(tokens.BYTE_BPE)
@@ -139,17 +152,20 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             kinds = [pa.int64()] * 3 + [pa.binary()] * 6
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
-                ids, n = encoder.encode([x or "" for x in some.column(1).to_pylist()])
-                ends = np.cumsum(n + 1)
-                out = np.full(int(ends[-1]), end_id, np.uint32)
-                keep = np.ones(len(out), bool)
-                keep[ends - 1] = False
-                out[keep] = ids
-                doc = some.column(0)
-                held.append((out, n + 1, doc.fill_null(0).to_numpy().astype("<i8"), doc.is_null().to_numpy(zero_copy_only=False)))
+        for some in (x for batch in batches for x in _slices(batch)):
+            ids, n = encoder.encode([x or "" for x in some.column(1).to_numpy(zero_copy_only=False).tolist()])
+            ends = np.cumsum(n + 1)
+            out = np.full(int(ends[-1]), end_id, np.uint32)
+            keep = np.ones(len(out), bool)
+            keep[ends - 1] = False
+            out[keep] = ids
+            doc, null = some.column(0).fill_null(0).to_numpy().astype("<i8"), some.column(0).is_null().to_numpy(zero_copy_only=False)
+            begin, at = 0, 0
+            while begin < len(n):
+                stop = min(int(np.searchsorted(ends, at + block_ids - sum(len(h[0]) for h in held))) + 1, len(n))
+                end = int(ends[stop - 1])
+                held.append((out[at:end], n[begin:stop] + 1, doc[begin:stop], null[begin:stop]))
+                begin, at = stop, end
                 if sum(len(h[0]) for h in held) >= block_ids:
                     yield row()
         if held:

@@ -201,3 +201,64 @@ def test_repair_until_no_pair_is_left():
     for tiny in ([], [1], [1, 1], [3] * 100):
         s, r, _ = op3_repair.replace_pairs(np.array(tiny, np.uint32))
         assert op3_repair.expand(s, r).tolist() == tiny
+
+
+def test_words_with_end_marks_share_encodings(monkeypatch):
+    """Words that differ in the marks at their end cost one encoding, each distinct piece one look-up, and the ids are those of the whole text."""
+    draw = random.Random(4)
+    words, marks = ["Ahorn", "été", "x1", "don't", "12", "ß", "²", "ǆ", "ж", "'", "a'", "<|endoftext|>", "x<|endoftext|>", "a.b", "\U0001f600"], ["", ".", ",", "...", "***", "&&&", ".'s", "%%%'", "(", '"', "|>", "’."]
+    texts = ["".join(draw.choice(words) + draw.choice(marks) + draw.choice(gaps) for _ in range(40)) for gaps in ([" "], [" ", "\n"], [" ", "", "\n\n", "\t"]) for _ in range(60)]
+    for cached in (tokens.CACHED, 30):
+        monkeypatch.setattr(tokens, "CACHED", cached)
+        encoder = tokens.Encoder(tokens.public_path(tokens.BYTE_BPE), True)
+        got = []
+        for k in range(0, len(texts), 50):
+            ids, n = encoder.encode(texts[k : k + 50])
+            got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.index) <= cached and len(encoder.index) == len(encoder.lengths) == len(encoder.offsets)
+    asked, encoder = [], tokens.Encoder(tokens.public_path(tokens.BYTE_BPE), True)
+    monkeypatch.setattr(encoder, "_encoded", lambda pieces, own=encoder._encoded: asked.extend(pieces) or own(pieces))
+    encoder.encode(["so viel, viel. viel*** viel so."])
+    assert sorted(asked) == sorted(["\x1cso", "so", "viel", "\x1c,", "\x1c.", "\x1c***"])
+
+
+def test_blocks_end_at_their_size(spark, tmp_path):
+    """A block holds no more than its size and one document, however many documents are encoded at once."""
+    rows = [(k, "one two three " * (k % 5)) for k in range(400)]
+    op3_repair.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), f"{tmp_path}/t", block_ids=100)
+    table = spark.read.parquet(f"{tmp_path}/t").select("part", "block", "n_ids").collect()
+    assert max(r["n_ids"] for r in table) < 100 + 20 and sum(r["n_ids"] < 100 for r in table) <= len({r["part"] for r in table})
+    got = op3_repair.read(spark, f"{tmp_path}/t").orderBy("doc_id").collect()
+    want = [[*plain_ids(t, tokens.BYTE_BPE), 2] for _, t in rows]
+    assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got] == [(k, sum(map(len, want[:k])), len(x), crc(x)) for k, x in enumerate(want)]
+
+
+def test_slices_of_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(op3_repair, "BATCH_DOCS", 3)
+    monkeypatch.setattr(op3_repair, "BATCH_BYTES", 10)
+    texts = ["x" * 25, "a", None, "b", "c", "dddddddd", "e", "", "x" * 11]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = [x.column(1).to_pylist() for x in op3_repair._slices(batch)]
+    assert sum(got, []) == texts and got == [["x" * 25], ["a", None, "b"], ["c", "dddddddd", "e"], [""], ["x" * 11]]
+
+
+@pytest.mark.parametrize("change", ["prefix", "bytes"])
+def test_encoder_of_other_tokenizers(change, tmp_path):
+    """A space put before texts: they are encoded whole. A vocabulary that lacks bytes: pieces are encoded alone."""
+    import json
+
+    with open(tokens.public_path(tokens.BYTE_BPE)) as f:
+        kind = json.load(f)
+    if change == "prefix":
+        kind["pre_tokenizer"]["add_prefix_space"] = True
+    else:
+        kind["model"]["merges"] = [x for x in kind["model"]["merges"] if "z" not in "".join(x)]
+        kind["model"]["vocab"] = {x: n for x, n in kind["model"]["vocab"].items() if "z" not in x}
+    (tmp_path / "t.json").write_text(json.dumps(kind))
+    encoder = tokens.Encoder(f"{tmp_path}/t.json", True)
+    texts = ["so viel, viel. viel***", "zu\nzu. (zwei) a.", "", "  a\n\nb.", "! a"]
+    ids, n = encoder.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
