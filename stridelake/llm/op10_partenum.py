@@ -26,6 +26,7 @@ null component; repeated rows each get a row; an empty table gives an empty resu
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -184,9 +185,10 @@ def signatures(u: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def _flat(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, seed: int) -> Iterator[list[np.ndarray]]:
+    """The sets of a few texts at a time."""
     for at in range(0, batch.num_rows, 256):
-        yield from enumerate(batch_shingles(batch.column("text").slice(at, 256).to_pylist(), seed), at)
+        yield batch_shingles(batch.column("text").slice(at, 256).to_pylist(), seed)
 
 
 def _digest(u: np.ndarray) -> tuple[int, int]:
@@ -200,7 +202,7 @@ def set_sizes(docs: DataFrame, seed: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(len(u), *_digest(u)) for _, u in _flat(batch, seed)]
+            got = [(len(u), *_digest(u)) for sets in _sets(batch, seed) for u in sets]
             n, one, two = (np.array([g[k] for g in got], np.int64) for k in range(3))
             arrays = [batch.column("doc_id"), batch.column("text_hash"), pa.array(n), pa.array(one), pa.array(two)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "n_shingles", "node", "check"])
@@ -213,49 +215,70 @@ def set_sizes(docs: DataFrame, seed: int) -> DataFrame:
 HELD = 1 << 21
 
 
-def _signed_batch(nodes: np.ndarray, tags: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(tags.astype(np.int32)), pa.array(sigs.view(np.int64))], ["node", "tag", "sig"])
+#: Rows of a batch that a task passes on; a worker and its JVM each hold such a batch whole.
+PASSED = 1 << 16
 
 
-def _passed_on(nodes: np.ndarray, tags: np.ndarray, sigs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of signatures: where two nodes here hold one, their rows are known as shared and scattered, and one row more tells others."""
+def _signed_batches(nodes: np.ndarray, tags: np.ndarray, sigs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(sigs), PASSED):
+        own = slice(k, k + PASSED)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(tags[own].astype(np.int32)), pa.array(sigs[own].view(np.int64))], ["node", "tag", "sig"])
+
+
+def _passed_on(runs: array, held: bytearray) -> Iterator[pa.RecordBatch]:
+    """Rows of signatures: where two nodes here hold one, their rows are known as shared and scattered, and one row more tells others.
+
+    runs: node, tag and number of signatures of each stretch of held. Both are emptied."""
+    node, tag, count = np.array(runs).reshape(-1, 3).T
+    del runs[:]
+    run, sigs = np.repeat(np.arange(len(count), dtype=np.int32), count), np.frombuffer(held, np.uint64)
     order = np.argsort(sigs)
-    same = sigs[order[1:]] == sigs[order[:-1]]
-    several = np.zeros(len(sigs), bool)
-    several[order[1:][same]] = several[order[:-1][same]] = True
-    yield _signed_batch(nodes[~several], tags[~several] * 2, sigs[~several])
-    if not several.any():
+    ranked, several = sigs[order], np.zeros(len(sigs), bool)
+    same = np.flatnonzero(ranked[1:] == ranked[:-1])
+    several[order[same + 1]] = several[order[same]] = True
+    del order, ranked, same
+    # In the order of the nodes, whose repeated ids a shuffle compresses.
+    for k in range(0, len(sigs), PASSED):
+        at = k + np.flatnonzero(~several[k : k + PASSED])
+        yield from _signed_batches(node[run[at]], tag[run[at]] * 2, sigs[at])
+    sigs, run = sigs[several], run[several]
+    del several
+    held.clear()
+    if not len(sigs):
         return
-    nodes, tags, sigs = nodes[several], tags[several], sigs[several]
-    order = np.lexsort((nodes, sigs))
-    nodes, tags, sigs = nodes[order], tags[order], sigs[order]
+    rank = np.unique(node, return_inverse=True)[1].astype(np.int32)  # nodes in order, in fewer bytes
+    order = np.lexsort((rank[run], sigs))
+    sigs, run = sigs[order], run[order]
+    del order
     new = np.append(True, sigs[1:] != sigs[:-1])
-    fresh = np.append(True, nodes[1:] != nodes[:-1]) | new  # a node's copies count once
-    nodes, tags, sigs, new = nodes[fresh], tags[fresh], sigs[fresh], new[fresh]
-    group = np.cumsum(new) - 1
-    known = np.bincount(group)[group] > 1
-    yield _signed_batch(nodes[new], tags[new] * 2, sigs[new])
-    yield _signed_batch(nodes[known], tags[known] * 2 + 1, _mix(sigs[known] ^ _mix(nodes[known].view(np.uint64))))
+    own = rank[run]
+    fresh = np.append(True, own[1:] != own[:-1]) | new  # a node's copies count once
+    del own
+    sigs, run, new = sigs[fresh], run[fresh], new[fresh]
+    starts = np.flatnonzero(new)
+    known = np.repeat(np.diff(starts, append=len(new)) > 1, np.diff(starts, append=len(new)))
+    for k in range(0, len(sigs), PASSED):
+        at = k + np.flatnonzero(new[k : k + PASSED])
+        yield from _signed_batches(node[run[at]], tag[run[at]] * 2, sigs[at])
+        at = k + np.flatnonzero(known[k : k + PASSED])
+        yield from _signed_batches(node[run[at]], tag[run[at]] * 2 + 1, _mix(sigs[at] ^ _mix(node[run[at]].view(np.uint64))))
 
 
 def signed(docs: DataFrame, seed: int) -> DataFrame:
     """node, tag (least shared signatures * 4 + 2 * which of its bands + whether it is known as shared), sig."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, tags, sigs, held = [], [], [], 0
+        runs, held = array("q"), bytearray()
         for batch in batches:
-            for _, u in _flat(batch, seed):
+            for u in (u for sets in _sets(batch, seed) for u in sets):
                 own = _digest(u)[0] if len(u) else 0
                 for which, (s, least) in enumerate(signatures(u)):
-                    sigs.append(s)
-                    nodes.append(np.full(len(s), own))
-                    tags.append(np.full(len(s), least * 2 + which))
-                    held += len(s)
-                if held > HELD:
-                    yield from _passed_on(*map(np.concatenate, (nodes, tags, sigs)))
-                    nodes, tags, sigs, held = [], [], [], 0
+                    held += s.tobytes()
+                    runs.extend((own, least * 2 + which, len(s)))
+                if len(held) > 8 * HELD:
+                    yield from _passed_on(runs, held)
         if held:
-            yield from _passed_on(*map(np.concatenate, (nodes, tags, sigs)))
+            yield from _passed_on(runs, held)
 
     return docs.mapInArrow(rows, "node long, tag int, sig long")
 
@@ -299,9 +322,9 @@ def set_arrays(docs: DataFrame, seed: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [u for _, u in _flat(batch, seed)]
-            node, n = [_digest(u)[0] for u in got], [len(u) for u in got]
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array([u.view(np.int64) for u in got], pa.list_(pa.int64()))], ["node", "n", "items"])
+            for got in _sets(batch, seed):
+                node, n = [_digest(u)[0] for u in got], [len(u) for u in got]
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array([u.view(np.int64) for u in got], pa.list_(pa.int64()))], ["node", "n", "items"])
 
     return docs.mapInArrow(rows, "node long, n int, items array<long>")
 

@@ -4,8 +4,10 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from stridelake.llm import op10_partenum as op
 
@@ -121,6 +123,28 @@ def test_without_stars(spark, monkeypatch):
     assert got(spark, rows) == plain(rows)
 
 
+class Taken:
+    """Stands for a DataFrame and gives the function that its tasks run."""
+
+    def mapInArrow(self, rows, _):
+        return rows
+
+
+def test_tasks_hold_and_pass_on_little(monkeypatch):
+    """Signatures are held in few bytes; the JVM gets small batches, whatever a task holds or reads."""
+    monkeypatch.setattr(op, "HELD", 1 << 18)
+    rng = random.Random(4)
+    for words, n, copies in ((300, 1500, 1), (300, 50, 30), (12, 12_000, 1)):
+        texts = [" ".join(map(str, rng.choices(range(10**6), k=words))) for _ in range(n)] * copies
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+        for made in (op.signed, op.set_arrays):
+            tracemalloc.start()
+            largest = max(b.nbytes for b in made(Taken(), 0)(iter([batch])))
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert largest <= 1 << 21 and peak <= 10 << 20
+
+
 def test_words_of_any_length():
     long = "x" * 70_000
     texts = [f"{long} b c d e", "A b\x1cc d  e f", None, "", f"{long} b c d e f", "a b\x1cc d e f", "é " * 3, "é é é", f"{long[1:]} b c d e"]
