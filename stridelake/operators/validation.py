@@ -27,7 +27,7 @@ SELECT motion_id, {num('sum(CASE WHEN NOT required OR coalesce(value <= top + 1e
       round(abs(avg(speed) - 0.16e0), 6) AS speed_error, round(abs(max_by(height, frame) FILTER (WHERE marker = 0) - min_by(height, frame) FILTER (WHERE marker = 0)), 6) AS seam, greatest(0e0, max(qty) - 45) AS excess FROM {{contacts}} GROUP BY motion_id) m
   JOIN {{numbers}} k ON k.n < 6) b GROUP BY motion_id""",
     c6_hard_constraint_reasons="""
-SELECT motion_id, concat_ws(',', CASE WHEN top > 0.095e0 THEN 'penetration' END, CASE WHEN mean > 0.16e0 THEN 'target speed' END, CASE WHEN travel < 100 THEN 'displacement' END) AS reasons FROM (SELECT motion_id, max(height) AS top, avg(speed) AS mean, sum(qty) AS travel FROM {contacts} WHERE marker = 0 GROUP BY motion_id) s""",
+SELECT motion_id, concat_ws(',', CASE WHEN top > 0.095e0 THEN 'penetration' END, CASE WHEN mean > 0.16e0 THEN 'target speed' END, CASE WHEN travel < 100 THEN 'displacement' END) AS reasons FROM (SELECT motion_id, max(height) AS top, exact_avg(speed) AS mean, sum(qty) AS travel FROM {contacts} WHERE marker = 0 GROUP BY motion_id) s""",
     c7_experiment_regimes="""
 SELECT sample_id, CASE WHEN split = 'heldout' AND mechanism = 'P' THEN 'adversarial' WHEN split = 'heldout' THEN 'heldout_mechanism' ELSE split END AS regime FROM {samples}""",
     c8_mechanism_filter="SELECT mechanism, family, count(*) AS n, bool_or(flag = 'N') AS hard FROM {attempts} WHERE mechanism LIKE '%A%' OR family LIKE '%1%' GROUP BY mechanism, family",
