@@ -153,7 +153,7 @@ SELECT motion_id, round(avg(CASE WHEN nxt - v <= 1e-9 THEN 1e0 WHEN nxt IS NOT N
 SELECT metric, {num('before')} AS before, {num('after')} AS after, {num('clean')} AS clean, {num('before - after')} AS improvement, {num('CASE WHEN before - clean > 1e-12 THEN (before - after) / (before - clean) END')} AS repaired, before - after >= 0.001e0 AS meaningful, abs(after - clean) <= greatest(1e-6, 0.1e0 * abs(before - clean)) AS near_clean, motion_id FROM {{repairs}}""",
     e57_paired_target_metric=f"SELECT c.motion_id, c.marker, {num('max(k.height)')} AS near_peak, {num('percentile(k.speed, 0.95)')} AS speed_p95 FROM (SELECT motion_id, marker, max_by(frame, height * 1000000 + frame) AS top FROM {{contacts}} GROUP BY motion_id, marker) c JOIN {{contacts}} k ON k.motion_id = c.motion_id AND k.marker = c.marker AND k.frame BETWEEN c.top - 2 AND c.top + 2 GROUP BY c.motion_id, c.marker",
     e58_ablation_summary=f"SELECT family, {num('avg(CASE WHEN target THEN score END)')} AS positive, {num('avg(CASE WHEN NOT target THEN score END)')} AS negative FROM {{scores}} GROUP BY family",
-    e59_failure_classes="SELECT c.cause, count(f.motion_id) AS n FROM (SELECT CASE n WHEN 0 THEN 'height' WHEN 1 THEN 'speed' WHEN 2 THEN 'budget' ELSE 'none' END AS cause FROM {numbers} WHERE n < 4) c LEFT JOIN (SELECT motion_id, CASE WHEN max(height) > 0.0999e0 AND avg(speed) > 0.16e0 THEN 'height' WHEN avg(speed) > 0.16e0 THEN 'speed' ELSE 'none' END AS cause FROM {contacts} GROUP BY motion_id) f ON c.cause = f.cause GROUP BY c.cause",
+    e59_failure_classes="SELECT c.cause, count(f.motion_id) AS n FROM (SELECT CASE n WHEN 0 THEN 'height' WHEN 1 THEN 'speed' WHEN 2 THEN 'budget' ELSE 'none' END AS cause FROM {numbers} WHERE n < 4) c LEFT JOIN (SELECT motion_id, CASE WHEN max(height) > 0.0999e0 AND exact_avg(speed) > 0.16e0 THEN 'height' WHEN exact_avg(speed) > 0.16e0 THEN 'speed' ELSE 'none' END AS cause FROM {contacts} GROUP BY motion_id) f ON c.cause = f.cause GROUP BY c.cause",
     s2_presentation_auth=f"""
 SELECT a.rater, a.session_id, a.trial, count(*) AS answers, {num('min(a.response_ms)')} AS fastest,
   CASE WHEN max(s.stimulus) IS NULL THEN 'unserved' WHEN count(*) > 1 THEN 'answered twice' WHEN max(s.stimulus) <> max(a.stimulus) THEN 'other stimulus' WHEN min(a.response_ms) < 100 THEN 'too fast' ELSE 'authentic' END AS verdict
