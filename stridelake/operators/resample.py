@@ -1,5 +1,6 @@
-"""Series and clips on another time grid, by an as-of merge: grid points and known rows are sorted together, and windows carry the
-known row before and the one after each point. One shuffle by series, whatever its length; no range join."""
+"""Series and clips on another time grid, by an as-of merge: known rows are sorted, a window carries the row that follows to each of
+them, and a row makes the grid points from its own time up to that one. One shuffle and one sort by series, no range join; the work grows
+with the rows and points of a series."""
 
 from __future__ import annotations
 
@@ -15,14 +16,16 @@ def between(known: DataFrame, keys: list[str], values: list[str], rate: float) -
     The grid has floor(duration * rate + 1e-9) + 1 points, n / rate from the first row on; a last part of an interval gets no point.
     `after` is null past the last row. Of rows at one time the last by their values counts.
     """
-    span = known.groupBy(*keys).agg(F.min("t").alias("from"), F.max("t").alias("to"))
-    points = span.select(*keys, "from", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("to") - F.col("from")) * rate + 1e-9))).alias("n"))
-    grid = points.select(*keys, "n", (F.col("from") + F.col("n") / rate).alias("t"))
-    row = F.struct("t", *values)
-    both = known.select(*keys, F.lit(None).cast("long").alias("n"), "t", row.alias("row")).unionByName(grid.select(*keys, "n", "t", F.lit(None).cast(known.select(row.alias("r")).schema["r"].dataType).alias("row")))
-    order = Window.partitionBy(*keys).orderBy("t", F.col("n").asc_nulls_first(), "row")
-    before, after = F.last("row", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.first("row", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    return both.withColumns({"before": before, "after": after}).where("n IS NOT NULL").drop("row")
+    series, row = Window.partitionBy(*keys), F.struct("t", *values)
+    pairs = known.where("t IS NOT NULL").select(*keys, "t", row.alias("before"), F.lead(row).over(series.orderBy("t", row)).alias("after"), F.min("t").over(series).alias("from"), F.max("t").over(series).alias("to"))
+    at = lambda t: F.floor((t - F.col("from")) * rate)
+    # Points at most this far from where the product says they are, as sums of floats are rounded; the exact bounds are in the last filter.
+    slack = 1 + F.floor(F.greatest(F.abs("from"), F.abs("to")) * rate * 1e-15)
+    last = F.floor((F.col("to") - F.col("from")) * rate + 1e-9)
+    low, high = F.greatest(F.lit(0), at(F.col("t")) - slack), F.when(F.col("after").isNull(), last).otherwise(F.least(last, at(F.col("after.t")) + slack))
+    points = pairs.where("after IS NULL OR t < after.t").withColumns({"low": low, "high": high}).where("low <= high").withColumn("n", F.explode(F.sequence("low", "high")))
+    found = points.select(*keys, "n", F.col("t").alias("since"), (F.col("from") + F.col("n") / rate).alias("t"), "before", "after")
+    return found.where("t >= since AND (after IS NULL OR t < after.t)").drop("since")
 
 
 def fraction() -> Column:

@@ -94,3 +94,25 @@ def test_gait_phase(spark):
                 want = np.interp(f, frames, anchors)
             assert abs(r["phase"] - want) < 1e-5 and abs(r["phase_sin"] - math.sin(want)) < 1e-5
             assert r["repeats"] == repeats and abs(r["structure_confidence"] - min(1, (len(kept) - 1) / 3) * max(0, 1 - repeats / (len(kept) - 1))) < 1e-6
+
+
+def test_no_frame_to_the_end(spark):
+    """A window frame from each row to the end of its series takes work of the square of the series."""
+    plan = resample.between(spark.createDataFrame([(1, 0.0, 1.0)], "k long, t double, x double"), ["k"], ["x"], 1.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RowFrame, 1, unboundedfollowing" not in plan
+
+
+@pytest.mark.parametrize(("start", "rate"), [(0.0, 24.0), (1.7e9, 1000.0), (-5.25, 3.0)])
+def test_rows_before_and_after_against_a_loop(spark, start, rate):
+    """Rows at one time, at a point's own time, long gaps, a time of null; one series of a single row."""
+    draw = random.Random(start)
+    rows = [(k, start + draw.choice([draw.random(), draw.randrange(24) / 24, draw.randrange(48) / rate]), float(n)) for k in range(3) for n in range(40)]
+    rows += [(0, start + 9.0, -1.0), (3, start, 5.0), (1, None, 7.0)]
+    got = {(r["k"], r["n"]): (r["t"], tuple(r["before"]), r["after"] and tuple(r["after"])) for r in resample.between(spark.createDataFrame(rows, "k long, t double, x double").repartition(3), ["k"], ["x"], rate).collect()}
+    want = {}
+    for k in range(4):
+        own = sorted((t, x) for key, t, x in rows if key == k and t is not None)
+        for n in range(math.floor((own[-1][0] - own[0][0]) * rate + 1e-9) + 1):
+            t = own[0][0] + n / rate
+            want[k, n] = (t, max(r for r in own if r[0] <= t), min((r for r in own if r[0] > t), default=None))
+    assert got == want
