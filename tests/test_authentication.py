@@ -99,3 +99,28 @@ def test_small(spark, n):
     rows, trials = made(1, n)
     signed = spark.createDataFrame([(None, *r) for r in rows], auth.ROW).withColumn("row_id", auth.identity())
     assert auth.authenticated(signed, spark.createDataFrame(trials, TRIALS)).count() == sum(r[4] == "answered" for r in rows)
+
+
+def test_calls_grow_with_buckets(spark):
+    """A call of the state machine for each trial costs far more than its rows, so trials are put into a bounded number of groups."""
+    stream = spark.readStream.format("rate").load().selectExpr("CAST(value AS STRING) AS row_id", "'r' AS rater", "'s' AS session", "CAST(value AS STRING) AS trial", "1 AS trial_index", "'served' AS event", "timestamp AS ts", "'m' AS stimulus", "0D AS initial_s")
+    plan = auth.authenticated_stream(stream, spark.createDataFrame([], TRIALS), buckets=7)._jdf.queryExecution().analyzed().toString()
+    assert "xxhash64(rater" in plan and "TransformWithStateInPySpark" in plan
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_trials_of_one_bucket(spark, tmp_path, buckets):
+    """Many trials share a state; a second answer that comes after the close, twice, has one verdict; an earlier one moves the close."""
+    rows, trials = made(11, 80)
+    listed = spark.createDataFrame([(None, *r) for r in rows], auth.ROW).withColumn("row_id", auth.identity()).collect()
+    known = spark.createDataFrame(trials, TRIALS)
+    late = spark.createDataFrame([(None, "r0", "s", "t0", 0, "answered", START + timedelta(days=d), "m0", 2.0) for d in (2, 2)] + [(None, "r1", "s", "t0", 0, "answered", START + timedelta(days=2, seconds=9), "m0", 2.0)], auth.ROW).withColumn("row_id", auth.identity()).collect()
+    tick = lambda d: [("x", "nobody", "s", "none", 0, "tick", START + timedelta(days=d), None, None)]
+    files = [listed[150:], listed[:150], tick(1), late[:1], late[1:], tick(3), tick(5)]
+    for k, part in enumerate(files):
+        spark.createDataFrame(part, auth.ROW).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(auth.ROW).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    found = logs.drained(auth.authenticated_stream(stream, known, delay="1 hour", buckets=buckets), f"{tmp_path}/out", f"{tmp_path}/state", provider=auth.ROCKS)
+    streamed = sorted(tuple(r)[:3] + (r["verdict"],) for r in found.collect() if r["rater"] != "nobody")
+    every = spark.createDataFrame(listed + late, auth.ROW)
+    assert streamed == sorted(tuple(r)[:3] + (r["verdict"],) for r in auth.authenticated(every, known).collect())
